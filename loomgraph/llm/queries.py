@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe
+from loomgraph.llm import bpe, chat, licences, mixing, permutation, repetition, warc
 from loomgraph.llm.common import digest, read
 
-#: Name and place of the byte-level vocabulary; the folder is a parameter of the environment.
+#: Folder of the public vocabularies, a parameter of the environment.
 TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
@@ -27,9 +27,118 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.archive_folder(pages)
+    back = warc.read_back(warc.write(pages, folder), folder, payloads=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = chat.rotate(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return turned.select("conv_id", "part", "speaker", "n_turns", "rendered", spans.alias("mask_spans"))
+
+
+OP7_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS part, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(role, 'unknown') = 'system' AS context
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE NOT context),
+r AS (
+  SELECT s.conv_id, s.part, s.speaker, t.turn, t.role, t.text, NOT t.context AND t.role = s.speaker AS own,
+         '<|im_start|>' || CASE WHEN t.context THEN t.role WHEN t.role = s.speaker THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
+         t.text || '<|im_end|>' || chr(10) AS body
+  FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part IS NOT DISTINCT FROM t.part),
+o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM r)
+SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+       coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || '-' || CAST(upto AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS mask_spans
+FROM o GROUP BY conv_id, part, speaker
+"""
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.repetition(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _repeated(n: int) -> str:
+    return f"""SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
+      FROM (SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM p WHERE i + {n - 1} <= n_words)) WHERE c > 1"""
+
+
+OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, len(ws) AS n_words, unnest(range(1, len(ws) + 1)) AS i FROM w),
+r3 AS ({_repeated(3)}),
+r10 AS ({_repeated(10)}),
+r101 AS ({_repeated(101)}),
+c3 AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r3, (SELECT unnest(range(3)) AS o) GROUP BY 1),
+c10 AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r10, (SELECT unnest(range(10)) AS o) GROUP BY 1),
+long AS (SELECT DISTINCT doc_id FROM r101),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+         coalesce(c3.n, 0) AS n_repeat_words, coalesce(c10.n, 0) AS n_covered, long.doc_id IS NOT NULL AS too_long
+  FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c10 USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 30 * n_words AND NOT too_long AS kept
+FROM m
+"""
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {
+        "op2_bpe": op2_bpe,
+        "op3_warc": op3_warc,
+        "op4_mixing": op4_mixing,
+        "op5_permutation": op5_permutation,
+        "op7_chat": op7_chat,
+        "op9_repetition": op9_repetition,
+        "op10_licences": op10_licences,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op9_repetition": OP9_SQL}
