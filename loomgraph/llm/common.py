@@ -68,3 +68,14 @@ def by_size(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator
             total += size
         if start < whole.num_rows:
             yield whole.slice(start)
+
+
+def document_key(docs: DataFrame, column: str = "doc_id"):
+    """A column that tells documents apart and orders them: the id itself, or, where ids repeat or are null, (null last, id, text hashes).
+
+    Rows equal in id and text share a key and so a result.
+    """
+    flawed = docs.groupBy(column).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(column).isNull())
+    if flawed.limit(1).count():
+        return F.struct(F.col(column).isNull().alias("unknown"), F.col(column).alias("id"), F.xxhash64("text").alias("text1"), F.xxhash64(F.lit(1), F.col("text")).alias("text2"))
+    return F.col(column)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, licences, mixing, permutation, repetition, warc
+from loomgraph.llm import bpe, chat, licences, mixing, permutation, quality, repetition, substrings, warc
 from loomgraph.llm.common import digest, read
 
 #: Folder of the public vocabularies, a parameter of the environment.
@@ -16,6 +16,18 @@ TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labelled rows outside the held-out fold."""
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    return quality.train(read(spark, sf_dir, "documents").filter(learn), read(spark, sf_dir, "labels").filter(learn))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return quality.classify(docs, quality_model(spark, sf_dir)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, BYTE_BPE)
@@ -80,6 +92,25 @@ FROM o GROUP BY conv_id, part, speaker
 """
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", "n_words", "n_removed", digest(kept).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS rn FROM p),
+c AS (SELECT DISTINCT doc_id, i + o AS k FROM g, (SELECT unnest(range(20)) AS o) WHERE rn > 1),
+k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+j AS (SELECT k.doc_id, word, k.k, c.k IS NOT NULL AS gone FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.k = c.k),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a USING (doc_id)
+"""
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.repetition(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -130,15 +161,17 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_permutation": op5_permutation,
         "op7_chat": op7_chat,
+        "op8_substrings": op8_substrings,
         "op9_repetition": op9_repetition,
         "op10_licences": op10_licences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op9_repetition": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op8_substrings": OP8_SQL, "op9_repetition": OP9_SQL}
