@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, licences, mixing, permutation, quality, repetition, substrings, warc
+from loomgraph.llm import bpe, chat, licences, mixing, neardup, permutation, quality, repetition, substrings, warc
 from loomgraph.llm.common import digest, read
 
 #: Folder of the public vocabularies, a parameter of the environment.
@@ -66,6 +66,26 @@ def op5_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.reached = p.a)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = chat.rotate(read(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -166,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_permutation": op5_permutation,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_chat": op7_chat,
         "op8_substrings": op8_substrings,
         "op9_repetition": op9_repetition,
@@ -174,4 +195,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op8_substrings": OP8_SQL, "op9_repetition": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_chat": OP7_SQL, "op8_substrings": OP8_SQL, "op9_repetition": OP9_SQL}

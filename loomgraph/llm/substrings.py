@@ -31,13 +31,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_size, document_key, stored, words
+from loomgraph.llm.common import by_size, document_key, packed_texts, stored, taken, unpack, word_hashes, words
 
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 20, 6
@@ -58,10 +57,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-
-
 def zones(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Zones of a text's word hashes: minimiser's hash, hash of the zone's words, first window, minimiser's offset, windows."""
     n = len(h)
@@ -186,11 +181,6 @@ def matches(docs: DataFrame, reference: list[str], window: int = WINDOW, most_wo
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, n long")
 
 
-def taken(column: pa.Array, counts: list[int]) -> pa.Array:
-    """A column's values, each repeated as often as counts says."""
-    return column.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -233,25 +223,6 @@ def hot_grams(docs: DataFrame, window: int, gram: int, hot_rows: int) -> DataFra
     return counted.filter(F.col("hot").isNotNull() & (F.col("n") >= max(hot_rows, total // 100_000 + 1))).select("hot")
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """docs (doc, text, ...) with the text compressed: it is shuffled by document."""
-    names = docs.columns
-    at = names.index("text")
-    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            small = pa.array([None if x is None else press(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([small if k == at else batch.column(k) for k in range(len(names))], names=names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def unpack(press: zstandard.ZstdDecompressor, x: bytes | None) -> bytes:
-    return press.decompress(x) if x else b""
-
-
 def zone_words(wanted: DataFrame, window: int) -> DataFrame:
     """Word hashes of the wanted zones: rows (gram, doc, start, hashes) from (doc, text, zones: array of gram, start, n, crowded);
     of crowded minimisers a row for each window, with its hash alone."""
