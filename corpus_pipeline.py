@@ -1,18 +1,75 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input.
+
+Counted as part of the llm subpackage. A stage works on all that its predecessor kept, and its decisions take effect: rejected documents go,
+one document of each near-duplicate group stays, repeated passages leave the texts, the mix repeats or drops documents, and what
+remains is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import bpe, mixing, neardup, quality, substrings
+from loomgraph.llm.common import digest, read, repeats, stored, sweep
+from loomgraph.llm.queries import BYTE_BPE, quality_model
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least quality.GOOD."""
+    sweep(spark)
+    model = quality_model(docs, read(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each near-duplicate group; of rows equal in id and text, one."""
+    sweep(spark)
+    if repeats(docs):
+        docs = stored(docs.dropDuplicates(["doc_id", "text"]), "pipeline-distinct")
+    return neardup.near_duplicates(docs).filter("kept").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words under windows that start earlier; n_chars follows the text."""
+    sweep(spark)
+    found = substrings.deduplicate(docs)
+    chars = F.when(F.col("removed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, none to three times."""
+    sweep(spark)
+    mixed = mixing.mix(docs).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    named = mixed.select(F.col("doc_id").alias("mixed_id"), "row_hash", "copies")
+    hashed = docs.withColumn("own_hash", F.xxhash64("doc_id", "text"))
+    joined = hashed.join(named, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (F.col("own_hash") == F.col("row_hash")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document taken, with digests of the ids and of the text that they decode to."""
+    sweep(spark)
+    coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), BYTE_BPE)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
-from loomgraph.llm.common import read, stored
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
 
+#: The classifier's scores and the encoder can't be written in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs

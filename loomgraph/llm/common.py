@@ -48,14 +48,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame as Parquet in the shared folder and read it again: compressed, pruned by column, safe from lost executors."""
+#: Tables that stored() wrote for this process's session, until sweep() removes them.
+_made: list[str] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a DataFrame as Parquet in the shared folder and read it again: compressed, pruned by column, safe from lost executors.
+
+    With keep, sweep() leaves the table alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Remove what stored() has written so far. For callers that know that every result which reads it has been written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def digest(column):
     return F.sha2((F.col(column) if isinstance(column, str) else column).cast("binary"), 256)
 
@@ -74,13 +90,18 @@ def by_size(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator
             yield whole.slice(start)
 
 
+def repeats(docs: DataFrame, column: str = "doc_id") -> bool:
+    """Whether an id repeats or is null."""
+    flawed = docs.groupBy(column).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(column).isNull())
+    return flawed.limit(1).count() > 0
+
+
 def document_key(docs: DataFrame, column: str = "doc_id"):
     """A column that tells documents apart and orders them: the id itself, or, where ids repeat or are null, (null last, id, text hashes).
 
     Rows equal in id and text share a key and so a result.
     """
-    flawed = docs.groupBy(column).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(column).isNull())
-    if flawed.limit(1).count():
+    if repeats(docs, column):
         return F.struct(F.col(column).isNull().alias("unknown"), F.col(column).alias("id"), F.xxhash64("text").alias("text1"), F.xxhash64(F.lit(1), F.col("text")).alias("text2"))
     return F.col(column)
 

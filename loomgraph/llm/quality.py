@@ -194,16 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return fit([dict(zip(r.at, r.weight, strict=True)) for r in rows], np.array([r.label for r in rows], np.float64))
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without its text, with score (double) and predicted (int)."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, "score", "predicted")]
+def classify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with score (double) and predicted (int), with its text or without; columns of docs named so give way."""
+    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
     names = [f.name for f in kept]
+    at = names.index(text) if keep_text else len(names)
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_size(batches, len(names), 2_000_000):
-            score = handed.value.score([terms(x) for x in part.column(len(names)).to_pylist()])
+        for part in by_size(batches, at, 2_000_000):
+            score = handed.value.score([terms(x) for x in part.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(score), pa.array((score >= GOOD).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.select(*names, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, *([] if keep_text else [text])).mapInArrow(run, schema)

@@ -16,16 +16,16 @@ TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Fitted on labelled rows outside the held-out fold."""
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
-    return quality.train(read(spark, sf_dir, "documents").filter(learn), read(spark, sf_dir, "labels").filter(learn))
+    return quality.train(docs.filter(learn), labels.filter(learn))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return quality.classify(docs, quality_model(spark, sf_dir)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return quality.classify(docs, quality_model(docs, read(spark, sf_dir, "labels")), keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +120,13 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
-g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS rn FROM p),
-c AS (SELECT DISTINCT doc_id, i + o AS k FROM g, (SELECT unnest(range(20)) AS o) WHERE rn > 1),
-k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
-j AS (SELECT k.doc_id, word, k.k, c.k IS NOT NULL AS gone FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.k = c.k),
-a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY 1)
+k AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+g AS (SELECT doc_id, k, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS g FROM k),
+d AS (SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1 AS again FROM g WHERE k + 19 <= n),
+c AS (
+  SELECT k.doc_id, k.k, k.word, coalesce(bool_or(again) OVER (PARTITION BY k.doc_id ORDER BY k.k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM k LEFT JOIN d ON k.doc_id = d.doc_id AND k.k = d.k),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY 1)
 SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN a USING (doc_id)
 """
