@@ -1,18 +1,21 @@
 """Near duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct shingles of five words (lower-cased A-Z); two documents are linked if
-100 * intersection >= 75 * union. Equal sets are one representative from the start. Each set is embedded as ``COORDINATES``
-minwise tokens (coordinate, least hash). From the root of each of ``TREES`` independent trees, representatives branch: a node chooses one or two
-coordinates, the same for all its members, and members that hold the same token there go to the same child. Sets of similarity s
-keep a common path with s expected matches for each choice, so similar pairs survive and others part. Nodes of at most ``SMALL`` members are
-compared exhaustively by their tokens; larger ones branch again, up to ``DEPTH`` levels, and what is still large then is compared in
-blocks, exhaustively as well. At similarity 0.75 a tree finds a pair at the first level with probability 0.84, at the sixth with
-0.58; ten trees miss one with probability 1e-8 to 2e-4.
-
-Candidates with too few equal tokens (under ``NEAR`` of them, 4.6 standard deviations below 0.75) are dropped; the others are confirmed on
-their full shingle sets, recomputed from the texts. So that groups of copies don't give all their pairs: first the nodes give
-spanning forests (large nodes: links to their least member), which are confirmed and joined into components; then only
-nodes whose members lie in several components go on, and only pairs across components are compared.
+100 * intersection >= 75 * union. Equal sets are one representative from the start. Each set is embedded as minwise tokens
+(coordinate, least hash). From the root of each of ``TREES`` independent trees, representatives branch: a node chooses one or two of
+``COORDINATES`` coordinates, the same for all its members, and members that hold the same token there go to the same child. Sets of
+similarity s keep s common choices of each one, so similar pairs survive and others part. Nodes of at most ``SMALL`` members are compared
+exhaustively by sketches (``SKETCH`` coordinates, four bits each); larger ones branch again, up to ``DEPTH`` levels, and what is
+still large then is compared in blocks, exhaustively as well. At similarity 0.75 a tree finds a pair at the first level with probability 0.84,
+at the sixth with 0.58; ten trees miss one with probability 1e-8 to 2e-4.
+
+Candidates whose sketches put the similarity under ``NEAR`` (4.2 standard deviations below 0.75) are dropped; others are confirmed on
+their full shingle sets, recomputed from the texts. So that groups of copies don't give all their pairs, it goes in two rounds:
+
+1. Nodes give spanning forests of their candidates (large nodes: links to their least member); these are confirmed and joined into
+   components. From then on only nodes that hold several components branch, and forests only span components.
+2. Forests and stars of all levels join documents into clouds: every candidate of any node lies in one cloud. A cloud of several components is
+   compared exhaustively once, across components alone, in pairs of blocks; the candidates are confirmed and complete the components.
 
 Null, empty and word-less texts have the empty set and are linked with nothing; under five words the whole sequence is the one
 shingle. Rows equal in id and text are one document; null ids come last. Texts are whole. Empty tables give empty results.
@@ -38,13 +41,15 @@ from loomgraph.llm.substrings import ODD, mix
 SHINGLE, PERCENT = 5, 75
 #: Minwise tokens, trees, levels, members of a node that is compared at once, members of a block of a larger one.
 COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 64, 1024
-#: Least share of equal tokens of a candidate.
-NEAR = 0.5
+#: Coordinates of a sketch, and least similarity by sketches of a candidate.
+SKETCH, NEAR = 512, 0.67
+#: Documents whose texts are told from the rest by a broadcast of their ids, at most; more are joined like any table.
+FEW = 2_000_000
 #: Members confirmed against one document in a task, about.
 MEMBERS = 256
 
 _draw = np.random.default_rng(23)
-MULTIPLIERS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = _draw.integers(1, 2**31, SKETCH).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -62,17 +67,20 @@ def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def minwise(one: np.ndarray) -> np.ndarray:
-    """The upper halves of the least products with each multiplier."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(one), 4096):
-        np.minimum(least, (one[at : at + 4096, None] * MULTIPLIERS[None, :]).min(0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+def minwise(one: np.ndarray) -> tuple[bytes, bytes]:
+    """A set's tokens (32 bits of COORDINATES coordinates) and its sketch (four bits of SKETCH ones)."""
+    x = (one >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(least, (x[at : at + 512, None] * MULTIPLIERS[None, :]).min(0), out=least)
+    low = (least & np.uint32(15)).astype(np.uint8)
+    return least[:COORDINATES].astype("<u4").tobytes(), (low[::2] << 4 | low[1::2]).tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows (doc, n, set1, set2, tokens) from docs (doc, text): set size, 128 bits that tell sets apart, minwise tokens."""
-    schema = T.StructType([docs.schema["doc"], *(T.StructField(x, T.LongType()) for x in ("n", "set1", "set2")), T.StructField("tokens", T.BinaryType())])
+    """Rows (doc, n, set1, set2, tokens, sketch) from docs (doc, text): set size, 128 bits that tell sets apart, minwise tokens and sketch."""
+    longs = [T.StructField(x, T.LongType()) for x in ("n", "set1", "set2")]
+    schema = T.StructType([docs.schema["doc"], *longs, T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches, 1, 8_000_000):
@@ -80,9 +88,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             for text in part.column(1).to_pylist():
                 one = shingles(lower_ascii(text))
                 sums = np.array([one.sum(dtype=np.uint64), mix(one + np.uint64(77)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-                rows.append((len(one), int(sums[0]), int(sums[1]), minwise(one).tobytes() if len(one) else b""))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.fieldNames())
+                rows.append((len(one), int(sums[0]), int(sums[1]), *(minwise(one) if len(one) else (b"", b""))))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -130,12 +138,19 @@ def branched(rows: DataFrame, trees: int = 0) -> DataFrame:
     return rows.select("doc", "tokens", *([] if trees else ["node"])).mapInArrow(run, schema)
 
 
-def equal_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(1)
+def as_sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
 
 
-def close_pairs(node: np.ndarray, tokens: np.ndarray, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one node with enough equal tokens, of different parts if given; rows are sorted by node."""
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities by sketches; four bits agree by chance in a sixteenth of the places."""
+    apart = a ^ b
+    equal = (((apart & 15) == 0).sum(1) + ((apart & 240) == 0).sum(1)) / SKETCH
+    return (equal - 1 / 16) / (15 / 16)
+
+
+def close_pairs(node: np.ndarray, sketches: np.ndarray, part: np.ndarray | None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one node that are candidates, of different parts and sides if given (a negative side is none); rows are sorted by node."""
     ones, twos, shares = [], [], []
     n = len(node)
     for d in range(1, n):
@@ -144,9 +159,11 @@ def close_pairs(node: np.ndarray, tokens: np.ndarray, part: np.ndarray | None) -
             break
         if part is not None:
             i = i[part[i] != part[i + d]]
+        if side is not None:
+            i = i[(side[i] < 0) | (side[i] != side[i + d])]
         for at in range(0, len(i), 20_000):
             some = i[at : at + 20_000]
-            share = equal_share(tokens[some], tokens[some + d])
+            share = likeness(sketches[some], sketches[some + d])
             good = share >= NEAR
             ones.append(some[good])
             twos.append(some[good] + d)
@@ -156,9 +173,9 @@ def close_pairs(node: np.ndarray, tokens: np.ndarray, part: np.ndarray | None) -
     return np.concatenate(ones), np.concatenate(twos), np.concatenate(shares)
 
 
-def forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
-    """Which of the pairs form a maximum spanning forest."""
-    root = list(range(n))
+def forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Which of the pairs form a maximum spanning forest over rows; joined gives rows that are one already the same number."""
+    root = list(range(int(joined.max()) + 1)) if len(joined) else []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -168,7 +185,7 @@ def forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, n: int) -> np.ndarra
 
     out = []
     for k in np.argsort(-share, kind="stable").tolist():
-        a, b = find(int(i[k])), find(int(j[k]))
+        a, b = find(int(joined[i[k]])), find(int(joined[j[k]]))
         if a != b:
             root[a] = b
             out.append(k)
@@ -197,55 +214,63 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def compare_nodes(rows: DataFrame, across: bool) -> DataFrame:
-    """Candidate pairs (a, b) among rows (node, doc, tokens, part) of small nodes: all that lie in different parts, or spanning forests."""
+def compare_nodes(rows: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs (a, b) across the parts of each node: all of them, or a spanning forest. rows: (node, doc, sketch, part, side)."""
     kind = rows.schema["doc"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_nodes(batches):
-            node = table.column(0).to_numpy()
+            node, part = table.column(0).to_numpy(), table.column(3).to_numpy()
             docs = table.column(1).combine_chunks()
-            part = table.column(3).to_numpy() if across else None
-            i, j, share = close_pairs(node, as_tokens(table.column(2)), part)
-            if not across:
-                keep = forest(i, j, share, len(node))
+            i, j, share = close_pairs(node, as_sketches(table.column(2)), part, table.column(4).to_numpy())
+            if not every:
+                _, joined = np.unique(np.stack([node, part], 1), axis=0, return_inverse=True)
+                keep = forest(i, j, share, joined.ravel())
                 i, j = i[keep], j[keep]
             if len(i):
                 yield pa.RecordBatch.from_arrays([docs.take(pa.array(i)), docs.take(pa.array(j))], names=["a", "b"])
 
-    columns = ["node", "doc", "tokens", *(["part"] if across else [])]
-    return rows.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
+    return rows.select("node", "doc", "sketch", "part", "side").repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
-    """Of rows (a, b, tokens, others) the pairs with enough equal tokens."""
+    """Of rows (a, b, sketch, other) the candidate pairs."""
     kind = rows.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                good = equal_share(as_tokens(batch.column(2)), as_tokens(batch.column(3))) >= NEAR
+                good = likeness(as_sketches(batch.column(2)), as_sketches(batch.column(3))) >= NEAR
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
-    return rows.select("a", "b", "tokens", "others").mapInArrow(run, schema)
+    return rows.select("a", "b", "sketch", "other").mapInArrow(run, schema)
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of each large node's least member with its others; least members are found before shuffling."""
-    centre = rows.groupBy("node").agg(F.min(F.struct("doc", "tokens")).alias("least"))
-    joined = rows.join(centre, "node").filter(F.col("doc") != F.col("least.doc"))
-    return near_pairs(joined.select(F.col("least.doc").alias("a"), F.col("doc").alias("b"), "tokens", F.col("least.tokens").alias("others")))
+    """Candidate pairs (a, b) of each large node's least member with others of other parts; least members are found before shuffling."""
+    centre = rows.groupBy("node").agg(F.min(F.struct("doc", "sketch", "part")).alias("least"))
+    joined = rows.join(centre, "node").filter(F.col("part") != F.col("least.part"))
+    return near_pairs(joined.select(F.col("least.doc").alias("a"), F.col("doc").alias("b"), "sketch", F.col("least.sketch").alias("other")))
 
 
-def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs across parts in nodes that stayed large: every pair of blocks of a node meets in a task of its own."""
+def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows (node, doc, sketch, part, size), each once for every pair of blocks of its node that it lies in: node then names that pair, and
+    side the block, or -1 where a block meets itself."""
     cells = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     dealt = rows.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
-    met = dealt.select("*", other).withColumn("node", F.xxhash64("node", F.least("cell", "other"), F.greatest("cell", "other")))
-    return compare_nodes(met, True)
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    side = F.when(F.col("cell") == F.col("other"), -1).otherwise(F.col("cell")).cast("long")
+    return met.withColumn("side", side).withColumn("node", F.xxhash64("node", F.least("cell", "other"), F.greatest("cell", "other")))
+
+
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that pairs name. If these are FEW at most, their ids are broadcast, so that other texts aren't shuffled."""
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    if wanted.limit(FEW + 1).count() > FEW:
+        return texts
+    return texts.join(F.broadcast(wanted), "doc", "left_semi")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -258,7 +283,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     member = dealt.select("a", "salt", F.col("b").alias("doc"), F.lit(True).alias("member"))
     head = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc"), F.lit(False).alias("member"))
-    sent = member.unionByName(head).join(texts.select("doc", "text"), "doc").select("a", "salt", "member", "doc", "text")
+    sent = member.unionByName(head).join(texts_of(pairs, texts.select("doc", "text")), "doc").select("a", "salt", "member", "doc", "text")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,40 +315,53 @@ def sized(rows: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, n, rep) of every document and (doc, tokens) of the representatives of its non-empty sets; docs: (doc, text)."""
+    """(doc, n, rep) of every document and (doc, tokens, sketch) of the representatives of its non-empty sets; docs: (doc, text)."""
     found = stored(signatures(docs), "near-signatures")
-    groups = found.filter("n > 0").groupBy("set1", "set2").agg(F.min(F.struct("doc", "tokens")).alias("least"))
-    groups = stored(groups.select("set1", "set2", F.col("least.doc").alias("rep"), F.col("least.tokens").alias("tokens")), "near-sets")
+    groups = found.filter("n > 0").groupBy("set1", "set2").agg(F.min(F.struct("doc", "tokens", "sketch")).alias("least"))
+    groups = stored(groups.select("set1", "set2", F.col("least.doc").alias("rep"), F.col("least.tokens").alias("tokens"), F.col("least.sketch").alias("sketch")), "near-sets")
     member = found.select("doc", "n", F.when(F.col("n") > 0, F.col("set1")).alias("set1"), "set2").join(groups.select("set1", "set2", "rep"), ["set1", "set2"], "left")
-    return member.select("doc", "n", F.coalesce("rep", "doc").alias("rep")), groups.select(F.col("rep").alias("doc"), "tokens")
+    return member.select("doc", "n", F.coalesce("rep", "doc").alias("rep")), groups.select(F.col("rep").alias("doc"), "tokens", "sketch")
 
 
-def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+def parted(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """rows with the number of their document's component as part, and no side."""
+    if joined is None:
+        return rows.withColumn("part", F.xxhash64("doc")).withColumn("side", F.lit(-1).cast("long"))
+    held = rows.join(joined, F.col("doc") == F.col("v"), "left")
+    return held.withColumn("part", F.xxhash64(F.coalesce("c", "doc"))).drop("v", "c").withColumn("side", F.lit(-1).cast("long"))
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold several parts, with the node's size."""
+    several = rows.groupBy("node").agg((F.min("part") != F.max("part")).alias("several"), F.count("*").alias("size")).filter("several").select("node", "size")
+    return rows.join(several, "node")
+
+
+def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Confirmed links (a, b) that connect whatever all links would."""
-    level = stored(sized(branched(reps, trees)).join(reps, "doc"), "near-level")
+    sketches = reps.select("doc", "sketch")
     large = F.col("size") > small
-    first = compare_nodes(level.filter(~large), False).unionByName(stars(level.filter(large)))
-    tried = stored(ordered_pairs(first), "near-pairs")
+    level = stored(parted(sized(branched(reps, trees)).join(sketches, "doc"), None), "near-level")
+    tried = stored(ordered_pairs(compare_nodes(level.filter(~large), False).unionByName(stars(level.filter(large)))), "near-pairs")
     held = stored(confirm(tried, texts), "near-links")
     joined = components(held)
-    candidates = []
-    for step in range(depth):
-        parted = level.join(joined, F.col("doc") == F.col("v"), "left").withColumn("part", F.xxhash64(F.coalesce("c", "doc"))).drop("v", "c")
-        mixed = parted.groupBy("node").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("node")
-        parted = stored(parted.join(mixed, "node"), "near-mixed")
-        candidates.append(compare_nodes(parted.filter(~large), True))
-        rest = parted.filter(large)
+    clouds = tried
+    for step in range(1, depth):
+        rest = parted(level.filter(large).select("node", "doc"), joined)
+        rest = mixed(rest).select("node", "doc")
         if not rest.limit(1).count():
             break
-        if step == depth - 1:
-            candidates.append(block_pairs(rest))
-            break
-        level = stored(sized(branched(rest)).join(reps, "doc"), "near-level")
-    more = candidates[0]
-    for x in candidates[1:]:
-        more = more.unionByName(x)
-    more = stored(ordered_pairs(more).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    return held.unionByName(confirm(more, texts))
+        below = sized(branched(rest.join(reps, "doc"))).drop("size")
+        level = stored(mixed(parted(below.join(sketches, "doc"), joined)), "near-level")
+        if step < depth - 1:
+            found = compare_nodes(level.filter(~large), False).unionByName(stars(level.filter(large)))
+        else:
+            found = compare_nodes(level.filter(~large), False).unionByName(compare_nodes(in_blocks(level.filter(large), block), False))
+        clouds = clouds.unionByName(stored(ordered_pairs(found), "near-pairs"))
+    cloud = components(clouds).select(F.col("v").alias("doc"), F.xxhash64("c").alias("node"))
+    several = stored(mixed(parted(cloud, joined)).drop("side").join(sketches, "doc"), "near-clouds")
+    more = ordered_pairs(compare_nodes(in_blocks(several, block), True)).join(tried, ["a", "b"], "left_anti")
+    return held.unionByName(confirm(stored(more, "near-pairs"), texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
