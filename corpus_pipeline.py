@@ -11,20 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, mixing, neardup, quality, substrings
-from loomgraph.llm.common import digest, read, repeats, stored, sweep
+from loomgraph.llm.common import digest, read, release, repeats, stored, sweep
 from loomgraph.llm.queries import BYTE_BPE, quality_model
 
 
+def begin(spark: SparkSession) -> None:
+    """A stage begins when its predecessor's result has been written: what that left behind goes."""
+    sweep(spark)
+    release(spark)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least quality.GOOD."""
-    sweep(spark)
+    begin(spark)
     model = quality_model(docs, read(spark, sf_dir, "labels"))
     return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate group; of rows equal in id and text, one."""
-    sweep(spark)
+    begin(spark)
     if repeats(docs):
         docs = stored(docs.dropDuplicates(["doc_id", "text"]), "pipeline-distinct")
     return neardup.near_duplicates(docs).filter("kept").select(*docs.columns)
@@ -32,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words under windows that start earlier; n_chars follows the text."""
-    sweep(spark)
+    begin(spark)
     found = substrings.deduplicate(docs)
     chars = F.when(F.col("removed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", chars).select(*docs.columns)
@@ -40,7 +46,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none to three times."""
-    sweep(spark)
+    begin(spark)
     mixed = mixing.mix(docs).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("copies")).filter("copies > 0")
     named = mixed.select(F.col("doc_id").alias("mixed_id"), "row_hash", "copies")
     hashed = docs.withColumn("own_hash", F.xxhash64("doc_id", "text"))
@@ -50,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document taken, with digests of the ids and of the text that they decode to."""
-    sweep(spark)
+    begin(spark)
     coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), BYTE_BPE)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,13 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles, broadcasts and checkpoints that nothing refers to any more: it acts on the driver's garbage
+    collections, which a long run of small jobs on a large heap seldom brings about."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def digest(column):
     return F.sha2((F.col(column) if isinstance(column, str) else column).cast("binary"), 256)
 

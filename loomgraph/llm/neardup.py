@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_size, document_key, lower_ascii, packed_texts, stored, unpack, word_hashes
+from loomgraph.llm.common import by_size, document_key, lower_ascii, packed_texts, release, stored, unpack, word_hashes
 from loomgraph.llm.components import components
 from loomgraph.llm.substrings import ODD, mix
 
 #: Words of a shingle; least similarity in percent.
 SHINGLE, PERCENT = 5, 75
 #: Minwise tokens, trees, levels, members of a node that is compared at once, members of a block of a larger one.
-COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 64, 1024
+COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 2048, 1024
 #: Coordinates of a sketch, and least similarity by sketches of a candidate.
 SKETCH, NEAR = 512, 0.67
 #: Documents whose texts are told from the rest by a broadcast of their ids, at most; more are joined like any table.
@@ -345,6 +345,7 @@ def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DE
     tried = stored(ordered_pairs(compare_nodes(level.filter(~large), False).unionByName(stars(level.filter(large)))), "near-pairs")
     held = stored(confirm(tried, texts), "near-links")
     joined = components(held)
+    release(reps.sparkSession)
     clouds = tried
     for step in range(1, depth):
         rest = parted(level.filter(large).select("node", "doc"), joined)
@@ -358,10 +359,13 @@ def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DE
         else:
             found = compare_nodes(level.filter(~large), False).unionByName(compare_nodes(in_blocks(level.filter(large), block), False))
         clouds = clouds.unionByName(stored(ordered_pairs(found), "near-pairs"))
+        release(reps.sparkSession)
     cloud = components(clouds).select(F.col("v").alias("doc"), F.xxhash64("c").alias("node"))
     several = stored(mixed(parted(cloud, joined)).drop("side").join(sketches, "doc"), "near-clouds")
     more = ordered_pairs(compare_nodes(in_blocks(several, block), True)).join(tried, ["a", "b"], "left_anti")
-    return held.unionByName(confirm(stored(more, "near-pairs"), texts))
+    more = stored(more, "near-pairs")
+    release(reps.sparkSession)
+    return held.unionByName(confirm(more, texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -371,7 +375,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     plain = keyed.select("doc", "text")
     member, reps = representatives(plain)
     found = links(reps, packed_texts(plain))
-    label = components(found)
+    label = components(stored(found, "near-links"))
+    release(docs.sparkSession)
     struct = isinstance(keyed.schema["doc"].dataType, T.StructType)
     least = F.coalesce("c", "rep")
     out = member.join(label, F.col("rep") == F.col("v"), "left").select("doc", "n", least.alias("least"))

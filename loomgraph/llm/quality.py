@@ -16,6 +16,7 @@ repeat score alike. Extra columns pass through. Only the sample is shuffled; doc
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -179,19 +180,18 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fit on the driver what a bounded number of labelled rows gives; terms are made where the rows are."""
-    schema = "at array<int>, weight array<float>, label int"
+    """Fit on a bounded number of labelled rows, in one task; only the model, of fixed size, comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, 0, 1_000_000):
-            found = [terms(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.float32())), batch.column(1).cast(pa.int32())],
-                names=["at", "weight", "label"],
-            )
-
-    rows = sample(docs, labels, most).mapInArrow(run, schema).collect()
-    return fit([dict(zip(r.at, r.weight, strict=True)) for r in rows], np.array([r.label for r in rows], np.float64))
+        found: list[dict[int, float]] = []
+        known: list[int] = []
+        for batch in batches:
+            found += [terms(x) for x in batch.column(0).to_pylist()]
+            known += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, np.array(known, np.float64)))], pa.binary())], names=["model"])
+
+    rows = sample(docs, labels, most).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0].model) if rows else fit([], np.zeros(0))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_size, document_key, packed_texts, stored, taken, unpack, word_hashes, words
+from loomgraph.llm.common import by_size, document_key, packed_texts, release, stored, taken, unpack, word_hashes, words
 
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 20, 6
@@ -314,6 +314,7 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, window: int, gram: int, h
         .when(F.col("different") > 1, "shard")
     )
     found = stored(ranked.filter((F.col("all") > 1) | (F.col("salt") >= 0)).withColumn("kind", kind).filter("kind IS NOT NULL").select("kind", "gram", "zone", "doc", "start", "n"), "dedup-zones")
+    release(keyed.sparkSession)
     whole = found.filter("kind = 'whole'").select("doc", "start", "n")
     first, later = not_first(found.filter("kind = 'hot'").drop("kind"), ["gram", "zone"])
     open_zones = found.filter("kind IN ('shard', 'crowded')").select("doc", F.struct("gram", "start", "n", (F.col("kind") == "crowded").alias("crowded")).alias("z"))
