@@ -43,12 +43,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a DataFrame in the shared folder and cut its lineage; for tables that stay small beside the input."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Tables that stored() wrote for this process's session, until sweep() removes them.
 _made: list[str] = []
 
@@ -66,6 +60,12 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a step of an iteration and cut its lineage. As a written table its size is known, so that joins with it are broadcast
+    while it is small and shuffled when it is not; a checkpoint would compute it twice and hide its size."""
+    return stored(df, "step")
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove what stored() has written so far. For callers that know that every result which reads it has been written."""
     while _made:

@@ -20,9 +20,10 @@ of the smallest document of a group.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm.common import WORD, cut, stored
 
@@ -87,18 +88,19 @@ def solve(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return state.select("of", "multiplier")
 
 
-def round_group(rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Copies of a group's documents by error diffusion in descending order of size."""
-    rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
-    low = np.minimum(np.floor(rows["rate"].to_numpy() + 1e-9), most)
-    sizes, rates = rows["size"].to_numpy(), rows["rate"].to_numpy()
-    copies, owed = low.astype(np.int64), 0.0
-    for k in range(len(sizes)):
-        owed += sizes[k] * max(0.0, rates[k] - low[k])
-        if low[k] < most and owed >= sizes[k] / 2 and rates[k] - low[k] > 1e-9:
+def round_group(rows: pa.Table, most: int) -> pa.Array:
+    """Copies of a group's documents by error diffusion in descending order of size; ties by hash of the id, then by id and text."""
+    size, rate = rows["size"].to_numpy(), rows["rate"].to_numpy()
+    order = np.lexsort((rows["row_hash"].to_numpy(), rows["order"].to_numpy(), -size))
+    low = np.minimum(np.floor(rate + 1e-9), most).astype(np.int64)
+    part = np.where((low < most) & (rate - low > 1e-9), rate - low, 0.0)
+    copies, owed = low.copy(), 0.0
+    for k in order.tolist():
+        owed += size[k] * part[k]
+        if part[k] and owed >= size[k] / 2:
             copies[k] += 1
-            owed -= sizes[k]
-    return rows.assign(copies=copies)
+            owed -= size[k]
+    return pa.array(copies)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -119,10 +121,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, g
     dealt = base.join(plan, F.col("source").eqNullSafe(F.col("named"))).select(
         "doc_id", "source", "size", "source_size", "target", "row_hash", "rate", F.pmod("row_hash", F.col("groups")).alias("dealt"), F.xxhash64("doc_id").alias("order")
     )
-    schema = "doc_id long, source string, size long, source_size long, target double, copies long, row_hash long"
+    kept = ["doc_id", "source", "size", "source_size", "target", "row_hash"]
+    schema = T.StructType([*(dealt.schema[c] for c in kept), T.StructField("copies", T.LongType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return round_group(rows, most)[["doc_id", "source", "size", "source_size", "target", "copies", "row_hash"]]
-
-    return dealt.groupBy("source", "dealt").applyInPandas(run, schema)
+    def run(rows: pa.Table) -> pa.Table:
+        return rows.select(kept).append_column("copies", round_group(rows, most))
 
+    return dealt.groupBy("source", "dealt").applyInArrow(run, schema)

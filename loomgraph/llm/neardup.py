@@ -13,7 +13,7 @@ Candidates whose sketches put the similarity under ``NEAR`` (4.2 standard deviat
 their full shingle sets, recomputed from the texts. So that groups of copies don't give all their pairs, it goes in two rounds:
 
 1. Nodes give spanning forests of their candidates (large nodes: links to their least member); these are confirmed and joined into
-   components. From then on only nodes that hold several components branch, and forests only span components.
+   components. From then on only large nodes that hold several components branch, and forests only span components.
 2. Forests and stars of all levels join documents into clouds: every candidate of any node lies in one cloud. A cloud of several components is
    compared exhaustively once, across components alone, in pairs of blocks; the candidates are confirmed and complete the components.
 
@@ -40,9 +40,11 @@ from loomgraph.llm.substrings import ODD, mix
 #: Words of a shingle; least similarity in percent.
 SHINGLE, PERCENT = 5, 75
 #: Minwise tokens, trees, levels, members of a node that is compared at once, members of a block of a larger one.
-COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 2048, 1024
+COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 8192, 1024
 #: Coordinates of a sketch, and least similarity by sketches of a candidate.
 SKETCH, NEAR = 512, 0.67
+#: Similarity by sketches of the candidates that a forest takes first.
+STRONG = 0.85
 #: Documents whose texts are told from the rest by a broadcast of their ids, at most; more are joined like any table.
 FEW = 2_000_000
 #: Members confirmed against one document in a task, about.
@@ -149,47 +151,51 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - 1 / 16) / (15 / 16)
 
 
-def close_pairs(node: np.ndarray, sketches: np.ndarray, part: np.ndarray | None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one node that are candidates, of different parts and sides if given (a negative side is none); rows are sorted by node."""
-    ones, twos, shares = [], [], []
-    n = len(node)
-    for d in range(1, n):
-        i = np.flatnonzero(node[:-d] == node[d:])
-        if not len(i):
+def neighbours(node: np.ndarray, d: int, side: np.ndarray) -> np.ndarray:
+    """Rows whose d-th next row lies in their node, on another side (a negative side is none); rows are sorted by node."""
+    i = np.flatnonzero(node[:-d] == node[d:])
+    return i[(side[i] < 0) | (side[i] != side[i + d])] if len(i) else i
+
+
+def close_pairs(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs of rows of one node that lie in different parts."""
+    ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, len(node)):
+        if not (node[:-d] == node[d:]).any():
             break
-        if part is not None:
-            i = i[part[i] != part[i + d]]
-        if side is not None:
-            i = i[(side[i] < 0) | (side[i] != side[i + d])]
+        i = neighbours(node, d, side)
+        i = i[part[i] != part[i + d]]
         for at in range(0, len(i), 20_000):
             some = i[at : at + 20_000]
-            share = likeness(sketches[some], sketches[some + d])
-            good = share >= NEAR
-            ones.append(some[good])
-            twos.append(some[good] + d)
-            shares.append(share[good])
-    if not ones:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(ones), np.concatenate(twos), np.concatenate(shares)
-
-
-def forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, joined: np.ndarray) -> np.ndarray:
-    """Which of the pairs form a maximum spanning forest over rows; joined gives rows that are one already the same number."""
-    root = list(range(int(joined.max()) + 1)) if len(joined) else []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k in np.argsort(-share, kind="stable").tolist():
-        a, b = find(int(joined[i[k]])), find(int(joined[j[k]]))
-        if a != b:
-            root[a] = b
-            out.append(k)
-    return np.array(out, np.int64)
+            some = some[likeness(sketches[some], sketches[some + d]) >= NEAR]
+            ones.append(some)
+            twos.append(some + d)
+    return np.concatenate(ones), np.concatenate(twos)
+
+
+def spanning(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs that span, with the parts, whatever all candidate pairs of a node would: strong ones first, and none between rows
+    that are joined already, which aren't even compared."""
+    _, tree = np.unique(np.stack([node, part], 1), axis=0, return_inverse=True)
+    tree = tree.ravel().copy()
+    first = np.searchsorted(node, node, "left")
+    end = np.searchsorted(node, node, "right")
+    pairs: list[tuple[int, int]] = []
+    for least in (STRONG, NEAR):
+        for d in range(1, len(node)):
+            if not (node[:-d] == node[d:]).any():
+                break
+            i = neighbours(node, d, side)
+            i = i[tree[i] != tree[i + d]]
+            for at in range(0, len(i), 20_000):
+                some = i[at : at + 20_000]
+                for a in some[likeness(sketches[some], sketches[some + d]) >= least].tolist():
+                    if tree[a] != tree[a + d]:
+                        own = tree[first[a] : end[a]]
+                        own[own == tree[a + d]] = tree[a]
+                        pairs.append((a, a + d))
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def whole_nodes(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.Table]:
@@ -223,11 +229,7 @@ def compare_nodes(rows: DataFrame, every: bool) -> DataFrame:
         for table in whole_nodes(batches):
             node, part = table.column(0).to_numpy(), table.column(3).to_numpy()
             docs = table.column(1).combine_chunks()
-            i, j, share = close_pairs(node, as_sketches(table.column(2)), part, table.column(4).to_numpy())
-            if not every:
-                _, joined = np.unique(np.stack([node, part], 1), axis=0, return_inverse=True)
-                keep = forest(i, j, share, joined.ravel())
-                i, j = i[keep], j[keep]
+            i, j = (close_pairs if every else spanning)(node, as_sketches(table.column(2)), part, table.column(4).to_numpy())
             if len(i):
                 yield pa.RecordBatch.from_arrays([docs.take(pa.array(i)), docs.take(pa.array(j))], names=["a", "b"])
 
@@ -267,20 +269,20 @@ def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The texts that pairs name. If these are FEW at most, their ids are broadcast, so that other texts aren't shuffled."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    if wanted.limit(FEW + 1).count() > FEW:
-        return texts
-    return texts.join(F.broadcast(wanted), "doc", "left_semi")
+    wanted = stored(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "near-wanted")
+    return texts if wanted.count() > FEW else texts.join(F.broadcast(wanted), "doc", "left_semi")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough. texts: (doc, text compressed).
+    """Pairs (a, b) whose full shingle sets are similar enough. pairs: a written table; texts: (doc, text compressed).
 
-    Members b are confirmed against their a, about MEMBERS of them in a group, so each text travels once for each pair.
+    Members b are confirmed against their a; an a with more than MEMBERS of them is salted, so each text travels once for each pair and
+    an a once for each salt.
     """
     kind = pairs.schema["a"].dataType
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS).select("a", F.ceil(F.col("n") / MEMBERS).alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0))
+    dealt = pairs.join(stored(many, "near-many"), "a", "left").select("a", "b", salt.alias("salt"))
     member = dealt.select("a", "salt", F.col("b").alias("doc"), F.lit(True).alias("member"))
     head = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc"), F.lit(False).alias("member"))
     sent = member.unionByName(head).join(texts_of(pairs, texts.select("doc", "text")), "doc").select("a", "salt", "member", "doc", "text")
@@ -337,45 +339,49 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.join(several, "node")
 
 
+def candidates(level: DataFrame, small: int, block: int | None = None) -> DataFrame:
+    """Spanning candidates of a level's nodes: small ones compared, large ones by stars or, with block, in pairs of blocks. level: a written table."""
+    large = F.col("size") > small
+    found = compare_nodes(level.filter(~large), False)
+    if level.filter(large).limit(1).count():
+        found = found.unionByName(compare_nodes(in_blocks(level.filter(large), block), False) if block else stars(level.filter(large)))
+    return stored(ordered_pairs(found), "near-pairs")
+
+
 def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Confirmed links (a, b) that connect whatever all links would."""
+    spark = reps.sparkSession
     sketches = reps.select("doc", "sketch")
-    large = F.col("size") > small
     level = stored(parted(sized(branched(reps, trees)).join(sketches, "doc"), None), "near-level")
-    tried = stored(ordered_pairs(compare_nodes(level.filter(~large), False).unionByName(stars(level.filter(large)))), "near-pairs")
+    tried = candidates(level, small)
     held = stored(confirm(tried, texts), "near-links")
     joined = components(held)
-    release(reps.sparkSession)
+    release(spark)
     clouds = tried
     for step in range(1, depth):
-        rest = parted(level.filter(large).select("node", "doc"), joined)
-        rest = mixed(rest).select("node", "doc")
+        rest = level.filter(F.col("size") > small).select("node", "doc")
         if not rest.limit(1).count():
             break
+        rest = mixed(parted(rest, joined)).select("node", "doc")
         below = sized(branched(rest.join(reps, "doc"))).drop("size")
         level = stored(mixed(parted(below.join(sketches, "doc"), joined)), "near-level")
-        if step < depth - 1:
-            found = compare_nodes(level.filter(~large), False).unionByName(stars(level.filter(large)))
-        else:
-            found = compare_nodes(level.filter(~large), False).unionByName(compare_nodes(in_blocks(level.filter(large), block), False))
-        clouds = clouds.unionByName(stored(ordered_pairs(found), "near-pairs"))
-        release(reps.sparkSession)
-    cloud = components(clouds).select(F.col("v").alias("doc"), F.xxhash64("c").alias("node"))
+        clouds = clouds.unionByName(candidates(level, small, block if step == depth - 1 else None))
+        release(spark)
+    cloud = components(stored(clouds, "near-pairs") if clouds is not tried else tried).select(F.col("v").alias("doc"), F.xxhash64("c").alias("node"))
     several = stored(mixed(parted(cloud, joined)).drop("side").join(sketches, "doc"), "near-clouds")
     more = ordered_pairs(compare_nodes(in_blocks(several, block), True)).join(tried, ["a", "b"], "left_anti")
     more = stored(more, "near-pairs")
-    release(reps.sparkSession)
+    release(spark)
     return held.unionByName(confirm(more, texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with n_shingles (long), component_id (of doc_id's type) and kept (boolean); columns of docs named so give way."""
     extra = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    keyed = docs.select(document_key(docs).alias("doc"), *extra)
+    keyed = docs.select(document_key(docs).alias("doc"), F.col("text"), *(F.col(c).alias(f"x_{c}") for c in extra))
     plain = keyed.select("doc", "text")
     member, reps = representatives(plain)
-    found = links(reps, packed_texts(plain))
-    label = components(stored(found, "near-links"))
+    label = components(stored(links(reps, packed_texts(plain)), "near-links"))
     release(docs.sparkSession)
     struct = isinstance(keyed.schema["doc"].dataType, T.StructType)
     least = F.coalesce("c", "rep")
@@ -386,4 +392,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (F.col("least.id") if struct else F.col("least")).alias("component_id"),
         (F.col("doc") == F.col("least")).alias("kept"),
     ).distinct()
-    return keyed.join(done, F.col("doc") == F.col("key")).select(*extra, "n_shingles", "component_id", "kept")
+    return keyed.join(done, F.col("doc") == F.col("key")).select(*(F.col(f"x_{c}").alias(c) for c in extra), "n_shingles", "component_id", "kept")
