@@ -32,7 +32,7 @@ from loomgraph.llm.common import by_size
 #: The byte-level pre-tokeniser's pattern: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens kept with their encodings before memory is given back.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Characters of text whose words share one trie.
 TRIE_CHARS = 4_000_000
 #: Characters from which on Unicode has unassigned places. The regex and tokenizers libraries follow different versions
