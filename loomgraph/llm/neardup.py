@@ -325,12 +325,23 @@ def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return member.select("doc", "n", F.coalesce("rep", "doc").alias("rep")), groups.select(F.col("rep").alias("doc"), "tokens", "sketch")
 
 
+def part_of(rows: DataFrame, key: str, joined: DataFrame | None, name: str) -> DataFrame:
+    """rows with the least document of the component of their column key as name; joined: (v, c), documents alone left out."""
+    if joined is None:
+        return rows.withColumn(name, F.col(key))
+    return rows.join(joined.select(F.col("v").alias("__v"), F.col("c").alias("__c")), F.col(key) == F.col("__v"), "left").withColumn(name, F.coalesce("__c", key)).drop("__v", "__c")
+
+
 def parted(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     """rows with the number of their document's component as part, and no side."""
-    if joined is None:
-        return rows.withColumn("part", F.xxhash64("doc")).withColumn("side", F.lit(-1).cast("long"))
-    held = rows.join(joined, F.col("doc") == F.col("v"), "left")
-    return held.withColumn("part", F.xxhash64(F.coalesce("c", "doc"))).drop("v", "c").withColumn("side", F.lit(-1).cast("long"))
+    held = part_of(rows, "doc", joined, "part")
+    return held.withColumn("part", F.xxhash64("part")).withColumn("side", F.lit(-1).cast("long"))
+
+
+def contracted(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs between components, each once, in place of pairs of documents."""
+    ends = part_of(part_of(pairs, "a", joined, "a"), "b", joined, "b")
+    return stored(ordered_pairs(ends), "near-contracted")
 
 
 def mixed(rows: DataFrame) -> DataFrame:
@@ -348,14 +359,13 @@ def candidates(level: DataFrame, small: int, block: int | None = None) -> DataFr
     return stored(ordered_pairs(found), "near-pairs")
 
 
-def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever all links would."""
+def labels(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Rows (doc, c) of all representatives: c is the least document that doc reaches over links."""
     spark = reps.sparkSession
     sketches = reps.select("doc", "sketch")
     level = stored(parted(sized(branched(reps, trees)).join(sketches, "doc"), None), "near-level")
     tried = candidates(level, small)
-    held = stored(confirm(tried, texts), "near-links")
-    joined = components(held)
+    joined = components(stored(confirm(tried, texts), "near-links"))
     release(spark)
     clouds = tried
     for step in range(1, depth):
@@ -367,12 +377,15 @@ def links(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DE
         level = stored(mixed(parted(below.join(sketches, "doc"), joined)), "near-level")
         clouds = clouds.unionByName(candidates(level, small, block if step == depth - 1 else None))
         release(spark)
-    cloud = components(stored(clouds, "near-pairs") if clouds is not tried else tried).select(F.col("v").alias("doc"), F.xxhash64("c").alias("node"))
-    several = stored(mixed(parted(cloud, joined)).drop("side").join(sketches, "doc"), "near-clouds")
+    # from here on components stand for their documents, so that what is joined already isn't walked again
+    cloud = components(contracted(clouds, joined)).select(F.col("v").alias("p"), F.xxhash64("c").alias("node"))
+    members = part_of(reps.select("doc"), "doc", joined, "p").join(cloud, "p").select("doc", "node")
+    several = stored(mixed(parted(members, joined)).drop("side").join(sketches, "doc"), "near-clouds")
     more = ordered_pairs(compare_nodes(in_blocks(several, block), True)).join(tried, ["a", "b"], "left_anti")
     more = stored(more, "near-pairs")
     release(spark)
-    return held.unionByName(confirm(more, texts))
+    last = components(contracted(confirm(more, texts), joined))
+    return part_of(part_of(reps.select("doc"), "doc", joined, "p"), "p", last, "c").select("doc", "c")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -381,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.select(document_key(docs).alias("doc"), F.col("text"), *(F.col(c).alias(f"x_{c}") for c in extra))
     plain = keyed.select("doc", "text")
     member, reps = representatives(plain)
-    label = components(stored(links(reps, packed_texts(plain)), "near-links"))
+    label = stored(labels(reps, packed_texts(plain)).filter("doc <> c"), "near-labels").withColumnRenamed("doc", "v")
     release(docs.sparkSession)
     struct = isinstance(keyed.schema["doc"].dataType, T.StructType)
     least = F.coalesce("c", "rep")

@@ -66,8 +66,7 @@ def test_near_duplicates_with_deep_trees_and_blocks(spark):
     rows = varied(3, groups=12)
     plain = spark.createDataFrame(rows, "doc long, text string")
     member, reps = neardup.representatives(plain)
-    found = neardup.links(reps, common.packed_texts(plain), small=2, depth=4, block=4)
-    label = {r.v: r.c for r in components.components(found).collect()}
+    label = {r.doc: r.c for r in neardup.labels(reps, common.packed_texts(plain), small=2, depth=4, block=4).collect()}
     held = {r.doc: label.get(r.rep, r.rep) for r in member.collect()}
     assert held == {d: least for (d, _), (_, (_, least)) in zip(rows, brute_groups(rows), strict=True)}
 
