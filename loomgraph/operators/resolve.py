@@ -132,3 +132,66 @@ def name_gate(calls: DataFrame, functions: DataFrame, generic: Column) -> DataFr
     rows = rows.join(in_file, ["file_id", "key"], "left").join(in_repo, ["repo_id", "key"], "left")
     ok = (F.length("callee_name") >= 3) & ~generic & (F.coalesce("local", F.lit(False)) | (F.coalesce("declared", F.lit(0)) == 1))
     return rows.filter(ok).select(*calls.columns)
+
+
+#: Languages of IBM i sources: fixed values.
+IBMI = "rpg rpgle sqlrpgle rpgleinc sqlrpgleinc cl clle clp dds dspf pf lf prtf ibmi_binder".split()
+
+
+def resolve_ibmi(calls: DataFrame, functions: DataFrame, exports: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Open calls of IBM i callers answered in order, names in lower case: (id, target, source, confidence).
+
+    Tiers: the same file, a unique simple name in the repository, a full and then a simple name unique over all repositories' IBM i sources, an
+    export of another repository, an export that the caller's binding directory names there. exports: (repo_id, export_name, function_id, object_name);
+    bindings: (repo_id, file_id, kind ref or entry, binding_name, target_object).
+    """
+    own = functions.filter(F.col("language").isin(*IBMI)).select(F.col("id").alias("fid"), "file_id", "repo_id", F.lower("name").alias("full"), F.lower("simple_name").alias("simple"))
+    caller = own.select(F.col("fid").alias("caller_function_id"), F.col("file_id").alias("caller_file"), F.col("repo_id").alias("caller_repo"))
+    rows = calls.join(caller, "caller_function_id").select("id", "caller_file", "caller_repo", F.lower("callee_name").alias("key"))
+    by_file = unique(own, ["file_id", "full"], "fid", "target").select(F.col("file_id").alias("caller_file"), F.col("full").alias("key"), "target")
+    by_repo = unique(own, ["repo_id", "simple"], "fid", "target").select(F.col("repo_id").alias("caller_repo"), F.col("simple").alias("key"), "target")
+    by_full = unique(own.filter(dotted(F.col("full"))), ["full"], "fid", "target").withColumnRenamed("full", "key")
+    by_simple = unique(own, ["simple"], "fid", "target").withColumnRenamed("simple", "key")
+    out = exports.filter("function_id IS NOT NULL").select(F.col("repo_id").alias("x_repo"), F.lower("export_name").alias("key"), F.col("function_id").alias("x"), F.lower("object_name").alias("object"))
+    exported = unique(rows.join(out, "key").filter("x_repo <> caller_repo").select("id", "x").distinct(), ["id"], "x", "target")
+    refs = bindings.filter("kind = 'ref'").select(F.col("file_id").alias("caller_file"), F.lower("binding_name").alias("binding"))
+    entries = bindings.filter("kind = 'entry'").select(F.lower("binding_name").alias("binding"), F.col("repo_id").alias("x_repo"), F.lower("target_object").alias("wanted"))
+    bound = rows.join(refs, "caller_file").join(entries, "binding").filter("x_repo <> caller_repo").join(out, ["x_repo", "key"])
+    bound = bound.filter(F.col("wanted").isNull() | F.col("object").isNull() | (F.col("wanted") == F.col("object")))
+    by_binding = unique(bound.select("id", "x").distinct(), ["id"], "x", "target")
+    tiers = [
+        (rows.join(by_file, ["caller_file", "key"]), "ibmi_same_file", "high"),
+        (rows.join(by_repo, ["caller_repo", "key"]), "ibmi_unique_repo", "medium"),
+        (rows.join(by_full, "key"), "qualified_global", "high"),
+        (rows.join(by_simple, "key"), "unique_global", "medium"),
+        (exported, "ibmi_export", "high"),
+        (by_binding, "ibmi_binding", "high"),
+    ]
+    every = None
+    for k, (one, source, confidence) in enumerate(tiers):
+        held = one.select("id", "target", F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit(k).alias("tier"))
+        every = held if every is None else every.unionByName(held)
+    return first_of(every, ["id"], "tier").drop("tier")
+
+
+def parse_time_callee(calls: DataFrame, functions: DataFrame, receivers: DataFrame) -> DataFrame:
+    """Targets that a file alone tells: Type.method by the receiver's type there, this or super by the caller's class, else a name unique in
+    the file; overloads stay open. receivers: (file_id, receiver, type)."""
+    own = functions.select("file_id", F.col("name").alias("key"), F.col("id").alias("target"))
+    named = unique(own, ["file_id", "key"], "target", "target")
+    simple = unique(functions.select("file_id", F.col("simple_name").alias("key"), F.col("id").alias("t")), ["file_id", "key"], "t", "target")
+    caller = functions.select(F.col("id").alias("caller_function_id"), "file_id", class_of(F.col("name")).alias("cls"))
+    rows = calls.join(caller, "caller_function_id").withColumn("receiver", F.regexp_extract("callee_name", r"^(.*)\.[^.]+$", 1)).withColumn("method", F.substring_index("callee_name", ".", -1))
+    rows = rows.join(receivers, ["file_id", "receiver"], "left")
+    own_class = F.when(F.col("receiver").isin("this", "super"), F.col("cls")).otherwise(F.col("type"))
+    rows = rows.withColumn("k1", F.concat(own_class, F.lit("."), "method")).withColumn("k2", F.when(F.col("receiver") == "", F.col("method")))
+    a = named.select("file_id", F.col("key").alias("k1"), F.col("target").alias("t1"))
+    b = simple.select("file_id", F.col("key").alias("k2"), F.col("target").alias("t2"))
+    return rows.join(a, ["file_id", "k1"], "left").join(b, ["file_id", "k2"], "left").select("id", F.coalesce("t1", "t2").alias("target")).filter("target IS NOT NULL")
+
+
+def upstream_gate(names: DataFrame, functions: DataFrame, generic: Column, most: int) -> DataFrame:
+    """Names (repo_id, name) that an upstream search by name may use: three letters, not generic, declared at most so often in the repository."""
+    declared = functions.groupBy("repo_id", F.col("simple_name").alias("name")).agg(F.count("*").alias("n"))
+    ok = (F.length("name") >= 3) & ~generic & (F.coalesce("n", F.lit(0)) <= most)
+    return names.join(declared, ["repo_id", "name"], "left").filter(ok).select("repo_id", "name")

@@ -77,7 +77,7 @@ def calls(text: str, spans: list[tuple[int, int, str]], declared: set[int], skip
     return out
 
 
-KEYWORDS = "if|for|while|switch|catch|return|function|new|super|synchronized|using|lock|foreach|sizeof|typeof|await|nameof|throw|else|do|try|func|select|go|defer|range|case|constructor"
+KEYWORDS = "if|for|while|switch|catch|return|function|new|super|synchronized|using|lock|foreach|sizeof|typeof|await|nameof|throw|else|do|try|func|select|go|defer|range|case|constructor|async"
 
 
 @parser("javascript", ".js", ".jsx", ".mjs", ".cjs")
