@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -84,6 +86,13 @@ def digest(column):
     return F.sha2((F.col(column) if isinstance(column, str) else column).cast("binary"), 256)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the allocator keep after a batch to the system; workers live on, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_size(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of batches whose text column sums to about ``most`` bytes, or one longer row."""
     for whole in batches:
@@ -96,6 +105,7 @@ def by_size(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator
             total += size
         if start < whole.num_rows:
             yield whole.slice(start)
+        give_back()
 
 
 def repeats(docs: DataFrame, column: str = "doc_id") -> bool:
@@ -132,7 +142,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in by_size(batches, at, 4_000_000):
             small = pa.array([None if x is None else press(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([small if k == at else batch.column(k) for k in range(len(names))], names=names)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_size, document_key, lower_ascii, packed_texts, release, stored, unpack, word_hashes
+from loomgraph.llm.common import by_size, document_key, give_back, lower_ascii, packed_texts, release, stored, unpack, word_hashes
 from loomgraph.llm.components import components
 from loomgraph.llm.substrings import ODD, mix
 
@@ -43,8 +43,8 @@ SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 8192, 1024
 #: Coordinates of a sketch, and least similarity by sketches of a candidate.
 SKETCH, NEAR = 512, 0.67
-#: Similarity by sketches of the candidates that a forest takes first.
-STRONG = 0.85
+#: Similarity by sketches of the candidates that a forest takes first; candidates of others that are ranked at once.
+STRONG, RANKED = 0.85, 500_000
 #: Documents whose texts are told from the rest by a broadcast of their ids, at most; more are joined like any table.
 FEW = 2_000_000
 #: Members confirmed against one document in a task, about.
@@ -136,6 +136,7 @@ def branched(rows: DataFrame, trees: int = 0) -> DataFrame:
             for node in starts:
                 which, child = branch(node, tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(which))], names=["node", "doc"])
+        give_back()
 
     return rows.select("doc", "tokens", *([] if trees else ["node"])).mapInArrow(run, schema)
 
@@ -174,14 +175,34 @@ def close_pairs(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side:
 
 
 def spanning(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs that span, with the parts, whatever all candidate pairs of a node would: strong ones first, and none between rows
-    that are joined already, which aren't even compared."""
+    """Candidate pairs that span, with the parts, whatever all candidate pairs of a node would.
+
+    Strong ones come first as they are met; then others by descending likeness, RANKED at a time. Rows that are joined already aren't compared.
+    """
     _, tree = np.unique(np.stack([node, part], 1), axis=0, return_inverse=True)
     tree = tree.ravel().copy()
     first = np.searchsorted(node, node, "left")
     end = np.searchsorted(node, node, "right")
     pairs: list[tuple[int, int]] = []
+
+    def join(ones: np.ndarray, twos: np.ndarray) -> None:
+        for a, b in zip(ones.tolist(), twos.tolist(), strict=True):
+            if tree[a] != tree[b]:
+                own = tree[first[a] : end[a]]
+                own[own == tree[b]] = tree[a]
+                pairs.append((a, b))
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rank() -> None:
+        if held:
+            share, ones, twos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(-share, kind="stable")
+            join(ones[order], twos[order])
+            held.clear()
+
     for least in (STRONG, NEAR):
+        size = 0
         for d in range(1, len(node)):
             if not (node[:-d] == node[d:]).any():
                 break
@@ -189,11 +210,17 @@ def spanning(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side: np.
             i = i[tree[i] != tree[i + d]]
             for at in range(0, len(i), 20_000):
                 some = i[at : at + 20_000]
-                for a in some[likeness(sketches[some], sketches[some + d]) >= least].tolist():
-                    if tree[a] != tree[a + d]:
-                        own = tree[first[a] : end[a]]
-                        own[own == tree[a + d]] = tree[a]
-                        pairs.append((a, a + d))
+                share = likeness(sketches[some], sketches[some + d])
+                good = share >= least
+                if least == STRONG:
+                    join(some[good], some[good] + d)
+                elif good.any():
+                    held.append((share[good], some[good], some[good] + d))
+                    size += int(good.sum())
+            if size >= RANKED:
+                rank()
+                size = 0
+    rank()
     found = np.array(pairs, np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
@@ -216,8 +243,11 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterat
                 yield table.slice(0, stop)
                 held = table.slice(stop).combine_chunks().to_batches()
                 size = table.num_rows - stop
+                del table
+                give_back()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    give_back()
 
 
 def compare_nodes(rows: DataFrame, every: bool) -> DataFrame:

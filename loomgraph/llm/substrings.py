@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_size, document_key, packed_texts, release, stored, taken, unpack, word_hashes, words
+from loomgraph.llm.common import by_size, document_key, give_back, packed_texts, release, stored, taken, unpack, word_hashes, words
 
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 20, 6
@@ -286,6 +286,7 @@ def stream_shards(rows: DataFrame, window: int) -> DataFrame:
                 docs, starts, counts = [], [], []
         if docs:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=schema.fieldNames())
+        give_back()
 
     return rows.repartition("gram").sortWithinPartitions("gram", "doc", "start").select("gram", "doc", "start", "hashes").mapInArrow(run, schema)
 
