@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder that the session names, or one of our own where it names none (tests)."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomgraph-')}")
-    return df.checkpoint(eager=True)
+    """Materialise a step of a walk and cut its lineage: a table written to the shared folder that the session names, or to one of our own
+    where it names none (tests). As its size is known, joins with it are broadcast while it is small and shuffled when it is not."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/loomgraph/{spark.sparkContext.applicationId}/walk-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_snapshot(facts: DataFrame, path: str) -> None:

@@ -199,7 +199,7 @@ def budgeted(spark, sf):
     return graph.tree_rows(graph.bfs(call_graph(spark, sf), roots, 2), 40).select("node", "depth", "truncated")
 
 
-@query("a15_trace_quality", GRAPH_TABLES, f"WITH RECURSIVE {reach('down', 'id % 100 = 7', 2)} SELECT count(*) AS nodes, max(depth) AS max_depth, count(*) FILTER (WHERE depth > 0) AS edges, count(*) FILTER (WHERE depth > 0) AS high, 0 AS medium, 0 AS low, 1.0 AS direct_ratio, 0.0 AS resolved_ratio, 0.0 AS name_ratio FROM m")
+@query("a15_trace_quality", GRAPH_TABLES, f"WITH RECURSIVE {reach('down', 'id % 100 = 7', 2)} SELECT count(*) AS nodes, max(depth) AS max_depth, count(*) FILTER (WHERE depth > 0) AS edges, count(*) FILTER (WHERE depth > 0) AS high, 0 AS medium, 0 AS low, CASE WHEN max(depth) > 0 THEN 1.0 ELSE 0.0 END AS direct_ratio, 0.0 AS resolved_ratio, 0.0 AS name_ratio FROM m")
 def trace_quality(spark, sf):
     (functions,) = tables(spark, sf, "functions")
     roots = functions.filter("id % 100 = 7").select(F.col("id").alias("node"))
