@@ -9,7 +9,7 @@ double precision, and the best ``k`` of all shards are the result.
 Pivots are drawn from a bounded sample (``SAMPLE`` rows at most, lowest hashes of the id); every row is indexed. Queries go to shards in blocks: a
 pair of blocks is one row, so neither all pairs nor all queries meet in one place, and a shard gives at most k rows for a query.
 
-Vectors that are null, zero, of another length than the first pivot, or hold null or non-finite components take no part, as
+Vectors that are null, zero, of another length than the commonest (the shorter of equals), or hold null or non-finite components take no part, as
 queries or candidates; rows with a null id likewise. With fewer candidates than k all are returned, an empty table
 returns none. Ties go to the smaller id. Of rows that repeat an id each is a candidate; as a query the id is asked once,
 with its smallest vector by component.
@@ -45,8 +45,7 @@ def pivots_of(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) ->
     rows = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
     if not rows:
         return np.zeros((0, 0))
-    width = len(rows[0].v)
-    pool = np.array([r.v for r in rows if len(r.v) == width])
+    pool = np.array([r.v for r in rows])
     return pool[np.random.default_rng(7).permutation(len(pool))[:pivots]]
 
 
@@ -122,12 +121,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     vectors and queries: columns vec_id and embedding.
     """
     spark = vectors.sparkSession
-    base = stored(usable(vectors), "ann-vectors")
+    every = usable(vectors)
+    widths = every.groupBy(F.size("v").alias("width")).count().orderBy(F.col("count").desc(), "width").first()
+    if widths is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width = widths.width
+    base = stored(every.filter(F.size("v") == width), "ann-vectors")
     centre = pivots_of(base, pivots)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not len(centre):
-        return empty
-    width = centre.shape[1]
     shards = stored(blocked(base, SHARD, width, "shard"), "ann-shards")
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stored(blocked(asked, BLOCK, width, "block"), "ann-queries")
