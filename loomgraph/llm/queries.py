@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 from loomgraph.llm import bpe, chat, licences, mixing, neardup, permutation, quality, repetition, substrings, warc
 from loomgraph.llm.common import digest, read
 
-#: Folder of the public vocabularies, a parameter of the environment.
-TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+def vocabulary_file(name: str) -> str:
+    """A public vocabulary's place: in the folder that LOOMGRAPH_TOKENIZERS names, else where its package says."""
+    folder = os.environ.get("LOOMGRAPH_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return os.path.join("/opt/tokenizers", name)
+    return public_tokenizers.path(name)
+
+
+BYTE_BPE = vocabulary_file("byte_bpe_50k.json")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
