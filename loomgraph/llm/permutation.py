@@ -4,9 +4,10 @@ A vector is represented by its ``PREFIX`` nearest pivots in order of distance. T
 posts each vector in the inverted files of those pivots, with the pivot's rank. A query reads the inverted files of its own
 nearest pivots and sums up, for each vector found there, the footrule distance |rank in query - rank in vector|, where a pivot
 that one of them lacks counts as rank ``PREFIX``. The shard's best by footrule are reranked by exact Euclidean distance in
-double precision, and the best ``k`` of all shards are the result.
+double precision, and the best ``k`` of all shards are the result. Equal vectors of a shard are indexed once, with all their ids, so
+copies neither push others out of what is reranked nor get lost; vectors that tie with the last one reranked are reranked too.
 
-Pivots are drawn from a bounded sample (``SAMPLE`` rows at most, lowest hashes of the id); every row is indexed. Queries go to shards in blocks: a
+Pivots are distinct vectors of a bounded sample (``SAMPLE`` rows at most, lowest hashes of the id); every row is indexed. Queries go to shards in blocks: a
 pair of blocks is one row, so neither all pairs nor all queries meet in one place, and a shard gives at most k rows for a query.
 
 Vectors that are null, zero, of another length than the commonest (the shorter of equals), or hold null or non-finite components take no part, as
@@ -30,7 +31,7 @@ from loomgraph.llm.common import cut, stored
 PIVOTS, PREFIX, SAMPLE = 256, 96, 4096
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 8192, 1024
-#: Vectors of a shard reranked for a query: this share of it, and this many at least.
+#: Distinct vectors of a shard reranked for a query: as many as this share of its rows, and this many at least, with all that tie.
 SHARE, LEAST = 0.12, 300
 
 
@@ -45,7 +46,9 @@ def pivots_of(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) ->
     rows = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
     if not rows:
         return np.zeros((0, 0))
-    pool = np.array([r.v for r in rows])
+    pool = np.array([r.v for r in rows]) + 0.0
+    # a repeated pivot tells nothing apart and takes places of the prefix
+    pool = pool[np.sort(np.unique(pool, axis=0, return_index=True)[1])]
     return pool[np.random.default_rng(7).permutation(len(pool))[:pivots]]
 
 
@@ -78,16 +81,31 @@ def footrule(queries: np.ndarray, shard: np.ndarray, pivots: int) -> np.ndarray:
     return out
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, perms: np.ndarray, pivots: np.ndarray, k: int, share: float, least: int) -> Iterator[tuple]:
-    """Best k of a shard for each query: (query id, vector id, distance)."""
-    keep = min(len(ids), max(least, int(len(ids) * share)))
+def collapsed(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's distinct vectors, and its rows by (vector, id): number of the vector, id, place among the vector's rows."""
+    bits = np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel()
+    _, first, group = np.unique(bits, return_index=True, return_inverse=True)
+    group = group.ravel()
+    order = np.lexsort((ids, group))
+    group = group[order]
+    return v[first], group, ids[order], np.arange(len(ids)) - np.searchsorted(group, group, "left")
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, v: np.ndarray, group: np.ndarray, ids: np.ndarray, place: np.ndarray, perms: np.ndarray, pivots: np.ndarray, k: int, share: float, least: int) -> Iterator[tuple]:
+    """Best k of a shard (as collapsed() gives it) for each query: (query id, vector id, distance)."""
+    keep = min(len(v), max(least, int(len(ids) * share)))
     ranks = footrule(nearest_pivots(q, pivots, perms.shape[1]), perms, len(pivots))
     for j, own in enumerate(q_ids):
-        near = np.arange(len(ids)) if keep == len(ids) else np.argpartition(ranks[j], keep - 1)[:keep]
-        near = near[ids[near] != own]
-        score = np.sqrt(((v[near] - q[j]) ** 2).sum(1))
-        best = np.lexsort((ids[near], score))[:k]
-        yield from zip([int(own)] * len(best), ids[near[best]].tolist(), score[best].tolist(), strict=True)
+        # vectors that tie with the last one kept are kept as well
+        near = np.arange(len(v)) if keep == len(v) else np.flatnonzero(ranks[j] <= np.partition(ranks[j], keep - 1)[keep - 1])
+        score = np.full(len(v), np.inf)
+        score[near] = np.sqrt(((v[near] - q[j]) ** 2).sum(1))
+        taken = np.zeros(len(v), bool)
+        taken[near] = True
+        # of equal vectors the k smallest ids are enough, besides the query's own
+        rows = np.flatnonzero(taken[group] & (ids != own) & (place < k + np.count_nonzero(ids == own)))
+        best = rows[np.lexsort((ids[rows], score[group[rows]]))[:k]]
+        yield from zip([int(own)] * len(best), ids[best].tolist(), score[group[best]].tolist(), strict=True)
 
 
 def blocked(vectors: DataFrame, rows: int, width: int, label: str) -> DataFrame:
@@ -138,13 +156,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     handed = spark.sparkContext.broadcast(centre)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, perms = None, None
+        held, perms, shard = None, None, ()
         for batch in batches:
             for q_ids, q, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, v = np.frombuffer(ids, "<i8"), np.frombuffer(v, "<f8").reshape(-1, width)
                 if held is None or not np.array_equal(held, ids):
-                    held, perms = ids, nearest_pivots(v, handed.value, prefix)
-                found = list(search_block(np.frombuffer(q_ids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, width), ids, v, perms, handed.value, k, share, least))
+                    held, shard = ids, collapsed(ids, v)
+                    perms = nearest_pivots(shard[0], handed.value, prefix)
+                found = list(search_block(np.frombuffer(q_ids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, width), *shard, perms, handed.value, k, share, least))
                 if found:
                     a, b, c = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])

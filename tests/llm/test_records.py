@@ -77,6 +77,27 @@ def test_recall(spark):
     assert hits / (10 * len(best)) >= 0.9
 
 
+def test_recall_of_copies(spark):
+    """A third of the rows is one vector: its copies find the smallest ids, and rows close to it still find what is nearest."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3000, 16)).astype("float32")
+    common = base[0].copy()
+    base[rng.permutation(3000)[:1000]] = common
+    close = rng.permutation(3000)[:300]
+    base[close] = common + rng.normal(size=(300, 16)).astype("float32") * 0.05
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    copies = [i for i, v in enumerate(base) if (v == common).all()]
+    assert len(copies) > 800
+    asked = [*copies[:3], *copies[-3:], *close[:20].tolist()]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    best = exact(rows, [rows[i] for i in asked], 10)
+    found = permutation.nearest(vectors, vectors.filter(F.col("vec_id").isin(asked))).collect()
+    held = {q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in asked}
+    for q in asked[:6]:
+        assert held[q] == [i for i in copies if i != q][:10]
+    assert sum(len(set(held[q]) & {i for _, i in best[q]}) for q in asked) >= 0.9 * 10 * len(asked)
+
+
 def test_footrule():
     rng = np.random.default_rng(2)
     shard = np.array([rng.permutation(12)[:5] for _ in range(30)], np.int32)
