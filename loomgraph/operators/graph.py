@@ -1,11 +1,13 @@
 """Graph walks as level-synchronous joins: each level joins the frontier with edges and removes what was visited.
 
-A walk's depth bounds the number of rounds, never the driver's memory: frontiers and visited sets stay distributed and are
-checkpointed each level. A node belongs to the parent that reaches it first; ties go to the least parent.
+A walk's depth bounds the number of rounds, never the driver's memory; a closure's rounds end when nothing is new. Frontiers and visited sets
+stay distributed and are checkpointed each level. A node belongs to the parent that reaches it first; ties go to the least parent.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,18 @@ DEPTH, MOST_DEPTH, NODES, MOST_NODES, PATH_DEPTH, MOST_PATH_DEPTH = 4, 32, 2_000
 CONFIDENCES = ("high", "medium", "low")
 
 
-def bfs(edges: DataFrame, roots: DataFrame, depth: int = DEPTH, expand: Column | None = None) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = DEPTH, expand: Column | None = None) -> DataFrame:
     """Rows (node, depth, parent, edge_type, confidence) of what roots (node) reach over edges (src, dst[, edge_type, confidence]).
 
-    expand: a condition on a reached row without which its node is a leaf.
+    depth: levels, MOST_DEPTH at most; None goes on until nothing is new. expand: a condition on a reached row without which its node is a leaf.
     """
-    depth = min(depth, MOST_DEPTH)
     for column, value in (("edge_type", "call"), ("confidence", "high")):
         if column not in edges.columns:
             edges = edges.withColumn(column, F.lit(value))
     edges = edges.select("src", "dst", "edge_type", "confidence")
     seen = checkpointed(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("string").alias("confidence")))
     frontier = seen
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, min(depth, MOST_DEPTH) + 1):
         source = frontier if expand is None or level == 1 else frontier.filter(expand)
         step = source.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node"), F.lit(level).alias("depth"), F.col("src").alias("parent"), "edge_type", "confidence")
         # the least parent is found by aggregation, before anything of a level is shuffled twice
@@ -42,9 +43,9 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int = DEPTH, expand: Column |
     return seen
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything that seeds (node) reach over edges (src, dst), seeds included; rounds until nothing is new."""
-    return bfs(edges, seeds, min(most, MOST_DEPTH)).select("node", "depth")
+    return bfs(edges, seeds, None).select("node", "depth")
 
 
 def shortest_path(edges: DataFrame, source, target, depth: int = PATH_DEPTH) -> DataFrame:
@@ -69,8 +70,8 @@ def shortest_path(edges: DataFrame, source, target, depth: int = PATH_DEPTH) ->
     return out
 
 
-def parents(edges: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """Evidence tree: for each node its parent on a shortest path from roots, the least among equals."""
+def parents(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Evidence tree: for each node its parent on a shortest path from roots, the least among equals; a depth cuts it."""
     return bfs(edges, roots, depth).select("node", "parent", "depth")
 
 
@@ -146,4 +147,4 @@ def tiered_edges(*sources: DataFrame) -> DataFrame:
 
 def affected_snapshots(changed: DataFrame, references: DataFrame) -> DataFrame:
     """Snapshots that changed, and all that refer to them directly or not. references: (snapshot, target)."""
-    return bfs(references.select(F.col("target").alias("src"), F.col("snapshot").alias("dst")), changed.select(F.col("snapshot").alias("node"))).select(F.col("node").alias("snapshot"))
+    return bfs(references.select(F.col("target").alias("src"), F.col("snapshot").alias("dst")), changed.select(F.col("snapshot").alias("node")), None).select(F.col("node").alias("snapshot"))

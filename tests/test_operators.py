@@ -46,6 +46,25 @@ def test_walks(spark):
     assert graph.bfs(edges, root.limit(0), 3).count() == 0
 
 
+def test_closures_have_no_depth(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
+    start = spark.createDataFrame([(0,)], "node long").coalesce(1)
+    # the most depth of traces, which binds nothing else, made small for a short chain
+    monkeypatch.setattr(graph, "MOST_DEPTH", 3)
+    assert graph.bfs(links, start, 100).agg(F.max("depth")).first()[0] == 3
+    assert rows(graph.parents(links, start), "node", "depth") == [(i, i) for i in range(6)]
+    named = links.select(F.concat(F.lit("T"), "dst").alias("child"), F.concat(F.lit("T"), "src").alias("parent"))
+    assert types.implementations(named, "T0").count() == 5
+    # the newest generation is kept and needs all others
+    held = spark.createDataFrame([(i, 1, "r", 6 - i, None, i + 1 if i < 5 else None) for i in range(6)], "id long, workspace_id long, repo_name string, generation int, finished_at timestamp, depends_on long")
+    assert snapshots.prunable(held.coalesce(1), 1).count() == 0
+
+
+def test_affected_snapshots_far_away(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)], "snapshot long, target long").coalesce(1)
+    assert rows(graph.affected_snapshots(spark.createDataFrame([(0,)], "snapshot long").coalesce(1), links), "snapshot") == [(i,) for i in range(41)]
+
+
 def test_verdict_lattice(spark):
     facts = [(1, True, 1, False, "confirmed", False, "fail"), (2, True, 0, False, "confirmed", False, "warn"), (3, False, 0, True, "confirmed", False, "warn"), (4, False, 2, False, "confirmed", False, "info"), (5, False, 0, False, "missing", False, "fail"), (6, False, 0, False, "missing", True, "info"), (7, False, 0, False, "confirmed", False, "pass")]
     held = verify.verdict(spark.createDataFrame([x[:6] for x in facts], "change int, breaking boolean, consumers int, incomplete boolean, obligation string, waived boolean"))
