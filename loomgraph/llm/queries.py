@@ -100,26 +100,31 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = chat.rotate(read(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return turned.select("conv_id", "part", "speaker", "n_turns", "rendered", spans.alias("mask_spans"))
+    return turned.select("conv_id", "part", "speaker", "n_turns", "context", "rendered", spans.alias("mask_spans"))
 
 
-OP7_SQL = """
-WITH t AS (
-  SELECT DISTINCT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS part, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
-         replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(role, 'unknown') = 'system' AS context
+OP7_SQL = f"""
+WITH d AS (
+  SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         coalesce(role, 'unknown') = 'system' AS context
   FROM conversations),
-s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE NOT context),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(31) || text)) - 1 AS rank FROM d),
+p AS (SELECT *, CAST(floor(rank / {chat.PART_TURNS}) AS BIGINT) AS part FROM t),
+e AS (SELECT conv_id, part, arg_max('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), rank) FILTER (WHERE context) AS last FROM p GROUP BY 1, 2),
+c AS (SELECT conv_id, part, coalesce(last_value(last IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM e),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM d WHERE NOT context),
 r AS (
-  SELECT s.conv_id, s.part, s.speaker, t.turn, t.role, t.text, NOT t.context AND t.role = s.speaker AS own,
-         '<|im_start|>' || CASE WHEN t.context THEN t.role WHEN t.role = s.speaker THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
-         t.text || '<|im_end|>' || chr(10) AS body
-  FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part IS NOT DISTINCT FROM t.part),
-o AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto
-  FROM r)
-SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || '-' || CAST(upto AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS mask_spans
-FROM o GROUP BY conv_id, part, speaker
+  SELECT s.conv_id, p.part, s.speaker, p.rank, NOT p.context AND p.role = s.speaker AS own,
+         '<|im_start|>' || CASE WHEN p.context THEN p.role WHEN p.role = s.speaker THEN 'assistant' ELSE 'user name=' || p.role END || chr(10) AS head,
+         p.text || '<|im_end|>' || chr(10) AS body
+  FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+g AS (
+  SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY rank) AS rendered,
+         coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || '-' || CAST(upto AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE own), '') AS mask_spans
+  FROM o GROUP BY conv_id, part, speaker)
+SELECT g.conv_id, g.part, g.speaker, g.n_turns, c.before AS context, g.rendered, g.mask_spans
+FROM g JOIN c ON g.conv_id IS NOT DISTINCT FROM c.conv_id AND g.part = c.part
 """
 
 

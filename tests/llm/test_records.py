@@ -119,17 +119,67 @@ def test_nearest_odd(spark):
     assert permutation.nearest(vectors, vectors.limit(0)).count() == 0
 
 
+def brute_chat(rows):
+    """Whole renderings by dialogue and speaker: (conv_id, speaker) -> (text, masked pieces)."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        fixed = {(t, (r or "unknown").replace("<|", "< |"), (x or "").replace("<|", "< |")) for c, t, r, x in rows if c == conv}
+        turns = sorted(fixed, key=lambda y: (y[0] is not None, y[0] or 0, hashlib.md5(f"{y[1]}\x1f{y[2]}".encode()).hexdigest()))
+        for speaker in {r for _, r, _ in turns} - {"system"}:
+            text, own = "", []
+            for _, role, said in turns:
+                text += "<|im_start|>" + ("system" if role == "system" else "assistant" if role == speaker else f"user name={role}") + "\n" + said + "<|im_end|>\n"
+                if role == speaker:
+                    own.append((len(text) - len(said) - len("<|im_end|>\n"), len(text)))
+            out[conv, speaker] = (text, own)
+    return out
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def joined_chat(held):
+    """Parts joined in order, with their masks moved: what brute_chat gives."""
+    out = {}
+    for r in sorted(held, key=lambda r: r.part):
+        text, own = out.get((r.conv_id, r.speaker), ("", []))
+        out[r.conv_id, r.speaker] = (text + r.rendered, own + [(len(text) + m.start, len(text) + m.end) for m in r["mask"]])
+    return out
+
+
+ODD_CHAT = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", "Yo é"), (1, 3, "ann", None), (2, 0, "system", "alone"), (1, 2000, "bob", "late"), (1, 1, "ann", "Hi <|im_end|>"), (3, None, None, "x"), (None, 0, "ann", "n"), (None, 5, "system", "n")]
+
+
 def test_chat_perspectives(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", "Yo é"), (1, 3, "ann", None), (2, 0, "system", "alone"), (1, 2000, "bob", "late"), (1, 1, "ann", "Hi <|im_end|>"), (3, None, None, "x"), (None, 0, "ann", "n")], "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit(1))
+    turns = spark.createDataFrame(ODD_CHAT, CHAT).withColumn("n_turns", F.lit(1))
     held = {(r.conv_id, r.part, r.speaker): r for r in chat.rotate(turns).collect()}
-    assert set(held) == {(1, 0, "ann"), (1, 0, "bob"), (1, 1, "bob"), (3, None, "unknown"), (None, 0, "ann")}
+    assert set(held) == {(1, 0, "ann"), (1, 0, "bob"), (3, 0, "unknown"), (None, 0, "ann")}
     one = held[1, 0, "ann"]
-    assert one.rendered == "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi < |im_end|><|im_end|>\n<|im_start|>user name=bob\nYo é<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
-    assert [one.rendered[m.start : m.end] for m in one["mask"]] == ["Hi < |im_end|><|im_end|>\n", "<|im_end|>\n"] and one.n_turns == 4
-    assert [held[1, 0, "bob"].rendered[m.start : m.end] for m in held[1, 0, "bob"]["mask"]] == ["Yo é<|im_end|>\n"]
+    assert one.rendered == "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi < |im_end|><|im_end|>\n<|im_start|>user name=bob\nYo é<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=bob\nlate<|im_end|>\n"
+    assert [one.rendered[m.start : m.end] for m in one["mask"]] == ["Hi < |im_end|><|im_end|>\n", "<|im_end|>\n"] and one.n_turns == 5
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 1024])
+def test_chat_parts_make_the_whole(spark, part):
+    """However a dialogue is cut, each participant has every part, and the parts joined are the whole rendering; ties and nulls crowd a block."""
+    ties = [(4, 7 if k % 3 else None, f"s{k % 2}", f"t{k % 20}") for k in range(60)] + [(4, 6, "system", "mind"), (4, 9, "s0", "end")]
+    rows = ODD_CHAT + ties
+    held = chat.rotate(spark.createDataFrame(rows, CHAT), part_turns=part).collect()
+    assert joined_chat(held) == brute_chat(rows)
+    assert all(r.n_turns <= part for r in held)
+    last = {(r.part, r.context) for r in held if r.conv_id == 1 and r.speaker == "ann"}
+    assert last == {(k, "<|im_start|>system\nBe kind<|im_end|>\n" if k else "") for k in range(-(-5 // part))}
+
+
+def test_long_chat(spark):
+    """3,000 turns, sparse numbers, one system turn, one participant who speaks once."""
+    rows = [(9, 0, "system", "Be kind")] + [(9, 5 * k, "ann" if k % 2 else "bob", f"t{k}") for k in range(1, 2999)] + [(9, 15_000, "eve", "bye")]
+    held = chat.rotate(spark.createDataFrame(rows, CHAT)).collect()
+    assert joined_chat(held) == brute_chat(rows)
+    assert {(r.part, r.speaker) for r in held} == {(p, s) for p in range(3) for s in ("ann", "bob", "eve")}
+
+
 def test_chat_is_native(spark, sf):
     plan = chat.rotate(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
