@@ -66,7 +66,9 @@ def test_recall(spark):
     queries = vectors.filter("vec_id % 100 = 0")
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
     best = exact(rows, [x for x in rows if x[0] % 100 == 0], 10)
-    found = permutation.nearest(vectors, queries).collect()
+    # eight shards, none searched whole
+    found = permutation.nearest(vectors, queries, shard=1250, least=100).collect()
+    assert found and sorted(found) == sorted(permutation.nearest(vectors.repartition(5), queries.repartition(3), shard=1250, least=100).collect())
     hits = 0
     for q in best:
         mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
@@ -89,7 +91,7 @@ def test_recall_of_copies(spark):
     copies = [i for i, v in enumerate(base) if (v == common).all()]
     assert len(copies) > 800
     asked = [*copies[:3], *copies[-3:], *close[:20].tolist()]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     best = exact(rows, [rows[i] for i in asked], 10)
     found = permutation.nearest(vectors, vectors.filter(F.col("vec_id").isin(asked))).collect()
     held = {q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in asked}
@@ -98,11 +100,19 @@ def test_recall_of_copies(spark):
     assert sum(len(set(held[q]) & {i for _, i in best[q]}) for q in asked) >= 0.9 * 10 * len(asked)
 
 
+def test_repeated_ids(spark):
+    """Each row of a repeated id is a candidate; as a query the id is asked once, with its smallest vector."""
+    rows = [(100, [0.0, 1.0]), (100, [5.0, 1.0]), (1, [0.0, 1.5]), (2, [5.0, 1.5]), (2, [0.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [(r["rank"], r.vec_id, r.score) for r in permutation.nearest(vectors, vectors.filter("vec_id = 100")).orderBy("rank").collect()]
+    assert found == [(1, 1, 0.5), (2, 2, 2.0), (3, 2, pytest.approx(25.25**0.5))]
+
+
 def test_footrule():
     rng = np.random.default_rng(2)
     shard = np.array([rng.permutation(12)[:5] for _ in range(30)], np.int32)
     queries = np.array([rng.permutation(12)[:5] for _ in range(4)], np.int32)
-    found = permutation.footrule(queries, shard, 12)
+    found = permutation.footrule(queries, *permutation.inverted(shard, 12), 30)
     for i, q in enumerate(queries):
         for j, s in enumerate(shard):
             rank = lambda p, xs: list(xs).index(p) if p in xs else 5
