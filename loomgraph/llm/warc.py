@@ -3,12 +3,12 @@
 Writing: a record for each page, in bundles of bounded size. Inside a bundle, records are grouped into independent
 Zstandard frames of about ``FRAME_BYTES``; a footer in a skippable frame holds the seek table (each frame's compressed and
 plain size), and an index table maps each record's id to (bundle, frame, offset in the frame, length). One record is read by
-seeking to its frame and decompressing that frame alone. Of records with equal payloads of at least ``SHARED_BYTES`` the one
+finding its frame in the footer, seeking to it and decompressing that frame alone. Of records with equal payloads of at least ``SHARED_BYTES`` the one
 with the smallest id is a response and the others revisit it, without a payload of their own.
 
-Bundles go to a folder that all executors share, through pyarrow's file systems, under a temporary name first and moved when
-whole: a task that dies leaves no readable bundle, and its next attempt writes its own. The index lists only bundles of
-tasks that succeeded; readers open no others.
+Bundles go to a folder that all executors share, through pyarrow's file systems, each attempt of a task to a subfolder of its own, under a
+temporary name first and moved when whole. An attempt that dies or is outrun may leave whole bundles; the index lists only bundles of
+attempts that succeeded, readers open no others, and the subfolders it doesn't name are removed when it has been written.
 
 A null page is an empty payload; a null url or id becomes an empty header value; a null id is never revisited; rows that repeat the smallest id of a payload are
 responses each. Very long pages are whole: a frame holds at least one record. An empty table writes no bundle. Extra columns
@@ -22,6 +22,7 @@ import struct
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -40,7 +41,7 @@ SHARED_BYTES = 100
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = "record_id long, bundle string, frame int, frame_start long, frame_size long, frame_offset long, length long, slot int"
+INDEX = "record_id long, bundle string, frame int, frame_offset long, length long"
 FOUND = "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
@@ -93,7 +94,9 @@ class BundleWriter:
     """One bundle at a time; rows of the index for what was written come from close()."""
 
     def __init__(self, folder: str, frame_bytes: int, bundle_bytes: int):
-        self.store, self.path = fs.FileSystem.from_uri(folder)
+        self.store, path = fs.FileSystem.from_uri(folder)
+        self.attempt = uuid.uuid4().hex
+        self.path = f"{path}/{self.attempt}"
         self.store.create_dir(self.path, recursive=True)
         self.frame_bytes, self.bundle_bytes = frame_bytes, bundle_bytes
         self.press = zstandard.ZstdCompressor(level=3)
@@ -102,7 +105,7 @@ class BundleWriter:
     def begin(self) -> None:
         self.name, self.out = f"{uuid.uuid4().hex}.warc.zst", None
         self.frames: list[tuple[int, int]] = []
-        self.at, self.rows, self.held, self.slots = 0, [], [], 0
+        self.at, self.rows, self.held = 0, [], []
         self.plain = 0
 
     def add(self, record_id: int | None, raw: bytes) -> list[tuple]:
@@ -120,8 +123,7 @@ class BundleWriter:
         packed = self.press.compress(b"".join(raw for *_, raw in self.held))
         self.out.write(packed)
         for record_id, offset, raw in self.held:
-            self.rows.append((record_id, self.name, len(self.frames), self.at, len(packed), offset, len(raw), self.slots))
-            self.slots += 1
+            self.rows.append((record_id, f"{self.attempt}/{self.name}", len(self.frames), offset, len(raw)))
         self.frames.append((len(packed), self.plain))
         self.at += len(packed)
         self.held, self.plain = [], 0
@@ -157,7 +159,7 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter(folder, frame_bytes, bundle_bytes)
         names = [x.split(" ")[0] for x in INDEX.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if rows:
@@ -168,28 +170,50 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_
                 yield from out(writer.add(page, record(page, url, (html or "").encode(), digest, original)))
         yield from out(writer.close())
 
-    return stored(marked.mapInArrow(run, INDEX), "warc-index")
+    index = stored(marked.mapInArrow(run, INDEX), "warc-index")
+    sweep_attempts(index, folder)
+    return index
 
 
-def read_records(bundle: str, places: list[tuple[int, int, int, int]]) -> Iterator[bytes]:
-    """Records at (frame_start, frame_size, offset, length) of a bundle, each frame fetched and unpacked once a run."""
+def sweep_attempts(index: DataFrame, folder: str) -> None:
+    """Remove what attempts left that index doesn't name: a subfolder each. Their names, one a task, come to the driver."""
+    named = {r.attempt for r in index.select(F.substring_index("bundle", "/", 1).alias("attempt")).distinct().collect()}
+    store, path = fs.FileSystem.from_uri(folder)
+    for one in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if one.base_name not in named:
+            store.delete_dir(one.path)
+
+
+def seek_entries(f: pa.NativeFile) -> list[tuple[int, int, int]]:
+    """Frames (start, compressed size, plain size) of an open bundle, from the footer at its end."""
+    total = f.size()
+    count = struct.unpack("<IBI", f.read_at(9, total - 9))[0]
+    size = 8 * count + 9
+    frames = read_seek_table(f.read_at(size, total - size))
+    starts = accumulate((packed for packed, _ in frames), initial=0)
+    return [(start, packed, plain) for start, (packed, plain) in zip(starts, frames, strict=False)]
+
+
+def frames_of(bundle: str) -> list[tuple[int, int, int]]:
+    """The seek table of a bundle."""
     store, path = fs.FileSystem.from_uri(bundle)
-    unpack, held, plain = zstandard.ZstdDecompressor(), None, b""
     with store.open_input_file(path) as f:
-        for start, size, offset, length in places:
-            if held != start:
-                held, plain = start, unpack.decompress(f.read_at(size, start))
-            yield plain[offset : offset + length]
+        return seek_entries(f)
 
 
-def frames_of(bundle: str) -> list[tuple[int, int]]:
-    """The seek table of a bundle, found from its end."""
+def read_records(bundle: str, places: list[tuple[int, int, int]]) -> Iterator[bytes]:
+    """Records at (frame, offset, length) of a bundle: frames are found in its footer, and each fetched and unpacked once a run."""
     store, path = fs.FileSystem.from_uri(bundle)
+    unpack, held, plain = zstandard.ZstdDecompressor(), None, b""
     with store.open_input_file(path) as f:
-        total = f.size()
-        count = struct.unpack("<IBI", f.read_at(9, total - 9))[0]
-        size = 8 * count + 9
-        return read_seek_table(f.read_at(size, total - size))
+        frames = seek_entries(f)
+        for frame, offset, length in places:
+            if held != frame:
+                start, packed, size = frames[frame]
+                held, plain = frame, unpack.decompress(f.read_at(packed, start))
+                if len(plain) != size:
+                    raise ValueError(f"frame {frame} of {bundle} is damaged")
+            yield plain[offset : offset + length]
 
 
 def read_back(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -206,7 +230,7 @@ def read_back(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame
                 table[row["bundle"]].append(row)
             for bundle, rows in table.items():
                 out, held = [], 0
-                places = [(r["frame_start"], r["frame_size"], r["frame_offset"], r["length"]) for r in rows]
+                places = [(r["frame"], r["frame_offset"], r["length"]) for r in rows]
                 for row, raw in zip(rows, read_records(f"{folder}/{bundle}", places), strict=True):
                     headers, payload = parse(raw)
                     kind = headers["WARC-Type"]

@@ -1,5 +1,6 @@
 """Archives, nearest neighbours, chat."""
 
+import glob
 import hashlib
 import os
 
@@ -28,17 +29,33 @@ def test_archive_round_trip(spark, sf, tmp_path):
     # any record is found through the seek table and its frame alone
     row = index.filter("record_id = 1000").first()
     path = f"{tmp_path}/bundles/{row.bundle}"
-    frames = warc.frames_of(f"file://{path}")
-    assert sum(c for c, _ in frames[: row.frame]) == row.frame_start and frames[row.frame][0] == row.frame_size
+    start, size, _ = warc.frames_of(f"file://{path}")[row.frame]
     with open(path, "rb") as f:
-        f.seek(row.frame_start)
-        plain = zstandard.ZstdDecompressor().decompress(f.read(row.frame_size))
+        f.seek(start)
+        plain = zstandard.ZstdDecompressor().decompress(f.read(size))
     headers, payload = warc.parse(plain[row.frame_offset : row.frame_offset + row.length])
     assert headers["WARC-Record-ID"] == "<urn:page:1000>" and payload == b"<p>" + b"a" * 200
-    assert len(os.listdir(f"{tmp_path}/bundles")) > 1 and not any(n.endswith(".tmp") for n in os.listdir(f"{tmp_path}/bundles"))
+    files = [os.path.relpath(p, f"{tmp_path}/bundles") for p in glob.glob(f"{tmp_path}/bundles/**", recursive=True, include_hidden=True) if os.path.isfile(p)]
+    assert len(files) > 1 and set(files) == {r.bundle for r in index.select("bundle").distinct().collect()}
     # a whole bundle is one plain stream of records, as skippable frames hold none
     with open(path, "rb") as f:
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read().count(b"WARC/1.1\r\n") == index.filter(F.col("bundle") == row.bundle).count()
+    # what a lost attempt left goes, and the archive stays whole
+    os.makedirs(f"{tmp_path}/bundles/lost")
+    with open(path, "rb") as f, open(f"{tmp_path}/bundles/lost/x.warc.zst", "wb") as g:
+        g.write(f.read())
+    warc.sweep_attempts(index, folder)
+    assert not os.path.exists(f"{tmp_path}/bundles/lost") and warc.read_back(index, folder).count() == every.count()
+
+
+def test_archive_of_repeated_and_long_pages(spark, tmp_path):
+    """Rows that repeat the smallest id are responses each; a page beyond a frame's size is whole, in a frame of its own."""
+    long = "<p>" + "lorem " * 5000
+    pages = spark.createDataFrame([(1, "a", long), (1, "a", long), (2, "b", long), (2, "b", long), (3, "c", "x" * 99)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/bundles"
+    held = warc.read_back(warc.write(pages, folder, frame_bytes=1000, bundle_bytes=500), folder).collect()
+    assert sorted((r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in held) == [(1, "response", None, len(long))] * 2 + [(2, "revisit", 1, len(long))] * 2 + [(3, "response", None, 99)]
+    assert [r.payload for r in held if r.record_id == 1] == [long.encode()] * 2
 
 
 def test_archive_empty(spark, tmp_path):
