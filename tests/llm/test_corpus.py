@@ -191,26 +191,73 @@ def test_targets(spark, sizes):
     assert held == {k: pytest.approx(v) for k, v in expected.items()}
 
 
+def brute_rate(sizes, target, most=3):
+    """Rates of one source by bisection of its dual: size -> rate."""
+    mean = sum(sizes) / len(sizes)
+    tokens = lambda m: sum(s * min(most, math.exp(min(700, m * s / mean))) for s in sizes)
+    low, high = -1.0, 1.0
+    while tokens(low) > target:
+        low *= 2
+    while tokens(high) < target * (1 - 1e-12) and high < 1e6:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tokens(middle) < target else (low, middle)
+    return {s: min(most, math.exp(min(700, high * s / mean))) for s in sizes}
+
+
 def test_mixing(spark, docs):
-    runs = [sorted((r.doc_id, r.copies) for r in mixing.mix(docs).collect()) for _ in range(2)]
+    runs = [sorted((r.doc_id, r.copies) for r in mixing.mix(docs.repartition(n)).collect()) for n in (3, 7)]
     assert runs[0] == runs[1]
     held = mixing.mix(docs.repartition(7), group_rows=30).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    sizes, taken, goal = Counter(), Counter(), {}
+    sizes, taken, goal, own, dealt = Counter(), Counter(), {}, {}, {}
     for r in held:
         assert r.size == len(WORD.findall(texts[r.doc_id])) and 0 <= r.copies <= 3
         sizes[r.source] += r.size
         taken[r.source] += r.size * r.copies
         goal[r.source] = r.target
+        own.setdefault(r.source, []).append(r.size)
+        dealt.setdefault((r.source, r.row_hash % -(-sum(1 for x in held if x.source == r.source) // 30)), []).append(r)
     assert goal == {k: pytest.approx(v) for k, v in brute_targets(sizes).items()}
-    # groups of a handful of documents here: half a document each
-    assert all(math.isclose(taken[s], goal[s], rel_tol=0.2) for s in goal)
-
-
-def test_mixing_odd(odd_docs):
-    held = mixing.mix(odd_docs).collect()
-    assert len(held) == odd_docs.count() and all(r.copies * r.size <= 3 * r.size for r in held)
-    assert {r.size for r in held if r.doc_id in (4, 5, 6)} == {0}
+    for r in held:
+        rate = brute_rate(own[r.source], goal[r.source]) if r.size and len(own[r.source]) < 60 else {}
+        assert r.copies in (math.floor(r.rate), math.ceil(r.rate)) and r.rate == pytest.approx(rate.get(r.size, r.rate), rel=1e-4)
+    # a group's words are its tilted words but for half of its smallest document that is rounded
+    for rows in dealt.values():
+        tilted, words = sum(r.rate * r.size for r in rows), sum(r.copies * r.size for r in rows)
+        rounded = [r.size for r in rows if r.size and 1e-9 < r.rate % 1 < 1 - 1e-9]
+        assert abs(tilted - words) <= (max(rounded) / 2 if rounded else 0) + 1e-3
+
+
+@pytest.mark.parametrize("target", [1, 40, 119, 120, 121, 300, 357, 359.9, 360])
+def test_dual_against_bisection(spark, target):
+    """Every share of a source from a word to all that a bound of three allows; rates tilt with size."""
+    own = [1, 2, 2, 5, 10, 30, 70]
+    sizes = spark.createDataFrame([("a", s, n) for s, n in Counter(own).items()] + [("b", 4, 2)], "source string, size long, n long")
+    goal = spark.createDataFrame([("a", sum(own), len(own), float(target)), ("b", 8, 2, 8.0)], "source string, source_size long, rows long, target double")
+    held = {r.of: r for r in mixing.solve(sizes, goal).collect()}
+    rate = {s: min(3, math.exp(min(700, held["a"].multiplier * s / held["a"].mean))) for s in own}
+    assert sum(s * rate[s] for s in own) == pytest.approx(target, rel=1e-6)
+    assert rate == {s: pytest.approx(r, rel=1e-3) for s, r in brute_rate(own, target).items()}
+    assert held["b"].multiplier == pytest.approx(0, abs=1e-6)
+
+
+def test_running_sums(spark):
+    rows = [(k * 7 % 100, k) for k in range(100)]
+    held = mixing.running(spark.createDataFrame(rows, "a long, b long").repartition(5), [F.col("a")], {"s": F.col("b"), "n": F.lit(1)}, "test").collect()
+    order = sorted(rows)
+    assert sorted((r.a, r.s, r.n) for r in held) == [(a, sum(b for _, b in order[:k]), k) for k, (a, _) in enumerate(order)]
+
+
+def test_mixing_odd(odd_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATED", 2)
+    every = odd_docs.unionByName(odd_docs.filter("doc_id = 10")).unionByName(odd_docs.filter("doc_id = 10")).unionByName(odd_docs.filter("doc_id = 10 OR doc_id IS NULL"))
+    held = mixing.mix(every).collect()
+    assert Counter(r.doc_id for r in held) == Counter(r.doc_id for r in every.collect()) and all(0 <= r.copies <= 3 for r in held)
+    assert {(r.size, r.copies) for r in held if r.doc_id in (4, 5, 6)} == {(0, 0)}
+    copies = [r.copies for r in held if r.doc_id == 10]
+    assert len(copies) == 4 and max(copies) - min(copies) <= 1
     assert mixing.mix(odd_docs.limit(0)).count() == 0
 
 
