@@ -17,10 +17,8 @@ def vocabulary_file(name: str) -> str:
     folder = os.environ.get("LOOMGRAPH_TOKENIZERS")
     if folder:
         return os.path.join(folder, name)
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return os.path.join("/opt/tokenizers", name)
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -196,6 +194,33 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _templates() -> str:
+    rows = ((one.label, one.base, b" ".join(one.phrase).decode(), b" ".join(one.words).decode(), one.phrase_at) for one in licences.templates())
+    return ", ".join(f"('{label}', {base}, '{phrase}', '{words}', {at})" for label, base, phrase, words, at in rows)
+
+
+OP10_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT label, base, phrase, string_split(phrase, ' ') AS must, string_split(words, ' ') AS words, shift FROM (VALUES {_templates()}) v(label, base, phrase, words, shift)),
+p AS (
+  SELECT doc_id, ws, label, base, must, words, shift, unnest(range(1, len(ws) + 1)) AS i
+  FROM w JOIN t ON strpos(concat(' ', array_to_string(ws, ' '), ' '), concat(' ', phrase, ' ')) > 0),
+h AS (
+  SELECT doc_id, label, base, i - 1 AS place, len(words) AS n,
+         list_sum(list_transform(range(1, len(words) + 1), lambda j: CASE WHEN i - shift + j - 1 >= 1 AND ws[i - shift + j - 1] = words[j] THEN 1 ELSE 0 END)) AS m
+  FROM p WHERE ws[i:i + len(must) - 1] = must),
+g AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         round(max(m / n * (1 - pow(2, -m / {licences.HALF}))), 6) AS score
+  FROM h GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -212,4 +237,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_chat": OP7_SQL, "op8_substrings": OP8_SQL, "op9_repetition": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_chat": OP7_SQL, "op8_substrings": OP8_SQL, "op9_repetition": OP9_SQL, "op10_licences": OP10_SQL}
