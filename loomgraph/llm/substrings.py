@@ -15,11 +15,13 @@ The automata are sent to the texts that can match them and no others, by shuffli
 of a corpus against itself has no size bound, so broadcasting all its automata to all documents would not scale. A bounded
 reference (a benchmark) is broadcast: see ``matches``.
 
-Groups stay bounded. A minimiser that stands ``HOT_ROWS`` times or in a 100,000th of all zones is hot; there are 100,000 of these at
-most, broadcast, and their zones are salted and pre-aggregated. Where more than ``SHARD_ZONES`` different zones share a minimiser, their
-windows meet one by one by hash, aggregated before shuffling; nothing is dropped.
+Groups stay bounded. A minimiser that stands ``HOT_ROWS`` times and in a 100,000th of all zones is hot: tasks count minimisers over all their
+rows, and sums of what they report find each such one (a task leaves out those it meets under ``LOCAL`` times, which the bound allows for). There are
+200,000 hot ones at most, broadcast; their zones are pre-aggregated in as many salts as their count asks for. Where more than ``SHARD_ZONES``
+different zones share a minimiser, their windows meet one by one by hash, aggregated before shuffling; nothing is dropped.
 
-Hashes: 64 bits for the minimiser and 64 for what is compared under one minimiser. Null texts count as empty, texts under ``WINDOW``
+Words are compared by hashes: 64 bits for the minimiser and 64 for what is compared under one minimiser, so two windows that differ are taken for
+equal with a probability of about 2 ** -128 a pair under different minimisers, 2 ** -64 under one. Null texts count as empty, texts under ``WINDOW``
 words lose nothing, rows that repeat an id and text are one document, null ids come last, very long texts are whole, empty tables give
 empty results, extra columns pass through.
 """
@@ -40,10 +42,10 @@ from loomgraph.llm.common import by_size, document_key, give_back, packed_texts,
 
 #: Words of a window and of a minimiser.
 WINDOW, GRAM = 20, 6
-#: Rows from which on a minimiser is hot, at least; salts of a hot one; zones of a shard.
-HOT_ROWS, SALTS, SHARD_ZONES = 10_000, 64, 2_000
-#: Times that a minimiser stands in a batch before the batch reports it as perhaps hot.
-LOCAL = 16
+#: Rows from which on a minimiser is hot, at least, and rows of a salt of a hot one; zones of a shard.
+HOT_ROWS, SHARD_ZONES = 10_000, 2_000
+#: Times that a minimiser stands in a task before the task reports it, and minimisers that a task counts at once.
+LOCAL, COUNTED = 16, 2_000_000
 
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 BASE = 0x5851F42D4C957F2D
@@ -206,21 +208,50 @@ def zone_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of parts (values, counts), with the sums of their counts."""
+    values, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.add.reduceat(counts[order], first)
+
+
 def hot_grams(docs: DataFrame, window: int, gram: int, hot_rows: int) -> DataFrame:
-    """Minimisers that stand in at least hot_rows zones and in a 100,000th of them, by what batches report: 100,000 at most."""
+    """Rows (hot, salts) of minimisers that stand in hot_rows zones and in a 100,000th of them: 200,000 at most.
+
+    Tasks report what they meet LOCAL times, and by how much that may fall short. Less that, or half of it at most, is the bound that sums of
+    reports are held against, so a minimiser that isn't found stands no more often than the bound and what tasks left out of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_size(batches, 0, 32_000_000):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total, lost, size = 0, LOCAL - 1, 0
+        for part in by_size(batches, 0, 8_000_000):
             parts = [zones(word_hashes(found), window, gram)[0] for x in part.column(0).to_pylist() if len(found := words(x)) >= window]
             if parts:
-                all_grams = np.concatenate(parts)
-                found, n = np.unique(all_grams, return_counts=True)
-                some = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), signed(found[some])]), pa.array(np.concatenate([[len(all_grams)], n[some]]).astype(np.int64))], names=["hot", "n"])
-
-    counted = stored(docs.select("text").mapInArrow(run, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n")), "dedup-hot")
-    total = counted.filter("hot IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return counted.filter(F.col("hot").isNotNull() & (F.col("n") >= max(hot_rows, total // 100_000 + 1))).select("hot")
+                held.append(np.unique(np.concatenate(parts), return_counts=True))
+                total += int(held[-1][1].sum())
+                size += len(held[-1][0])
+            while size > COUNTED:
+                values, counts = summed(held)
+                if len(values) > COUNTED // 2:  # the rarest go; what is reported may fall short by as much more
+                    least = int(counts.min())
+                    values, counts, lost = values[counts > least], counts[counts > least], lost + least
+                held, size = [(values, counts)], len(values)
+        if total:
+            values, counts = summed(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            some = counts >= LOCAL
+            n = np.concatenate([[total], counts[some]]).astype(np.int64)
+            short = np.zeros(len(n), np.int64)
+            short[0] = lost
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), signed(values[some])]), pa.array(n), pa.array(short)], names=["hot", "n", "short"])
+
+    counted = stored(docs.select("text").mapInArrow(run, "hot long, n long, short long").groupBy("hot").agg(F.sum("n").alias("n"), F.sum("short").alias("short")), "dedup-hot")
+    whole = counted.filter("hot IS NULL").first()
+    bound = max(hot_rows, (whole.n if whole else 0) // 100_000 + 1)
+    least = max(bound - (whole.short if whole else 0), (bound + 1) // 2)
+    return counted.filter(F.col("hot").isNotNull() & (F.col("n") >= least)).select("hot", F.ceil(F.col("n") / hot_rows).cast("long").alias("salts"))
 
 
 def zone_words(wanted: DataFrame, window: int) -> DataFrame:
@@ -303,7 +334,7 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, window: int, gram: int, h
     """Rows (doc, start, n): n windows from start on that also start earlier."""
     hot = hot_grams(keyed, window, gram, hot_rows)
     rows = zone_rows(keyed, window, gram).join(F.broadcast(hot), F.col("gram") == F.col("hot"), "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(-1)))
+    rows = rows.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc"), F.col("salts"))).otherwise(F.lit(-1))).drop("salts")
     rows = rows.repartition("gram", "salt")  # serves both windows below, whose one sort it shares
     same = Window.partitionBy("gram", "salt", "zone").orderBy("doc", "start")
     group = Window.partitionBy("gram", "salt")
