@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,28 +38,42 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On a single machine (tests) one of our own will do where that is unset;
+    on a cluster executors would write where the driver can't read, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-#: Tables that stored() wrote for this process's session, until sweep() removes them.
-_made: list[str] = []
+#: Lists of the tables that stored() has written, one for each scratch() that is open, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Note the tables that stored() writes inside, for remove() once nothing reads them any more. Others of the session aren't touched."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
 
 
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it again: compressed, pruned by column, safe from lost executors.
 
-    With keep, sweep() leaves the table alone.
+    With keep, an open scratch() doesn't note the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _made.append(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,10 +83,10 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "step")
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove what stored() has written so far. For callers that know that every result which reads it has been written."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def remove(spark: SparkSession, tables: list[str]) -> None:
+    """Remove written tables and forget them. For callers that know that every result which reads them has been written."""
+    while tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(tables.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

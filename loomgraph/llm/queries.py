@@ -22,7 +22,8 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-BYTE_BPE = vocabulary_file("byte_bpe_50k.json")
+def byte_bpe() -> str:
+    return vocabulary_file("byte_bpe_50k.json")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
@@ -39,7 +40,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_decode(docs, BYTE_BPE)
+    coded = bpe.encode_decode(docs, byte_bpe())
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

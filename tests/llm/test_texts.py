@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(queries.BYTE_BPE)
+    return Tokenizer.from_file(queries.byte_bpe())
 
 
 def fuzzed():
@@ -28,7 +28,7 @@ def fuzzed():
 
 def test_encoding_equals_the_library(library):
     texts = fuzzed()
-    encoder = bpe.TrieEncoder(bpe.vocabulary(queries.BYTE_BPE))
+    encoder = bpe.TrieEncoder(bpe.vocabulary(queries.byte_bpe()))
     for text, raw, held in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         ids = np.frombuffer(raw, "i")
         assert ids.tolist() == held.ids, text
@@ -36,7 +36,7 @@ def test_encoding_equals_the_library(library):
 
 
 def test_encoding_survives_a_full_cache(library):
-    encoder = bpe.TrieEncoder(bpe.vocabulary(queries.BYTE_BPE), most=50)
+    encoder = bpe.TrieEncoder(bpe.vocabulary(queries.byte_bpe()), most=50)
     for k in range(0, 400, 20):
         part = fuzzed()[k : k + 20]
         assert [np.frombuffer(x, "i").tolist() for x in encoder.encode(part)] == [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
@@ -51,11 +51,11 @@ def test_encoding_query(spark, sf, docs, library):
 
 
 def test_encoding_odd(odd_docs):
-    found = bpe.encode_decode(odd_docs, queries.BYTE_BPE)
+    found = bpe.encode_decode(odd_docs, queries.byte_bpe())
     assert found.columns == ["doc_id", "lang", "source", "n_chars", "score", "doc", "ids", "decoded"]
     held = found.collect()
     assert len(held) == odd_docs.count() and sorted(r.decoded for r in held) == sorted(r.text or "" for r in odd_docs.collect())
-    assert bpe.encode_decode(odd_docs.limit(0), queries.BYTE_BPE).count() == 0
+    assert bpe.encode_decode(odd_docs.limit(0), queries.byte_bpe()).count() == 0
 
 
 def brute_longest(words):
