@@ -369,11 +369,11 @@ def unresolved_reason(callee: Column) -> Column:
 # types and entities
 
 
-def erase_generics(name: Column, depth: int = 8) -> Column:
-    """A type without its arguments, the innermost brackets first."""
-    for _ in range(depth):
-        name = F.regexp_replace(name, "<[^<>]*>", "")
-    return name
+def erase_generics(name: Column) -> Column:
+    """A type without its arguments, the innermost brackets first, in as many rounds as brackets open: nothing is left to remove then."""
+    opened = F.length(name) - F.length(F.replace(name, F.lit("<")))
+    rounds = F.when(opened > 0, F.sequence(F.lit(1), opened)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, name, lambda held, _: F.regexp_replace(held, "<[^<>]*>", ""))
 
 
 def normalize_type(name: Column) -> Column:

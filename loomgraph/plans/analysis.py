@@ -13,16 +13,16 @@ from loomgraph.plans.resolution import EDGE_TABLES, IDENT_TABLES, ident
 from loomgraph.sources.estate import tables
 from loomgraph.streaming.events import hourly
 
-#: A call graph of bounded out-degree: calls of every 16th order, to the one function of a unique simple name.
+#: The call graph by name alone: calls to the one function of a unique simple name.
 CALLS = """u AS (SELECT simple_name, min(id) AS id FROM functions GROUP BY 1 HAVING count(*) = 1),
-g AS (SELECT DISTINCT c.caller_function_id AS src, u.id AS dst FROM function_calls c JOIN u ON u.simple_name = regexp_replace(c.callee_name, '^.*\\.', '') WHERE c.id % 3 = 0)"""
+g AS (SELECT DISTINCT c.caller_function_id AS src, u.id AS dst FROM function_calls c JOIN u ON u.simple_name = regexp_replace(c.callee_name, '^.*\\.', ''))"""
 GRAPH_TABLES = "functions function_calls"
 
 
 def call_graph(spark, sf):
     functions, calls = tables(spark, sf, "functions", "function_calls")
     named = scope.unique(functions, ["simple_name"], "id", "dst")
-    rows = calls.filter("id % 3 = 0").withColumn("simple_name", F.substring_index("callee_name", ".", -1))
+    rows = calls.withColumn("simple_name", F.substring_index("callee_name", ".", -1))
     return rows.join(named, "simple_name").select(F.col("caller_function_id").alias("src"), "dst").distinct()
 
 
@@ -69,11 +69,11 @@ def call_path_length(spark, sf):
     return graph.shortest_path(edges, 7, target).agg(F.coalesce(F.max("step"), F.lit(0)).alias("steps"))
 
 
-@query("r02_endpoints_of_readers", "functions function_calls endpoints data_accesses", f"""WITH RECURSIVE {reach('up', "id IN (SELECT caller_function_id FROM data_accesses WHERE entity_name = 'E7' AND access = 'read' AND id % 40 = 0)", 3)}
+@query("r02_endpoints_of_readers", "functions function_calls endpoints data_accesses", f"""WITH RECURSIVE {reach('up', "id IN (SELECT caller_function_id FROM data_accesses WHERE entity_name = 'E7' AND access = 'read')", 3)}
     SELECT DISTINCT e.id, e.path, m.depth FROM m JOIN endpoints e ON e.handler_function_id = m.node""")
 def endpoints_of_readers(spark, sf):
     accesses, endpoints = tables(spark, sf, "data_accesses", "endpoints")
-    roots = accesses.filter("entity_name = 'E7' AND access = 'read' AND id % 40 = 0").select(F.col("caller_function_id").alias("node"))
+    roots = accesses.filter("entity_name = 'E7' AND access = 'read'").select(F.col("caller_function_id").alias("node"))
     back = call_graph(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     found = graph.bfs(back, roots, 3).select(F.col("node").alias("handler_function_id"), "depth")
     return endpoints.join(found, "handler_function_id").select("id", "path", "depth")
@@ -89,10 +89,10 @@ def type_ancestors(spark, sf):
     return types.ancestors(*tables(spark, sf, "type_parents"), spark.createDataFrame([("T77",)], "node string"))
 
 
-@query("r04_erased_generics", "type_parents", "SELECT id, regexp_replace(concat('Map<', parent, ', List<', child, '>>[]'), '<.*>', '') AS erased FROM type_parents")
+@query("r04_erased_generics", "type_parents", "SELECT id, regexp_replace(concat('Map<', repeat('List<', 12), parent, ', List<', child, '>', repeat('>', 12), '>[]'), '<.*>', '') AS erased FROM type_parents")
 def erased(spark, sf):
     (parents,) = tables(spark, sf, "type_parents")
-    return parents.select("id", C.erase_generics(F.concat(F.lit("Map<"), "parent", F.lit(", List<"), "child", F.lit(">>[]"))).alias("erased"))
+    return parents.select("id", C.erase_generics(F.concat(F.lit("Map<" + "List<" * 12), "parent", F.lit(", List<"), "child", F.lit(">" * 13 + ">[]"))).alias("erased"))
 
 
 @query("x09_type_names", "type_parents", "SELECT id, regexp_replace(regexp_replace(parent, '<[^<>]*>', ''), '^.*\\.', '') AS type FROM type_parents")
@@ -248,9 +248,9 @@ def clipped(spark, sf):
     return rows.withColumn("clipped", F.lit(more))
 
 
-@query("l06_term_boost", IDENT_TABLES, f"WITH {IDENT} SELECT id, CAST(lower(name) LIKE '%red%' OR lower(repo_name) LIKE '%red%' AS INTEGER) + CAST(lower(name) LIKE '%bolt%' OR lower(repo_name) LIKE '%bolt%' AS INTEGER) AS hits FROM ident WHERE id < 300 ORDER BY hits DESC, id LIMIT 40")
+@query("l06_term_boost", IDENT_TABLES, f"WITH {IDENT} SELECT id, CAST(lower(name) LIKE '%red%' OR lower(repo_name) LIKE '%red%' AS INTEGER) + CAST(lower(name) LIKE '%bolt%' OR lower(repo_name) LIKE '%bolt%' AS INTEGER) AS hits FROM ident ORDER BY hits DESC, id LIMIT 40")
 def term_boost(spark, sf):
-    rows = ident(spark, sf).filter("id < 300").select("id", "name", F.col("repo_name").alias("repo"), F.col("id").alias("position"))
+    rows = ident(spark, sf).select("id", "name", F.col("repo_name").alias("repo"), F.col("id").alias("position"))
     return search.term_boost(rows, ["red", "bolt"]).limit(40).select("id", "hits")
 
 
@@ -261,16 +261,16 @@ def branch_limits(spark, sf):
     return search.best_of_each(branches, [F.col("id").desc()], 5)
 
 
-@query("l08_hop_order", "function_calls http_client_calls sqs_producers data_accesses", """WITH h AS (SELECT 0 AS p, 'call' AS via, id FROM function_calls WHERE id % 1000 = 1 UNION ALL SELECT 1, 'http', id FROM http_client_calls UNION ALL SELECT 2, 'sqs', id FROM sqs_producers WHERE id % 100 = 0 UNION ALL SELECT 3, 'data', id FROM data_accesses WHERE id % 1000 = 0)
-    SELECT via, id, row_number() OVER (PARTITION BY id % 10 ORDER BY p, id) AS position FROM h""")
+@query("l08_hop_order", "function_calls http_client_calls sqs_producers data_accesses", """WITH h AS (SELECT 0 AS p, 'call' AS via, id, caller_function_id AS src FROM function_calls UNION ALL SELECT 1, 'http', id, caller_function_id FROM http_client_calls UNION ALL SELECT 2, 'sqs', id, caller_function_id FROM sqs_producers UNION ALL SELECT 3, 'data', id, caller_function_id FROM data_accesses)
+    SELECT src, via, id, row_number() OVER (PARTITION BY src ORDER BY p, id) AS position FROM h""")
 def hop_order(spark, sf):
     calls, http, producers, accesses = tables(spark, sf, "function_calls", "http_client_calls", "sqs_producers", "data_accesses")
-    parts = {"call": calls.filter("id % 1000 = 1"), "http": http, "sqs": producers.filter("id % 100 = 0"), "data": accesses.filter("id % 1000 = 0")}
+    parts = {"call": calls, "http": http, "sqs": producers, "data": accesses}
     rows = None
     for k, (via, one) in enumerate(parts.items()):
-        held = one.select(F.lit(via).alias("via"), "id", F.lit(k).alias("p"))
+        held = one.select(F.lit(via).alias("via"), "id", F.col("caller_function_id").alias("src"), F.lit(k).alias("p"))
         rows = held if rows is None else rows.unionByName(held)
-    return rows.select("via", "id", F.row_number().over(Window.partitionBy(F.col("id") % 10).orderBy("p", "id")).alias("position"))
+    return rows.select("src", "via", "id", F.row_number().over(Window.partitionBy("src").orderBy("p", "id")).alias("position"))
 
 
 TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
@@ -332,11 +332,11 @@ def function_name(spark, sf):
     return functions.filter(C.function_named(F.col("name"), "Red_Ring")).select("id")
 
 
-@query("f07_filtered_tree", GRAPH_TABLES, f"WITH RECURSIVE {CALLS}, k AS (SELECT * FROM g WHERE dst % 2 = 0), r AS (SELECT id AS node, 0 AS depth FROM functions WHERE id % 100 = 8 UNION SELECT k.dst, depth + 1 FROM r JOIN k ON k.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("f07_filtered_tree", GRAPH_TABLES, f"WITH RECURSIVE {CALLS}, k AS (SELECT g.* FROM g JOIN functions f ON f.id = g.dst WHERE f.name NOT ILIKE '%ring%'), r AS (SELECT id AS node, 0 AS depth FROM functions WHERE id % 100 = 8 UNION SELECT k.dst, depth + 1 FROM r JOIN k ON k.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def filtered_tree(spark, sf):
     (functions,) = tables(spark, sf, "functions")
     roots = functions.filter("id % 100 = 8").select(F.col("id").alias("node"))
-    return graph.bfs(call_graph(spark, sf).filter("dst % 2 = 0"), roots, 3).select("node", "depth")
+    return graph.bfs(call_graph(spark, sf).join(functions.filter(C.contains_text(F.col("name"), "ring")).select(F.col("id").alias("dst")), "dst", "left_anti"), roots, 3).select("node", "depth")
 
 
 @query("a05_conditional_counts", "function_calls", "SELECT count(*) FILTER (WHERE is_async) AS async_calls, count(*) FILTER (WHERE is_callback_argument) AS callbacks, count(*) FILTER (WHERE strpos(callee_name, '.') > 0) AS dotted FROM function_calls")
@@ -370,7 +370,7 @@ def entrypoint_merge(spark, sf):
 @query("a17_string_aggregation", "repositories", "SELECT workspace_id, string_agg(name, ',' ORDER BY name) AS names FROM repositories GROUP BY 1")
 def string_aggregation(spark, sf):
     (repositories,) = tables(spark, sf, "repositories")
-    return repositories.groupBy("workspace_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    return repositories.groupBy("workspace_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
 @query("a18_change_areas", "files", "SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) AS area, sum(id % 7) AS changes FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -465,10 +465,10 @@ def overall_verdict(spark, sf):
     return verify.overall(verify.verdict(change_facts(spark, sf)))
 
 
-@query("q17_obligations", IDENT_TABLES, f"WITH {IDENT} SELECT concat('c', CAST(id AS VARCHAR)) AS claim, caller_id, CASE id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'contradicted' ELSE 'missing' END AS obligation FROM ident WHERE id < 60 AND caller_id NOT IN (SELECT caller_id FROM ident GROUP BY 1 HAVING count(*) > 1)")
+@query("q17_obligations", IDENT_TABLES, f"WITH {IDENT} SELECT concat('c', CAST(id AS VARCHAR)) AS claim, caller_id, CASE id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'contradicted' ELSE 'missing' END AS obligation FROM ident WHERE caller_id NOT IN (SELECT caller_id FROM ident GROUP BY 1 HAVING count(*) > 1)")
 def obligations(spark, sf):
     own = ident(spark, sf)
-    alone = scope.unique(own, ["caller_id"], "id", "id").filter("id < 60")
+    alone = scope.unique(own, ["caller_id"], "id", "id")
     required = alone.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("claim"), "caller_id")
     observed = alone.filter("id % 3 < 2").select("caller_id", (F.col("id") % 3 == 0).alias("holds"))
     return verify.obligations(required, observed)

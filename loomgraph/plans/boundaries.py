@@ -111,22 +111,14 @@ def audit_counts(spark, sf):
     return audit.http_counts(routes.audit_classes(*http(spark, sf)))
 
 
-LITERAL = AUDIT.replace("FROM endpoints)", "FROM endpoints WHERE path NOT LIKE '%:id')")
-
-
-def literal_http(spark, sf):
-    calls, endpoints = http(spark, sf)
-    return calls, endpoints.filter("path NOT LIKE '%:id'")
-
-
-@query("a11_unresolved_repos", HTTP, f"WITH {LITERAL} SELECT repo_id, count(*) AS n, count(*) FILTER (WHERE class = 'path_unmatched') AS path_unmatched, count(*) FILTER (WHERE class = 'method_mismatched') AS method_mismatched FROM acl WHERE class IN ('path_unmatched', 'method_mismatched') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("a11_unresolved_repos", HTTP, f"WITH {AUDIT} SELECT repo_id, count(*) AS n, count(*) FILTER (WHERE class = 'path_unmatched') AS path_unmatched, count(*) FILTER (WHERE class = 'method_mismatched') AS method_mismatched FROM acl WHERE class IN ('path_unmatched', 'method_mismatched') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def unresolved_repos(spark, sf):
-    return audit.unresolved_repos(routes.audit_classes(*literal_http(spark, sf)), 10)
+    return audit.unresolved_repos(routes.audit_classes(*http(spark, sf)), 10)
 
 
-@query("a11_unresolved_samples", HTTP, f"WITH {LITERAL} SELECT id, repo_id, url_pattern, class FROM acl WHERE class IN ('path_unmatched', 'method_mismatched') ORDER BY class <> 'method_mismatched', repo_id, url_pattern, id LIMIT 15")
+@query("a11_unresolved_samples", HTTP, f"WITH {AUDIT} SELECT id, repo_id, url_pattern, class FROM acl WHERE class IN ('path_unmatched', 'method_mismatched') ORDER BY class <> 'method_mismatched', repo_id, url_pattern, id LIMIT 15")
 def unresolved_samples(spark, sf):
-    return audit.unresolved_samples(routes.audit_classes(*literal_http(spark, sf)), 15).select("id", "repo_id", "url_pattern", "class")
+    return audit.unresolved_samples(routes.audit_classes(*http(spark, sf)), 15).select("id", "repo_id", "url_pattern", "class")
 
 
 @query("j07_contract_callers", HTTP, f"WITH {PAIRS} SELECT e_repo AS repo_id, c_repo AS caller_repo, count(DISTINCT call_id) AS n FROM eq WHERE literal AND c_repo <> e_repo GROUP BY 1, 2")
@@ -248,12 +240,12 @@ def trace_consumers(spark, sf):
     return queues.trace_consumers(producers, every, aliases)
 
 
-@query("u01_consumer_union", f"{QUEUES} data_accesses eventbridge_schedules", "SELECT id, queue_name, 'queue' AS kind FROM sqs_consumers UNION ALL SELECT id, lower(target_name), 'schedule' FROM eventbridge_schedules UNION ALL SELECT id, entity_name, 'read' FROM data_accesses WHERE access = 'read' AND id % 100 = 0")
+@query("u01_consumer_union", f"{QUEUES} data_accesses eventbridge_schedules", "SELECT id, queue_name, 'queue' AS kind FROM sqs_consumers UNION ALL SELECT id, lower(target_name), 'schedule' FROM eventbridge_schedules UNION ALL SELECT id, entity_name, 'read' FROM data_accesses WHERE access = 'read'")
 def consumer_union(spark, sf):
     consumers, schedules, accesses = tables(spark, sf, "sqs_consumers", "eventbridge_schedules", "data_accesses")
     a = consumers.select("id", "queue_name", F.lit("queue").alias("kind"))
     b = schedules.select("id", F.lower("target_name").alias("queue_name"), F.lit("schedule").alias("kind"))
-    c = accesses.filter("access = 'read' AND id % 100 = 0").select("id", F.col("entity_name").alias("queue_name"), F.lit("read").alias("kind"))
+    c = accesses.filter("access = 'read'").select("id", F.col("entity_name").alias("queue_name"), F.lit("read").alias("kind"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -389,18 +381,18 @@ def graphql_usages(spark, sf):
     return met.select("id", "operation_id", F.when(F.col("k") == 1, "high").otherwise("medium").alias("confidence"))
 
 
-@query("j25_controller_folders", "graphql_operations files", "SELECT o.id, f.id AS file_id FROM (SELECT * FROM graphql_operations WHERE id % 200 = 0) o JOIN files f ON starts_with(f.path, 'src/machinery/') AND f.repo_id = o.repo_id")
+@query("j25_controller_folders", "graphql_operations files", "SELECT o.id, f.id AS file_id FROM graphql_operations o JOIN files f ON starts_with(f.path, 'src/machinery/') AND f.repo_id = o.repo_id")
 def controller_folders(spark, sf):
     operations, files = tables(spark, sf, "graphql_operations", "files")
     folder = F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"))
     held = files.select(F.col("id").alias("file_id"), "repo_id", folder.alias("folder"))
-    return operations.filter("id % 200 = 0").withColumn("folder", F.lit("src/machinery/")).join(held, ["repo_id", "folder"]).select("id", "file_id")
+    return operations.withColumn("folder", F.lit("src/machinery/")).join(held, ["repo_id", "folder"]).select("id", "file_id")
 
 
-@query("j02_endpoint_handlers", "endpoints functions", "SELECT e.id, e.path, f.name AS handler FROM endpoints e LEFT JOIN functions f ON f.id = e.handler_function_id AND f.id % 2 = 0")
+@query("j02_endpoint_handlers", "endpoints functions", "SELECT e.id, e.path, f.name AS handler FROM endpoints e LEFT JOIN functions f ON f.id = e.handler_function_id")
 def endpoint_handlers(spark, sf):
     endpoints, functions = tables(spark, sf, "endpoints", "functions")
-    f = functions.filter("id % 2 = 0").select(F.col("id").alias("handler_function_id"), F.col("name").alias("handler"))
+    f = functions.select(F.col("id").alias("handler_function_id"), F.col("name").alias("handler"))
     return endpoints.join(f, "handler_function_id", "left").select("id", "path", "handler")
 
 

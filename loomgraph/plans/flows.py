@@ -129,11 +129,11 @@ def test_paths(spark, sf):
     return spark.createDataFrame([(p,) for p in paths], "path string").select("path", C.test_path(F.col("path")).alias("test"))
 
 
-@query("j34_routes_in_source", "endpoints", f"""WITH s AS (SELECT id, path AS route FROM endpoints WHERE id % 4 = 2), e AS (SELECT id AS endpoint_id, regexp_replace(path, '/$', '') AS p FROM endpoints),
+@query("j34_routes_in_source", "endpoints", f"""WITH s AS (SELECT id, path AS route FROM endpoints), e AS (SELECT id AS endpoint_id, regexp_replace(path, '/$', '') AS p FROM endpoints),
     n AS (SELECT id, regexp_replace(route, '/$', '') AS route FROM s) SELECT n.id, n.route, e.endpoint_id, 'exact' AS how FROM n JOIN e ON e.p = n.route WHERE {MEANING.format("'x'")} IS NOT NULL""")
 def routes_in_source(spark, sf):
     (endpoints,) = tables(spark, sf, "endpoints")
-    text = endpoints.filter("id % 4 = 2").select("id", F.concat(F.lit("call('"), "path", F.lit("')")).alias("source_code"))
+    text = endpoints.select("id", F.concat(F.lit("call('"), "path", F.lit("')")).alias("source_code"))
     return flow.source_routes(text, endpoints)
 
 
@@ -198,9 +198,9 @@ def arrays(spark, sf):
     return files.select("id", F.size(parts).alias("n"), F.element_at(parts, 2).alias("area"), F.array_contains(parts, "building").alias("building"))
 
 
-@query("x15_json_fields", "", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 20 = 0")
+@query("x15_json_fields", "", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").filter("event_id % 20 = 0")
+    events = spark.read.parquet(f"{sf}/events.parquet")
     return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

@@ -82,10 +82,10 @@ def scope_semi_join(spark, sf):
     return scope.semi_scope(files, active, legacy=True).select("id", "snapshot_id")
 
 
-@query("j03_batched_lookup", IDENT_TABLES, f"WITH {IDENT}, k AS (SELECT DISTINCT repo_name, name FROM ident WHERE id % 3 = 0), r AS (SELECT i.*, row_number() OVER (PARTITION BY i.repo_name, i.name ORDER BY start_line, end_line, id) AS rn FROM ident i JOIN k ON k.repo_name = i.repo_name AND k.name = i.name) SELECT repo_name, name, id FROM r WHERE rn = 1")
+@query("j03_batched_lookup", IDENT_TABLES, f"WITH {IDENT}, k AS (SELECT DISTINCT repo_name, name FROM ident), r AS (SELECT i.*, row_number() OVER (PARTITION BY i.repo_name, i.name ORDER BY start_line, end_line, id) AS rn FROM ident i JOIN k ON k.repo_name = i.repo_name AND k.name = i.name) SELECT repo_name, name, id FROM r WHERE rn = 1")
 def batched_lookup(spark, sf):
     own = ident(spark, sf)
-    keys = own.filter("id % 3 = 0").select("repo_name", "name").distinct()
+    keys = own.select("repo_name", "name").distinct()
     return scope.lookup(keys, own, ["repo_name", "name"]).select("repo_name", "name", "id")
 
 
@@ -275,9 +275,9 @@ def access_classes(spark, sf):
     return spark.createDataFrame([(x,) for x in names], "method string").select("method", C.access_class(F.col("method")).alias("access"))
 
 
-@query("f20_freshness", sql="SELECT event_id, CASE WHEN date_diff('second', ts, TIMESTAMP '2024-01-10 00:00:00') <= 86400 THEN 'recent' WHEN date_diff('second', ts, TIMESTAMP '2024-01-10 00:00:00') <= 604800 THEN 'aging' ELSE 'stale' END AS status FROM events WHERE event_id % 10 = 0")
+@query("f20_freshness", sql="SELECT event_id, CASE WHEN date_diff('second', ts, TIMESTAMP '2024-01-10 00:00:00') <= 86400 THEN 'recent' WHEN date_diff('second', ts, TIMESTAMP '2024-01-10 00:00:00') <= 604800 THEN 'aging' ELSE 'stale' END AS status FROM events")
 def freshness(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").filter("event_id % 10 = 0")
+    events = spark.read.parquet(f"{sf}/events.parquet")
     now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
     age = F.timestamp_diff("SECOND", F.date_trunc("second", F.col("ts")).cast("timestamp_ntz"), now) / 3600
     return events.select("event_id", C.freshness(age).alias("status"))
@@ -289,10 +289,10 @@ def cross_seed(spark, sf):
     return repositories.select("id", "name").join(F.broadcast(spark.createDataFrame([(0,)], "workspace int")), F.lit(True))
 
 
-@query("j31_semi_join", "repositories sqs_producers", "SELECT id, name FROM repositories r WHERE EXISTS (SELECT 1 FROM sqs_producers p WHERE p.repo_id = r.id AND p.id % 97 = 0)")
+@query("j31_semi_join", "repositories sqs_producers", "SELECT id, name FROM repositories r WHERE EXISTS (SELECT 1 FROM sqs_producers p WHERE p.repo_id = r.id AND p.queue_name = 'signup.fifo')")
 def semi_join(spark, sf):
     repositories, producers = tables(spark, sf, "repositories", "sqs_producers")
-    return repositories.join(producers.filter("id % 97 = 0").select(F.col("repo_id").alias("id")), "id", "left_semi").select("id", "name")
+    return repositories.join(producers.filter("queue_name = 'signup.fifo'").select(F.col("repo_id").alias("id")), "id", "left_semi").select("id", "name")
 
 
 @query("j32_anti_join", "functions function_calls", "SELECT id FROM functions f WHERE NOT EXISTS (SELECT 1 FROM function_calls c WHERE c.caller_function_id = f.id AND c.is_callback_argument)")

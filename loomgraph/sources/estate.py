@@ -24,7 +24,7 @@ PROJECTION: dict[str, str] = {
     "function_calls": """SELECT l.l_orderkey * 1000 + CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_shipdate) AS BIGINT) AS id,
         l.l_partkey AS caller_function_id, CASE WHEN l.l_linestatus = 'O' THEN t.name ELSE t.simple_name END AS callee_name,
         c.start_line + l.l_linenumber % (c.end_line - c.start_line + 1) AS line_number, l.l_returnflag = 'R' AS is_async, l.l_returnflag = 'A' AND l.l_linenumber = 7 AS is_callback_argument
-        FROM lineitem l JOIN functions c ON c.id = l.l_partkey JOIN functions t ON t.id = (l.l_orderkey * 7 + l.l_linenumber) % (SELECT count(*) FROM part) WHERE l.l_orderkey % 4 = 0""",
+        FROM lineitem l JOIN functions c ON c.id = l.l_partkey JOIN functions t ON t.id = (l.l_orderkey * 7 + l.l_linenumber) % (SELECT count(*) FROM part)""",
     "endpoints": """SELECT page_id AS id, page_id % 25 AS repo_id, page_id % (SELECT count(*) FROM customer) AS file_id, CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'REQUEST' END AS method,
         CASE WHEN page_id % 4 = 0 THEN concat('/', split_part(split_part(url, '/', 4), '?', 1), '/:id') ELSE concat('/', split_part(url, '/', 4), '/', split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1)) END AS path,
         page_id % (SELECT count(*) FROM part) AS handler_function_id FROM pages WHERE page_id % 2 = 0""",
