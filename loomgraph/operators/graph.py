@@ -1,11 +1,13 @@
 """Graph walks as level-synchronous joins: each level joins the frontier with edges and removes what was visited.
 
 A walk's depth bounds the number of rounds, never the driver's memory; a closure's rounds end when nothing is new. Frontiers and visited sets
-stay distributed and are checkpointed each level. A node belongs to the parent that reaches it first; ties go to the least parent.
+stay distributed and are written each level. A node belongs to the parent that reaches it first; ties go to the least parent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -16,31 +18,47 @@ from loomgraph.operators.tables import checkpointed
 
 #: Depths and budgets of a walk: default and most; nodes of a trace: default and most; paths: default and most depth.
 DEPTH, MOST_DEPTH, NODES, MOST_NODES, PATH_DEPTH, MOST_PATH_DEPTH = 4, 32, 2_000, 10_000, 5, 8
+#: Levels of a walk whose tables are read one by one.
+MERGED = 16
 #: Confidences from the best.
 CONFIDENCES = ("high", "medium", "low")
 
 
-def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = DEPTH, expand: Column | None = None) -> DataFrame:
+def typed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, edge_type, confidence); calls of high confidence where nothing else is said."""
+    for column, value in (("edge_type", "call"), ("confidence", "high")):
+        if column not in edges.columns:
+            edges = edges.withColumn(column, F.lit(value))
+    return edges.select("src", "dst", "edge_type", "confidence")
+
+
+def bfs(edges: DataFrame | Callable[[DataFrame], DataFrame], roots: DataFrame, depth: int | None = DEPTH, expand: Column | None = None) -> DataFrame:
     """Rows (node, depth, parent, edge_type, confidence) of what roots (node) reach over edges (src, dst[, edge_type, confidence]).
 
+    edges: a table, or a function that gives those of a frontier (node), for edges that are found by matching and shouldn't be listed in full.
     depth: levels, MOST_DEPTH at most; None goes on until nothing is new. expand: a condition on a reached row without which its node is a leaf.
+
+    Levels are written once each and stay as they are: what was visited is their union, merged only every ``MERGED`` levels.
     """
-    for column, value in (("edge_type", "call"), ("confidence", "high")):
-        if column not in edges.columns:
-            edges = edges.withColumn(column, F.lit(value))
-    edges = edges.select("src", "dst", "edge_type", "confidence")
-    seen = checkpointed(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("string").alias("confidence")))
-    frontier = seen
+    table = None if callable(edges) else typed(edges)
+    kind = roots.schema["node"].dataType
+    none = F.lit(None).cast("string")
+    frontier = checkpointed(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), none.alias("edge_type"), none.alias("confidence")))
+    levels = [frontier]
     for level in count(1) if depth is None else range(1, min(depth, MOST_DEPTH) + 1):
         source = frontier if expand is None or level == 1 else frontier.filter(expand)
-        step = source.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node"), F.lit(level).alias("depth"), F.col("src").alias("parent"), "edge_type", "confidence")
+        near = source.select("node")
+        own = table if table is not None else typed(edges(near))
+        step = near.withColumnRenamed("node", "src").join(own, "src").select(F.col("dst").alias("node"), F.lit(level).alias("depth"), F.col("src").alias("parent"), "edge_type", "confidence")
         # the least parent is found by aggregation, before anything of a level is shuffled twice
         least = step.groupBy("node").agg(F.min(F.struct("depth", "parent", "edge_type", "confidence")).alias("x")).select("node", "x.*")
-        frontier = checkpointed(least.join(seen.select("node"), "node", "left_anti"))
+        frontier = checkpointed(least.join(reduce(DataFrame.unionByName, levels).select("node"), "node", "left_anti"))
         if not frontier.limit(1).count():
             break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+        levels.append(frontier)
+        if len(levels) > MERGED:
+            levels = [checkpointed(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -145,6 +163,15 @@ def tiered_edges(*sources: DataFrame) -> DataFrame:
     return every.join(best, ["src", "tier"])
 
 
-def affected_snapshots(changed: DataFrame, references: DataFrame) -> DataFrame:
-    """Snapshots that changed, and all that refer to them directly or not. references: (snapshot, target)."""
-    return bfs(references.select(F.col("target").alias("src"), F.col("snapshot").alias("dst")), changed.select(F.col("snapshot").alias("node")), None).select(F.col("node").alias("snapshot"))
+def affected_snapshots(changed: DataFrame, references: DataFrame, declared: DataFrame | None = None, pending: DataFrame | None = None) -> DataFrame:
+    """Snapshots that changed, and all that refer to them directly or not. references: (snapshot, target).
+
+    Seeds by name as well: snapshots whose unresolved calls (pending: snapshot, name) name something that a changed snapshot declares
+    (declared: snapshot, name), as a change may answer or confuse them.
+    """
+    seeds = changed.select("snapshot")
+    if declared is not None and pending is not None:
+        names = declared.join(seeds, "snapshot", "left_semi").select("name").distinct()
+        seeds = seeds.unionByName(pending.join(names, "name", "left_semi").select("snapshot")).distinct()
+    edges = references.select(F.col("target").alias("src"), F.col("snapshot").alias("dst"))
+    return bfs(edges, seeds.select(F.col("snapshot").alias("node")), None).select(F.col("node").alias("snapshot"))

@@ -47,13 +47,15 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     caller = own.select(F.col("fid").alias("caller_function_id"), "file_id", *scope, class_of(F.col("name")).alias("cls"))
     callee = F.col("callee_name")
     own_method = F.regexp_extract(callee, r"^this\.([^.]+)$", 1)
+    # a call without a tier's key gets one that nothing has, so that such calls are spread and not joined in one place
+    none = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string"))
     rows = (
         calls.join(caller, "caller_function_id")
         .withColumn("k1", callee)
-        .withColumn("k2", F.when(dotted(callee), callee))
-        .withColumn("k3", F.when(own_method != "", F.concat("cls", F.lit("."), own_method)))
-        .withColumn("k4", F.when(~dotted(callee), F.concat("cls", F.lit("."), callee)))
-        .withColumn("k5", F.when(~dotted(callee), callee))
+        .withColumn("k2", F.when(dotted(callee), callee).otherwise(none))
+        .withColumn("k3", F.when(own_method != "", F.concat("cls", F.lit("."), own_method)).otherwise(none))
+        .withColumn("k4", F.when(~dotted(callee), F.concat("cls", F.lit("."), callee)).otherwise(none))
+        .withColumn("k5", F.when(~dotted(callee), callee).otherwise(none))
         .join(by_file, ["file_id", "k1"], "left")
         .join(by_suffix, [*scope, "k2"], "left")
         .join(by_name.withColumnRenamed("name", "k3"), [*scope, "k3"], "left")

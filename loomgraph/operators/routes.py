@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import columns as C
-from loomgraph.operators.scope import first_of
+from loomgraph.operators.scope import first_n, first_of
 
 #: Endpoints that one call may match on the trace surface.
 MOST_MATCHES = 50
@@ -22,20 +22,24 @@ def methods_meet(call: Column, endpoint: Column) -> Column:
 
 
 def bucketed(rows: DataFrame, call: bool, trailing: bool) -> DataFrame:
-    """Rows once for each bucket (length, first segment) in which a partner can stand; column segs holds the segments.
+    """Rows once for each bucket (length, position, segment) in which a partner can stand; column segs holds the segments.
 
-    With trailing, a route that ends in parameters also stands under the lengths without them. A literal first segment meets itself and
-    parameters; a parameter meets every first segment.
+    An endpoint stands under its first literal segment, and under the parameter that a call may have there. A call stands under each of its
+    segments, so a pair meets in one bucket at most, however it begins. Endpoints of parameters alone meet every call of their length, as they match
+    it. With trailing, a route that ends in parameters also stands under the lengths without them.
     """
     n = F.size("segs")
-    first = F.element_at("segs", 1)
     last_literal = F.coalesce(F.array_max(F.transform("segs", lambda x, i: F.when(~C.is_param(x), i + 1))), F.lit(0))
     least = F.greatest(F.lit(1), last_literal) if trailing else n
     rows = rows.filter(n > 0).withColumn("bucket_n", F.explode(F.sequence(least, n)))
+    every = F.concat(F.lit("0="))
     if call:
-        keys = F.when(C.is_param(first), F.array(F.lit("~"))).otherwise(F.array(F.concat(F.lit("="), first), F.lit("*")))
+        own = F.transform(F.slice("segs", 1, F.col("bucket_n")), lambda x, i: F.concat((i + 1).cast("string"), F.when(C.is_param(x), "~").otherwise(F.concat(F.lit("="), x))))
+        keys = F.array_append(own, every)
     else:
-        keys = F.when(C.is_param(first), F.array(F.lit("*"), F.lit("~"))).otherwise(F.array(F.concat(F.lit("="), first), F.lit("~")))
+        first = F.array_min(F.transform("segs", lambda x, i: F.when(~C.is_param(x), i + 1)))
+        place = first.cast("string")
+        keys = F.when(first.isNull(), F.array(every)).otherwise(F.array(F.concat(place, F.lit("="), F.element_at("segs", first)), F.concat(place, F.lit("~"))))
     return rows.withColumn("bucket", F.explode(keys))
 
 
@@ -121,7 +125,9 @@ def trace_cascade(calls: DataFrame, endpoints: DataFrame, prefixes: tuple[str, .
     """Trace matches (call_id, endpoint_id, tier): of each call only those of its first tier that finds any, MOST_MATCHES at most.
 
     A call's forms come in order (route, slash form, variants); each tries exact(method), exact(REQUEST), pattern(method),
-    pattern(REQUEST). Patterns meet on the first segment: a stored parameter there meets every call.
+    pattern(REQUEST). Patterns meet on a literal segment that any path they cover must hold: the first one, or where a parameter comes first the
+    next literal, wherever a path has it. A route of one segment is a prefix of others and meets the beginnings of their first. Patterns of
+    parameters alone meet every call. Of endpoints equal in pattern and method the MOST_MATCHES least are enough.
     """
     route = C.normalize_route(F.col("url_pattern"))
     rows = calls.select(F.col("id").alias("call_id"), C.normalize_method(F.col("http_method")).alias("c_method"), route.alias("route")).filter(F.col("route") != "")
@@ -137,12 +143,26 @@ def trace_cascade(calls: DataFrame, endpoints: DataFrame, prefixes: tuple[str, .
         tier = F.when(ok, F.lit(own)).when(narrow & (F.col("e_method") == "REQUEST"), F.lit(own + 1))
         return pairs.select("call_id", "endpoint_id", (F.col("at") * 4 + tier).alias("tier")).filter("tier IS NOT NULL")
 
-    exact = ranked(form.join(e, F.lower("form") == F.lower("stored")), 0)
-    first = lambda c: F.regexp_extract(c, "^/?([^/]*)", 1)
-    key = first(F.col("stored"))
-    keyed = e.withColumn("key", F.when(C.is_param(key) | key.rlike("[:{]"), "*").otherwise(F.lower(key)))
-    like_form = form.withColumn("key", F.explode(F.array(F.lower(first(F.col("form"))), F.lit("*"))))
-    like = like_form.join(keyed, "key").filter(like_test(F.lower("form"), F.lower("stored")))
+    few = lambda rows, key: first_n(rows, ["e_method", key], "endpoint_id", MOST_MATCHES)
+    e = e.withColumn("low", F.lower("stored"))
+    exact = ranked(form.withColumn("low", F.lower("form")).join(few(e, "low"), "low"), 0)
+    parts = lambda c: F.split(F.regexp_replace(F.lower(c), "^/", ""), "/")
+    literal = F.filter(parts(F.col("stored")), lambda x: ~x.rlike("[:{]") & (x != ""))
+    head = F.element_at(parts(F.col("stored")), 1)
+    single = F.size(parts(F.col("stored"))) == 1
+    opening = head.rlike("[:{]")
+    own = (
+        F.when(F.col("stored") == "/", F.array(F.lit("f=")))
+        .when(opening, F.array(F.concat(F.lit("f="), head), F.coalesce(F.concat(F.lit("s="), F.get(literal, F.lit(0))), F.lit("*"))))
+        .when(single, F.array(F.concat(F.lit("p="), head)))
+        .otherwise(F.array(F.concat(F.lit("f="), head)))
+    )
+    keyed = few(e, "low").withColumn("key", F.explode(F.array_distinct(own)))
+    begin = F.element_at(parts(F.col("form")), 1)
+    beginnings = F.transform(F.sequence(F.lit(0), F.length(begin)), lambda k: F.concat(F.lit("p="), F.substring(begin, F.lit(1), k)))
+    theirs = F.concat(F.array(F.concat(F.lit("f="), begin), F.lit("*")), F.transform(parts(F.col("form")), lambda x: F.concat(F.lit("s="), x)), beginnings)
+    like_form = form.withColumn("key", F.explode(F.array_distinct(theirs)))
+    like = like_form.join(keyed, "key").filter(like_test(F.lower("form"), F.col("low")))
     every = exact.unionByName(ranked(like, 2)).groupBy("call_id", "endpoint_id").agg(F.min("tier").alias("tier"))
     best = every.withColumn("best", F.min("tier").over(Window.partitionBy("call_id"))).filter("tier = best").drop("best")
     return best.withColumn("rn", F.row_number().over(Window.partitionBy("call_id").orderBy("endpoint_id"))).filter(F.col("rn") <= MOST_MATCHES).drop("rn")

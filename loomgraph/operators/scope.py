@@ -45,6 +45,11 @@ def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def first_n(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """At most n rows for each key, first by order."""
+    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__rn") <= n).drop("__rn")
+
+
 def innermost(points: DataFrame, spans: DataFrame, on: list[str], line: str = "line_number") -> DataFrame:
     """For each point (id, on, line) the innermost span (span_id, on, start_line, end_line) that holds it."""
     met = points.join(spans, on).filter((F.col("start_line") <= F.col(line)) & (F.col(line) <= F.col("end_line")))

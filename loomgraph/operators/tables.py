@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise a step of a walk and cut its lineage: a table written to the shared folder that the session names, or to one of our own
-    where it names none (tests). As its size is known, joins with it are broadcast while it is small and shuffled when it is not."""
+    """Materialise a step of a walk and cut its lineage: a table written to the shared folder that the session names, or on a single machine (tests)
+    to one of our own where it names none. As its size is known, joins with it are broadcast while it is small and shuffled when it is not."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/loomgraph/{spark.sparkContext.applicationId}/walk-{uuid.uuid4().hex}"
@@ -61,10 +64,11 @@ def markdown(title: str, sections: dict[str, DataFrame], most: int = 50) -> str:
 
 def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> list[str]:
     """Breaches of limits {column: ('max' or 'min', value)} by a one-row table; a column that is missing or null is a breach."""
-    row = (metrics.first() or None) and metrics.first().asDict()
+    found = metrics.first()
+    row = found.asDict() if found else {}
     out = []
     for name, (side, value) in limits.items():
-        held = (row or {}).get(name)
+        held = row.get(name)
         if held is None or (held > value if side == "max" else held < value):
             out.append(f"{name} is {held}; {side} {value}")
     return out

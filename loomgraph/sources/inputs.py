@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import glob_regex
-from loomgraph.operators.scope import first_of
 
 RANGES = "path string, old_path string, low int, high int, is_new boolean, is_deleted boolean, is_binary boolean"
 SCHEDULES = "ruleName string, scheduleExpression string, targetType string, targetName string, state string, source string"
@@ -120,11 +120,11 @@ def parse_owners(text: str) -> list[tuple[int, str, str, list[str]]]:
 
 def owners(files: DataFrame, text: str) -> DataFrame:
     """files (path, ...) with the owners of the last rule that covers each; a rule without owners clears them."""
-    spark = files.sparkSession
-    rules = spark.createDataFrame([(n, r, o) for n, _, r, o in parse_owners(text)], "rule int, regex string, owners array<string>")
-    met = files.select("path").distinct().join(F.broadcast(rules), F.expr("path rlike regex"))
-    last = first_of(met, ["path"], F.col("rule").desc()).select("path", "rule", "owners")
-    return files.join(last, "path", "left")
+    rules = json.dumps([{"rule": n, "regex": r, "owners": o} for n, _, r, o in parse_owners(text)])
+    every = F.from_json(F.lit(rules), "array<struct<rule:int,regex:string,owners:array<string>>>")
+    met = F.filter(every, lambda x: F.rlike(F.col("path"), x["regex"]))
+    last = F.try_element_at(met, F.lit(-1))
+    return files.withColumn("__last", last).select("*", F.col("__last.rule").alias("rule"), F.col("__last.owners").alias("owners")).drop("__last")
 
 
 def merged(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:
