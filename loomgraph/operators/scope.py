@@ -45,7 +45,7 @@ def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
-def first_n(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+def first_n(rows: DataFrame, keys: list[str], order: str | Column, n: int) -> DataFrame:
     """At most n rows for each key, first by order."""
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__rn") <= n).drop("__rn")
 

@@ -15,7 +15,7 @@ from loomgraph.streaming.events import hourly
 
 #: The call graph by name alone: calls to the one function of a unique simple name.
 CALLS = """u AS (SELECT simple_name, min(id) AS id FROM functions GROUP BY 1 HAVING count(*) = 1),
-g AS (SELECT DISTINCT c.caller_function_id AS src, u.id AS dst FROM function_calls c JOIN u ON u.simple_name = regexp_replace(c.callee_name, '^.*\\.', ''))"""
+g AS MATERIALIZED (SELECT DISTINCT c.caller_function_id AS src, u.id AS dst FROM function_calls c JOIN u ON u.simple_name = regexp_replace(c.callee_name, '^.*\\.', ''))"""
 GRAPH_TABLES = "functions function_calls"
 
 

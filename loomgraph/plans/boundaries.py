@@ -150,22 +150,21 @@ def exact_calls(spark, sf):
 LIKE = r"regexp_matches(lower(f.form), concat('^', regexp_replace(regexp_replace(regexp_replace(lower(e.path), '([.^$|?*+()\[\]])', '\\\1', 'g'), '\{[^/{}]+\}', '.*', 'g'), ':[A-Za-z0-9_]+', '.*', 'g'), '$'))"
 
 
-@query(
-    "j05_trace_cascade",
-    HTTP,
-    f"""WITH {PAIRS}, b AS (SELECT id, m, route FROM cc WHERE route <> ''), f0 AS (
-      SELECT id, m, 0 AS k, route AS form FROM b UNION ALL SELECT id, m, 1, concat(route, '/') FROM b WHERE route <> '/'
-      UNION ALL SELECT id, m, 2, regexp_replace(route, '\\{{([^/{{}}]+)\\}}', ':\\1', 'g') FROM b UNION ALL SELECT id, m, 3, regexp_replace(route, ':([A-Za-z0-9_]+)', '{{\\1}}', 'g') FROM b),
-    f AS (SELECT id, m, form, dense_rank() OVER (PARTITION BY id ORDER BY min(k)) - 1 AS pos FROM f0 GROUP BY 1, 2, 3),
-    t AS (
+CASCADE = f"""{PAIRS}, xb AS (SELECT id, m, route FROM cc WHERE route <> ''), xf0 AS (
+      SELECT id, m, 0 AS k, route AS form FROM xb UNION ALL SELECT id, m, 1, concat(route, '/') FROM xb WHERE route <> '/'
+      UNION ALL SELECT id, m, 2, regexp_replace(route, '\\{{([^/{{}}]+)\\}}', ':\\1', 'g') FROM xb UNION ALL SELECT id, m, 3, regexp_replace(route, ':([A-Za-z0-9_]+)', '{{\\1}}', 'g') FROM xb),
+    xf AS (SELECT id, m, form, dense_rank() OVER (PARTITION BY id ORDER BY min(k)) - 1 AS pos FROM xf0 GROUP BY 1, 2, 3),
+    xt AS (
       SELECT f.id AS call_id, e.id AS endpoint_id, min(pos * 4 + CASE WHEN lower(f.form) = lower(e.path) AND (f.m = 'ANY' OR f.m = e.m) THEN 0 WHEN lower(f.form) = lower(e.path) AND e.m = 'REQUEST' AND f.m NOT IN ('REQUEST', 'ANY') THEN 1
         WHEN f.m = 'ANY' OR f.m = e.m THEN 2 ELSE 3 END) AS tier
-      FROM f JOIN ee e ON (f.m = 'ANY' OR f.m = e.m OR (e.m = 'REQUEST' AND f.m NOT IN ('REQUEST', 'ANY')))
+      FROM xf f JOIN ee e ON (f.m = 'ANY' OR f.m = e.m OR (e.m = 'REQUEST' AND f.m NOT IN ('REQUEST', 'ANY')))
         AND (lower(f.form) = lower(e.path) OR CASE WHEN e.path = '/' THEN f.form = '/' ELSE {LIKE} OR starts_with(lower(f.form), lower(e.path)) END)
       GROUP BY 1, 2),
-    r AS (SELECT *, min(tier) OVER (PARTITION BY call_id) AS best FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY endpoint_id) AS rn FROM r WHERE tier = best)
-    SELECT call_id, endpoint_id, CAST(tier AS INTEGER) AS tier FROM n WHERE rn <= 50""",
-)
+    xr AS (SELECT *, min(tier) OVER (PARTITION BY call_id) AS best FROM xt), xn AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY endpoint_id) AS rn FROM xr WHERE tier = best),
+    cascade AS MATERIALIZED (SELECT call_id, endpoint_id, CAST(tier AS INTEGER) AS tier FROM xn WHERE rn <= 50)"""
+
+
+@query("j05_trace_cascade", HTTP, f"WITH {CASCADE} SELECT * FROM cascade")
 def trace_cascade(spark, sf):
     return routes.trace_cascade(*http(spark, sf))
 
@@ -225,15 +224,14 @@ def match_rate(spark, sf):
 ALIAS = r"lower(regexp_replace(regexp_replace(trim({0}), '^%+', ''), '%+$', ''))"
 
 
-@query(
-    "j09_trace_consumers",
-    f"{QUEUES} resource_aliases",
-    f"""WITH n AS (SELECT DISTINCT queue_name, CASE WHEN starts_with(queue_name, 'arn:') THEN regexp_replace(queue_name, '^.*:', '') WHEN starts_with(queue_name, 'https:') THEN regexp_replace(queue_name, '^.*/', '') ELSE replace(queue_name, '%', '') END AS base FROM sqs_producers),
+CONSUMERS = f"""WITH n AS (SELECT DISTINCT queue_name, CASE WHEN starts_with(queue_name, 'arn:') THEN regexp_replace(queue_name, '^.*:', '') WHEN starts_with(queue_name, 'https:') THEN regexp_replace(queue_name, '^.*/', '') ELSE replace(queue_name, '%', '') END AS base FROM sqs_producers),
     v0 AS (SELECT queue_name, lower(queue_name) AS v FROM n UNION SELECT queue_name, lower(base) FROM n UNION SELECT queue_name, lower(concat('%', base, '%')) FROM n WHERE regexp_matches(base, '^[A-Z0-9_]*_[A-Z0-9_]*$') UNION SELECT queue_name, regexp_replace(lower(base), '\\.fifo$', '') FROM n),
     a AS (SELECT lower(alias_key) AS k, lower(alias_value) AS v FROM resource_aliases), d AS (SELECT DISTINCT v0.queue_name, a.k, a.v FROM v0 JOIN a ON a.k = {ALIAS.format('v0.v')} OR a.v = {ALIAS.format('v0.v')}),
     v AS (SELECT * FROM v0 UNION SELECT queue_name, k FROM d UNION SELECT queue_name, v FROM d UNION SELECT d.queue_name, a.k FROM d JOIN a ON a.v = d.v)
-    SELECT DISTINCT v.queue_name, c.id AS consumer_id, 'queue' AS kind FROM v JOIN sqs_consumers c ON lower(c.queue_name) = v.v""",
-)
+    SELECT DISTINCT v.queue_name, c.id AS consumer_id, 'queue' AS kind FROM v JOIN sqs_consumers c ON lower(c.queue_name) = v.v"""
+
+
+@query("j09_trace_consumers", f"{QUEUES} resource_aliases", CONSUMERS)
 def trace_consumers(spark, sf):
     producers, consumers, aliases = tables(spark, sf, "sqs_producers", "sqs_consumers", "resource_aliases")
     every = consumers.select(F.col("id").alias("consumer_id"), "queue_name", F.lit("queue").alias("kind"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import columns as C
 from loomgraph.operators import flow, graph, resolve, scope, verify
 from loomgraph.plans.analysis import CALLS, call_graph, chain
-from loomgraph.plans.boundaries import MEANING, METHOD
+from loomgraph.plans.boundaries import CASCADE, CONSUMERS, MEANING, METHOD
 from loomgraph.plans.registry import IDENT, query
 from loomgraph.plans.resolution import IDENT_TABLES, RESOLVED, ident, resolved
 from loomgraph.sources import code, inputs
@@ -15,43 +15,81 @@ from loomgraph.sources.estate import tables
 
 FLOW_TABLES = "functions function_calls http_client_calls endpoints sqs_producers sqs_consumers resource_aliases data_accesses"
 
-#: Boundary edges without HTTP (whose cascade has its own oracle), on rare queues.
-FLOW = f"""{CALLS}, dw AS (SELECT lower(entity_name) AS what, repo_id, min(caller_function_id) AS src FROM data_accesses WHERE access = 'write' GROUP BY 1, 2), dr AS (SELECT lower(entity_name) AS what, repo_id, min(caller_function_id) AS dst FROM data_accesses WHERE access = 'read' GROUP BY 1, 2),
-fe AS (SELECT src, dst, 'call' AS via, '' AS what FROM g WHERE src <> dst UNION SELECT w.src, r.dst, 'data', w.what FROM dw w JOIN dr r ON r.what = w.what AND r.repo_id <> w.repo_id WHERE w.src <> r.dst)"""
+#: Boundary edges of every kind: calls, HTTP calls by the cascade, queues by their variants, writers to the first ten readers elsewhere.
+FLOW = f"""{CALLS}, {CASCADE}, qc AS ({CONSUMERS}),
+wr AS (SELECT DISTINCT lower(entity_name) AS what, repo_id, caller_function_id AS src FROM data_accesses WHERE access = 'write'),
+rd AS (SELECT DISTINCT lower(entity_name) AS what, repo_id AS r, caller_function_id AS dst FROM data_accesses WHERE access = 'read'),
+fd AS (SELECT what, repo_id, dst FROM (SELECT w.what, w.repo_id, rd.dst, row_number() OVER (PARTITION BY w.what, w.repo_id ORDER BY rd.dst, rd.r) AS rn FROM (SELECT DISTINCT what, repo_id FROM wr) w JOIN rd ON rd.what = w.what AND rd.r <> w.repo_id) WHERE rn <= 10),
+fe AS MATERIALIZED (SELECT src, dst, 'call' AS via, '' AS what FROM g WHERE src <> dst
+  UNION SELECT c.caller_function_id, e.handler_function_id, 'http', e.path FROM cascade x JOIN http_client_calls c ON c.id = x.call_id JOIN endpoints e ON e.id = x.endpoint_id WHERE c.caller_function_id <> e.handler_function_id
+  UNION SELECT p.caller_function_id, k.handler_function_id, 'sqs', p.queue_name FROM sqs_producers p JOIN qc ON qc.queue_name = p.queue_name JOIN sqs_consumers k ON k.id = qc.consumer_id WHERE p.caller_function_id <> k.handler_function_id
+  UNION SELECT wr.src, fd.dst, 'data', wr.what FROM wr JOIN fd ON fd.what = wr.what AND fd.repo_id = wr.repo_id WHERE wr.src <> fd.dst)"""
 
 
 def flow_edges(spark, sf):
+    """Every boundary edge of a frontier, or all without one."""
     http, endpoints, producers, consumers, aliases, accesses = tables(spark, sf, "http_client_calls", "endpoints", "sqs_producers", "sqs_consumers", "resource_aliases", "data_accesses")
-    return flow.boundary_edges(call_graph(spark, sf), http.limit(0), endpoints, producers.limit(0), consumers, aliases, accesses)
+    calls = call_graph(spark, sf)
+    return lambda frontier=None: flow.boundary_edges(calls, http, endpoints, producers, consumers, aliases, accesses, frontier)
 
 
-@query("q09_boundary_edges", FLOW_TABLES, f"WITH {FLOW} SELECT * FROM fe")
+@query("q09_boundary_edges", FLOW_TABLES, f"WITH {FLOW} SELECT src, via, what, count(*) AS n, sum(dst) AS targets FROM fe GROUP BY 1, 2, 3")
 def boundary_edges(spark, sf):
-    return flow_edges(spark, sf)
+    return flow_edges(spark, sf)().groupBy("src", "via", "what").agg(F.count("*").alias("n"), F.sum("dst").alias("targets"))
 
 
-@query("q09_flow_hops", FLOW_TABLES, f"""WITH RECURSIVE {FLOW}, r AS (SELECT id AS node, 0 AS depth FROM functions WHERE id IN (7, 11, 107) UNION SELECT fe.dst, depth + 1 FROM r JOIN fe ON fe.src = r.node WHERE depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1)
-    SELECT m.depth, fe.src, fe.dst, fe.via, fe.what FROM m JOIN fe ON fe.src = m.node WHERE m.depth < 2 ORDER BY m.depth, CASE fe.via WHEN 'call' THEN 1 ELSE 4 END, fe.src, fe.dst, fe.what LIMIT 60""")
+@query("q09_flow_hops", FLOW_TABLES, f"""WITH RECURSIVE {FLOW}, r AS (SELECT id AS node, 0 AS depth FROM functions WHERE id IN (7, 11, 107) UNION SELECT fe.dst, depth + 1 FROM r JOIN fe ON fe.src = r.node WHERE depth < 1), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1)
+    SELECT m.depth, fe.src, fe.dst, fe.via, fe.what FROM m JOIN fe ON fe.src = m.node ORDER BY m.depth, CASE fe.via WHEN 'call' THEN 1 WHEN 'http' THEN 2 WHEN 'sqs' THEN 3 ELSE 4 END, fe.src, fe.dst, fe.what LIMIT 20000""")
 def flow_hops(spark, sf):
     roots = spark.createDataFrame([(7,), (11,), (107,)], "node long")
-    return flow.hops(flow_edges(spark, sf), roots, 2, 60)
+    return flow.hops(flow_edges(spark, sf), roots, 2, 20_000)
 
 
-@query("q10_narratives", "", "SELECT conv_id * 100 AS root, CAST(max(turn) AS BIGINT) AS steps, max(turn) * 20 AS score FROM conversations GROUP BY conv_id HAVING max(turn) BETWEEN 1 AND 7")
+@query("r08_boundary_trace", FLOW_TABLES, f"""WITH RECURSIVE {FLOW}, r AS (SELECT id AS node, 0 AS depth FROM functions WHERE id IN (7, 11, 107) UNION SELECT fe.dst, depth + 1 FROM r JOIN fe ON fe.src = r.node WHERE depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1),
+    p AS (SELECT fe.dst AS node, min(fe.src) AS parent FROM fe JOIN m a ON a.node = fe.src JOIN m b ON b.node = fe.dst AND b.depth = a.depth + 1 GROUP BY 1) SELECT m.node, m.depth, p.parent FROM m LEFT JOIN p ON p.node = m.node""")
+def boundary_trace(spark, sf):
+    """Downstream over calls, HTTP, queues and data, matching only what leaves each level."""
+    edges = flow_edges(spark, sf)
+    roots = spark.createDataFrame([(7,), (11,), (107,)], "node long")
+    return graph.bfs(lambda near: edges(near).select("src", "dst", F.col("via").alias("edge_type")), roots, 2).select("node", "depth", "parent")
+
+
+@query("r13_boundary_frontier", FLOW_TABLES, f"""WITH RECURSIVE {FLOW}, r AS (SELECT 5 AS node, 0 AS depth UNION SELECT fe.src, depth + 1 FROM r JOIN fe ON fe.dst = r.node WHERE fe.via <> 'data' AND depth < 1) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
+def boundary_frontier(spark, sf):
+    """Predecessors over calls, HTTP clients and queue producers."""
+    edges = flow_edges(spark, sf)().filter("via <> 'data'").select("src", "dst", F.col("via").alias("edge_type"))
+    kept, _ = graph.frontier_bounded(edges, spark.createDataFrame([(5,)], "node long"), 1, 100_000)
+    return kept.select("node", "depth")
+
+
+@query("q10_narratives", "", "SELECT conv_id * 100 AS root, CAST(max(turn) AS BIGINT) AS steps, max(turn) * 20 + least(max(turn) // 2, 3) * 120 AS score FROM conversations GROUP BY conv_id HAVING max(turn) BETWEEN 1 AND 7")
 def narratives(spark, sf):
-    edges = chain(spark, sf).withColumn("via", F.lit("call"))
+    """Chains whose every second hop crosses services over HTTP, up to three times."""
+    edges = chain(spark, sf).withColumn("via", F.when(F.col("src") % 2 == 1, "http").otherwise("call"))
     roots = edges.filter("src % 100 = 0").select(F.col("src").alias("node"))
     found = flow.narratives(edges, roots)
     return found.select("root", F.size("vias").cast("long").alias("steps"), "score")
 
 
-@query("q08_trace", FLOW_TABLES, f"WITH RECURSIVE {CALLS}, d AS (SELECT id AS node, 0 AS depth FROM functions WHERE id = 7 UNION SELECT g.dst, depth + 1 FROM d JOIN g ON g.src = d.node WHERE depth < 3), uw AS (SELECT id AS node, 0 AS depth FROM functions WHERE id = 7 UNION SELECT g.src, depth + 1 FROM uw JOIN g ON g.dst = uw.node WHERE depth < 2) SELECT 'down' AS side, node, min(depth) AS depth FROM d GROUP BY node UNION ALL SELECT 'up', node, min(depth) FROM uw GROUP BY node")
+@query("q08_trace", f"{IDENT_TABLES} {FLOW_TABLES}", f"""WITH RECURSIVE {IDENT}, {FLOW}, o AS (SELECT id FROM functions WHERE name ILIKE '%widget%'), k AS (SELECT * FROM fe WHERE dst NOT IN (SELECT id FROM o)), kg AS (SELECT * FROM g WHERE src NOT IN (SELECT id FROM o)),
+    s AS (SELECT id AS node FROM functions WHERE lower(name) = 'red_ring' OR ends_with(lower(name), '.red_ring')),
+    d AS (SELECT node, 0 AS depth FROM s UNION SELECT k.dst, depth + 1 FROM d JOIN k ON k.src = d.node WHERE depth < 2), uw AS (SELECT node, 0 AS depth FROM s UNION SELECT kg.src, depth + 1 FROM uw JOIN kg ON kg.dst = uw.node WHERE depth < 2),
+    m AS (SELECT 'down' AS side, node, min(depth) AS depth FROM d GROUP BY node UNION ALL SELECT 'up', node, min(depth) FROM uw GROUP BY node) SELECT m.side, m.node, m.depth, i.name, i.repo_name AS repo FROM m JOIN ident i ON i.id = m.node""")
 def trace(spark, sf):
-    edges = call_graph(spark, sf)
-    root = spark.createDataFrame([(7,)], "node long")
-    down = graph.bfs(edges, root, 3).select(F.lit("down").alias("side"), "node", "depth")
-    up = graph.bfs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), root, 2).select(F.lit("up").alias("side"), "node", "depth")
-    return down.unionByName(up)
+    """From a name: start points, both walks without what is excluded, identities."""
+    functions, *rest = tables(spark, sf, "functions", "endpoints", "sqs_consumers", "eventbridge_schedules", "graphql_operations")
+    roots = flow.start_points("Red_Ring", functions, *rest).select("node")
+    found = flow.trace(roots, flow_edges(spark, sf), call_graph(spark, sf), ident(spark, sf), 2, 2, C.contains_text(F.col("name"), "widget"))
+    return found.select("side", "node", "depth", "name", "repo")
+
+
+@query("r09_upstream_by_name", f"{IDENT_TABLES} function_calls", f"""WITH {RESOLVED}, o AS (SELECT DISTINCT r.caller_function_id AS caller, regexp_replace(r.callee_name, '^.*\\.', '') AS name, i.file_id FROM resolved r JOIN ident i ON i.id = r.caller_function_id WHERE r.callee_function_id IS NULL),
+    d AS (SELECT simple_name AS name, count(*) AS n FROM functions GROUP BY 1), k AS (SELECT o.caller, o.name FROM o JOIN d ON d.name = o.name WHERE d.n = 1 OR EXISTS (SELECT 1 FROM functions f WHERE f.simple_name = o.name AND f.file_id = o.file_id)),
+    r AS (SELECT DISTINCT name, caller FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY caller) AS rn FROM r) SELECT name, caller, 'low' AS confidence FROM n WHERE rn <= 20""")
+def upstream_by_name(spark, sf):
+    (functions,) = tables(spark, sf, "functions")
+    pending = resolved(spark, sf).filter("callee_function_id IS NULL").select("caller_function_id", "callee_name")
+    return flow.callers_by_name(functions.select(F.col("simple_name").alias("name")), pending, functions)
 
 
 STARTS = "functions endpoints sqs_consumers eventbridge_schedules graphql_operations"

@@ -29,7 +29,7 @@ PROJECTION: dict[str, str] = {
         CASE WHEN page_id % 10 = 6 THEN concat('/', split_part(url, '/', 4), '/tenant-', replace(split_part(url, '/', 3), '.', '-')) WHEN page_id % 4 = 0 THEN concat('/', split_part(split_part(url, '/', 4), '?', 1), '/:id') ELSE concat('/', split_part(url, '/', 4), '/', split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1)) END AS path,
         page_id % (SELECT count(*) FROM part) AS handler_function_id FROM pages WHERE page_id % 2 = 0""",
     "http_client_calls": """SELECT page_id AS id, page_id % 25 AS repo_id, CASE page_id % 4 WHEN 1 THEN 'GET' ELSE 'ANY' END AS http_method,
-        CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 5 = 3 THEN concat('/v2/', split_part(url, '/', 4), '/tenant-', replace(split_part(url, '/', 3), '.', '-'), '/history') ELSE concat('/', split_part(url, '/', 4), '/', split_part(url, '/', 5)) END AS url_pattern,
+        CASE WHEN page_id % 10 = 9 THEN concat('/', split_part(url, '/', 4), '/tenant-', replace(split_part(url, '/', 3), '.', '-')) WHEN page_id % 3 = 0 THEN url WHEN page_id % 5 = 3 THEN concat('/v2/', split_part(url, '/', 4), '/tenant-', replace(split_part(url, '/', 3), '.', '-'), '/history') ELSE concat('/', split_part(url, '/', 4), '/', split_part(url, '/', 5)) END AS url_pattern,
         CASE WHEN page_id % 7 = 0 THEN 'navigation' ELSE 'fetch' END AS client_type, page_id % (SELECT count(*) FROM part) AS caller_function_id, page_id % 100 AS line_number FROM pages WHERE page_id % 2 = 1""",
     "sqs_producers": """SELECT event_id AS id, user_id % 25 AS repo_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN concat('arn:aws:sqs:us-east-1:1:', event_type) WHEN 2 THEN concat('https://sqs.example/1/', event_type)
         WHEN 3 THEN concat('%', upper(event_type), '_QUEUE%') ELSE concat(event_type, '.fifo') END AS queue_name, event_id % (SELECT count(*) FROM part) AS caller_function_id, event_id % 100 AS line_number FROM events WHERE event_id % 2 = 0""",
