@@ -35,10 +35,15 @@ def overview(repositories: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
     return out.fillna(0, list(kinds))
 
 
-def detail(repo: int, limit: int, calls: DataFrame, endpoints: DataFrame, producers: DataFrame, consumers: DataFrame, aliases: DataFrame, accesses: DataFrame) -> dict[str, DataFrame]:
-    """The boundary lists of one repository, each limited."""
+def detail(
+    repo: int, limit: int, calls: DataFrame, endpoints: DataFrame, producers: DataFrame, consumers: DataFrame, aliases: DataFrame, accesses: DataFrame,
+    operations: DataFrame, usages: DataFrame, resolvers: DataFrame, permissions: DataFrame, entrypoints: DataFrame, triggers: DataFrame,
+) -> dict[str, DataFrame]:
+    """The sixteen boundary lists of one repository, each limited. A GraphQL usage of a name meets the operations of that name."""
     own = lambda rows: rows.filter(F.col("repo_id") == repo)
     met = queues.counterparties(producers, consumers, aliases)
+    offered = operations.select(F.col("repo_id").alias("o_repo"), F.col("name").alias("operation_name")).distinct()
+    used = usages.select(F.col("repo_id").alias("u_repo"), "operation_name").distinct().join(offered, "operation_name").filter("u_repo <> o_repo")
     return {
         "endpoints": own(endpoints).select("method", "path").distinct().orderBy("path", "method").limit(limit),
         "http_calls": http_used(own(calls)).orderBy(F.col("n").desc(), "url_pattern", "http_method").limit(limit),
@@ -48,4 +53,12 @@ def detail(repo: int, limit: int, calls: DataFrame, endpoints: DataFrame, produc
         "producers_met": met.filter(F.col("consumer_repo") == repo).select("producer_repo").distinct().orderBy("producer_repo").limit(limit),
         "consumers_met": met.filter(F.col("producer_repo") == repo).select("consumer_repo").distinct().orderBy("consumer_repo").limit(limit),
         "entities": own(accesses).groupBy(F.lower("entity_name").alias("entity"), F.lower("access").alias("access")).agg(F.count("*").alias("n")).orderBy("entity", "access").limit(limit),
+        "graphql_operations": own(operations).select("name").distinct().orderBy("name").limit(limit),
+        "graphql_usages": own(usages).groupBy("operation_name").agg(F.count("*").alias("n")).orderBy("operation_name").limit(limit),
+        "graphql_targets": used.filter(F.col("u_repo") == repo).select("operation_name", "o_repo").distinct().orderBy("operation_name", "o_repo").limit(limit),
+        "graphql_callers": used.filter(F.col("o_repo") == repo).select("operation_name", "u_repo").distinct().orderBy("operation_name", "u_repo").limit(limit),
+        "graphql_resolvers": own(resolvers).select("operation_name", "handler").distinct().orderBy("operation_name", "handler").limit(limit),
+        "graphql_permissions": own(permissions).select("operation_name", "role").distinct().orderBy("operation_name", "role").limit(limit),
+        "graphql_entrypoints": own(entrypoints).select("path").distinct().orderBy("path").limit(limit),
+        "timer_triggers": own(triggers).filter("kind = 'timer'").select("name", "value").distinct().orderBy("name", "value").limit(limit),
     }

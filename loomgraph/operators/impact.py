@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import impact_score
+from loomgraph.operators.graph import bfs
+from loomgraph.operators.tables import checkpointed
 
 
 def summary(reached: DataFrame, key: str) -> DataFrame:
@@ -23,6 +25,29 @@ def merge(*entrypoints: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(impact_score(F.col("min_depth"), F.col("fanout")), 6))
 
 
+def targets(functions: DataFrame, *named: DataFrame) -> DataFrame:
+    """Roots (node) of a change: functions named by id, or met by files, ranges or a diff; each of named has ids (id)."""
+    out = None
+    for one in named:
+        held = one.select("id")
+        out = held if out is None else out.unionByName(held)
+    return functions.join(out.distinct(), "id", "left_semi").select(F.col("id").alias("node"))
+
+
+def report(roots: DataFrame, edges: DataFrame, endpoints: DataFrame, functions: DataFrame, depth: int) -> DataFrame:
+    """What a change of roots (node) can reach upstream over edges (src, dst): (kind, key, min_depth, fanout, score) of entrypoints, files and
+    repositories."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = checkpointed(bfs(back, roots, depth).select("node", "depth"))
+    handled = endpoints.select(F.col("handler_function_id").alias("node"), F.concat_ws(" ", "method", "path").alias("key"))
+    named = functions.select(F.col("id").alias("node"), "file_path", "repo_name")
+    rows = found.join(handled, "node").select(F.lit("entrypoint").alias("kind"), "key", "depth")
+    for kind, column in (("file", "file_path"), ("repository", "repo_name")):
+        rows = rows.unionByName(found.join(named, "node").select(F.lit(kind).alias("kind"), F.col(column).alias("key"), "depth"))
+    out = rows.groupBy("kind", "key").agg(F.min("depth").alias("min_depth"), F.count("*").alias("fanout"))
+    return out.withColumn("score", F.round(impact_score(F.col("min_depth"), F.col("fanout")), 6))
+
+
 def areas(files: DataFrame, n: int = 3) -> DataFrame:
     """The folders (first two path parts) with most changes (path, changes)."""
     area = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")

@@ -65,6 +65,38 @@ def keyword_score(query: str, name: Column, repo: Column, path: Column, source:
     return (points + F.least(F.coalesce(fan_in, F.lit(0)), F.lit(25))).cast("long")
 
 
+def keyword_search(query: str, buckets: dict[str, DataFrame], facts: DataFrame, limit: int = 0, offset: int = 0, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Functions that any bucket finds for any term of a query, best first: (id, name, hits, bucket, score, ...).
+
+    buckets: name -> (id, text), in order; each gives the first rows functions by id whose text holds a term. A function that several buckets or terms
+    find stands once, with its first bucket and the number of terms. Noise is left out. Most terms come first, then score, name, id.
+    facts: identified functions with name, repo_name, file_path, source, richness, fan_in, callee_hit, handler.
+    """
+    found = None
+    for term in C.search_terms(query):
+        for k, (name, texts) in enumerate(buckets.items()):
+            held = texts.filter(C.contains_text(F.col("text"), term)).select("id").distinct().orderBy("id").limit(rows)
+            held = held.select("id", F.lit(term).alias("term"), F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")).alias("bucket"))
+            found = held if found is None else found.unionByName(held)
+    if found is None:
+        found = facts.limit(0).select("id", F.lit("").alias("term"), F.struct(F.lit(0).alias("k"), F.lit("").alias("name")).alias("bucket"))
+    once = found.groupBy("id").agg(F.countDistinct("term").alias("hits"), F.min("bucket")["name"].alias("bucket"))
+    named = facts.join(once, "id").filter(~C.noise_function(F.col("name"), F.col("repo_name"), F.col("file_path"), F.lit(None).cast("string")))
+    score = keyword_score(" ".join(C.search_terms(query)), F.col("name"), F.col("repo_name"), F.col("file_path"), F.col("source"), F.col("richness"), F.col("fan_in"), F.col("callee_hit"), F.col("handler"))
+    ordered = named.withColumn("score", score).orderBy(F.col("hits").desc(), F.col("score").desc(), "name", "id").offset(offset)
+    return ordered.limit(limit) if limit else ordered
+
+
+def symbols(kinds: dict[str, DataFrame], pattern: str, limit: int = 0) -> DataFrame:
+    """Symbols (kind, name, n) whose name holds pattern, one branch for each kind (name), the first limit of each by name."""
+    out = None
+    for kind, rows in kinds.items():
+        one = rows.filter(C.contains_text(F.col("name"), pattern)).groupBy("name").agg(F.count("*").alias("n")).orderBy("name")
+        one = (one.limit(limit) if limit else one).select(F.lit(kind).alias("kind"), "name", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def trigram_search(rows: DataFrame, text: str, threshold: float = THRESHOLD, limit: int = 0) -> DataFrame:
     """Rows (kind, id, value) similar to text, best first. Only rows that share a trigram are scored, as any similar row must."""
     wanted = C.trigrams(F.lit(text))

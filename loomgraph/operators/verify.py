@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import routes
@@ -35,23 +37,42 @@ def parameters(line: str) -> tuple[str, dict[str, str]] | None:
     return found[1], out
 
 
-def breaking_changes(spark: SparkSession, hunks: list[tuple[str, str, str]]) -> DataFrame:
-    """Rows (file, function, change, severity, detail) from a diff's lines (file, op, text): declarations removed or with other parameters."""
-    old: dict[tuple[str, str], dict[str, str]] = {}
-    new: dict[tuple[str, str], dict[str, str]] = {}
-    for file, op, text in hunks:
-        held = parameters(text)
-        if held and op in "-+":
-            (old if op == "-" else new)[file, held[0]] = held[1]
-    rows = []
-    for (file, name), before in sorted(old.items()):
-        if (file, name) not in new:
-            rows.append((file, name, "endpoint_removed", "critical", ""))
-            continue
-        after = new[file, name]
-        rows += [(file, name, "parameter_removed", "high", p) for p in before if p not in after]
-        rows += [(file, name, "parameter_type_changed", "high", p) for p in before if p in after and before[p] != after[p]]
-    return spark.createDataFrame(rows, "file string, function string, change string, severity string, detail string")
+SIGNATURES = "file string, op string, function string, position int, parameter string, type string"
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Declarations on a diff's changed lines (file, op, text): a row for each parameter, and one without for each declaration."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in SIGNATURES.split(", ")]
+        for batch in batches:
+            rows = []
+            for file, op, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = parameters(text or "") if op in ("+", "-") else None
+                if held:
+                    rows.append((file, op, held[0], -1, None, None))
+                    rows += [(file, op, held[0], k, name, kind) for k, (name, kind) in enumerate(held[1].items())]
+            if rows:
+                types = [pa.string()] * 3 + [pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return lines.select("file", "op", "text").mapInArrow(run, SIGNATURES)
+
+
+def breaking_changes(lines: DataFrame) -> DataFrame:
+    """Rows (file, function, change, severity, detail) from a diff's changed lines (file, op, text): declarations removed, parameters removed or of
+    another type. A declaration that stands on both sides is changed, not removed."""
+    found = signatures(lines)
+    keys = ["file", "function"]
+    new = found.filter("op = '+'")
+    old = found.filter("op = '-'")
+    kept = new.select(*keys).distinct()
+    gone = old.select(*keys).distinct().join(kept, keys, "left_anti").select(*keys, F.lit("endpoint_removed").alias("change"), F.lit("critical").alias("severity"), F.lit("").alias("detail"))
+    asked = old.filter("position >= 0").select(*keys, "parameter", F.col("type").alias("before")).distinct().join(kept, keys, "left_semi")
+    after = new.filter("position >= 0").groupBy(*keys, "parameter").agg(F.min("type").alias("after"))
+    met = asked.join(after, [*keys, "parameter"], "left")
+    change = F.when(F.col("after").isNull(), "parameter_removed").when(F.col("after") != F.col("before"), "parameter_type_changed")
+    return gone.unionByName(met.withColumn("change", change).filter("change IS NOT NULL").select(*keys, "change", F.lit("high").alias("severity"), F.col("parameter").alias("detail")))
 
 
 def changed_functions(ranges: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +110,11 @@ def verdict(facts: DataFrame) -> DataFrame:
     return facts.withColumn("verdict", out)
 
 
-def overall(verdicts: DataFrame) -> DataFrame:
-    """The worst of all verdicts; of none, pass."""
+def overall(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """The worst of all verdicts, for each key if any are named; of none, pass."""
     order = F.array(*(F.lit(v) for v in VERDICTS))
-    return verdicts.agg(F.coalesce(F.max(F.array_position(order, F.col("verdict"))), F.lit(1)).cast("int").alias("worst")).select(F.element_at(order, F.col("worst")).alias("verdict"))
+    worst = verdicts.groupBy(*keys).agg(F.coalesce(F.max(F.array_position(order, F.col("verdict"))), F.lit(1)).cast("int").alias("worst"))
+    return worst.select(*keys, F.element_at(order, F.col("worst")).alias("verdict"))
 
 
 def obligations(required: DataFrame, observed: DataFrame) -> DataFrame:

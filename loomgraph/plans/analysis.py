@@ -9,7 +9,7 @@ from loomgraph.functions import columns as C
 from loomgraph.operators import graph, impact, resolve, scope, search, snapshots, types, verify
 from loomgraph.operators.tables import delete_where, upsert
 from loomgraph.plans.registry import IDENT, query
-from loomgraph.plans.resolution import EDGE_TABLES, IDENT_TABLES, ident
+from loomgraph.plans.resolution import CROSS, IDENT_TABLES, fan_in_by_name, ident
 from loomgraph.sources.estate import tables
 from loomgraph.streaming.events import hourly
 
@@ -79,12 +79,12 @@ def endpoints_of_readers(spark, sf):
     return endpoints.join(found, "handler_function_id").select("id", "path", "depth")
 
 
-@query("r03_type_closure", "type_parents", "WITH RECURSIVE e AS (SELECT regexp_replace(regexp_replace(parent, '<[^<>]*>', ''), '^.*\\.', '') AS src, child AS dst FROM type_parents), r AS (SELECT 'T1' AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r WHERE node <> 'T1' ORDER BY 1 LIMIT 100")
+@query("r03_type_closure", "type_parents", "WITH RECURSIVE e AS (SELECT regexp_replace(regexp_replace(parent, '<[^<>]*>', ''), '^.*\\.', '') AS src, child AS dst FROM type_parents), r AS (SELECT 'T1' AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r WHERE node <> 'T1'")
 def type_closure(spark, sf):
     return types.implementations(*tables(spark, sf, "type_parents"), "T1").select("node")
 
 
-@query("r05_type_ancestors", "type_parents", "WITH RECURSIVE e AS (SELECT child AS src, regexp_replace(regexp_replace(parent, '<[^<>]*>', ''), '^.*\\.', '') AS dst FROM type_parents), r AS (SELECT 'T77' AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("r05_type_ancestors", "type_parents", "WITH RECURSIVE e AS (SELECT child AS src, regexp_replace(regexp_replace(parent, '<[^<>]*>', ''), '^.*\\.', '') AS dst FROM type_parents), r AS (SELECT 'T77' AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def type_ancestors(spark, sf):
     return types.ancestors(*tables(spark, sf, "type_parents"), spark.createDataFrame([("T77",)], "node string"))
 
@@ -127,15 +127,30 @@ def interface_calls(spark, sf):
     return types.interface_calls(calls, parents, functions)
 
 
-@query("j17_inherited_methods", "type_parents", """WITH RECURSIVE p AS (SELECT child, regexp_replace(regexp_replace(parent, '<[^<>]*>', ''), '^.*\\.', '') AS t FROM type_parents),
-    up AS (SELECT id, child AS type, 0 AS distance FROM type_parents UNION SELECT up.id, p.t, distance + 1 FROM up JOIN p ON p.child = up.type WHERE distance < 8),
-    m AS (SELECT up.id, t.id AS target, distance FROM up JOIN type_parents t ON t.child = up.type AND t.id % 5 = 0), b AS (SELECT *, min(distance) OVER (PARTITION BY id) AS near FROM m)
-    SELECT id, min(target) AS target, near AS distance FROM b WHERE distance = near GROUP BY id, near HAVING count(*) = 1""")
+TYPES = "types type_bases type_imports"
+BASES = """q AS (SELECT b.type_id, regexp_replace(b.base, '<.*>', '') AS written, t.repo_id, t.file_id, t.package FROM type_bases b JOIN types t ON t.id = b.type_id),
+    tn AS (SELECT *, concat(package, '.', name) AS full_name, regexp_replace(name, '^.*\\.', '') AS simple FROM types),
+    rk AS (SELECT q.type_id, q.written, c.id AS base_id, CASE WHEN c.file_id = q.file_id THEN 1 WHEN EXISTS (SELECT 1 FROM type_imports i WHERE i.file_id = q.file_id AND NOT i.wildcard AND i.path = c.full_name) THEN 2 WHEN c.package = q.package THEN 3
+      WHEN strpos(q.written, '.') > 0 AND q.written = c.full_name THEN 4 WHEN EXISTS (SELECT 1 FROM type_imports i WHERE i.file_id = q.file_id AND i.wildcard AND i.path = c.package) THEN 5 WHEN c.package = 'java.lang' THEN 6 END AS rank
+      FROM q JOIN tn c ON c.repo_id = q.repo_id AND c.simple = regexp_replace(q.written, '^.*\\.', '') AND c.id <> q.type_id),
+    bs AS (SELECT type_id, min(base_id) AS base_id, min(rank) AS rank FROM (SELECT *, dense_rank() OVER (PARTITION BY type_id, written ORDER BY rank) AS d FROM rk WHERE rank IS NOT NULL) WHERE d = 1 GROUP BY type_id, written HAVING count(DISTINCT base_id) = 1)"""
+
+
+@query("j17_resolved_bases", TYPES, f"WITH {BASES} SELECT * FROM bs")
+def resolved_bases(spark, sf):
+    return types.resolve_bases(*tables(spark, sf, *TYPES.split()))
+
+
+@query("j17_inherited_methods", TYPES, f"""WITH RECURSIVE {BASES}, st AS (SELECT type_id, base_id AS next FROM bs UNION SELECT i.id, o.id FROM types i JOIN types o ON o.file_id = i.file_id AND strpos(i.name, '.') > 0 AND o.name = regexp_replace(i.name, '\\.[^.]+$', '')),
+    up AS (SELECT id AS root, id AS spot, 0 AS distance FROM types UNION SELECT up.root, st.next, distance + 1 FROM up JOIN st ON st.type_id = up.spot WHERE distance < 60), near AS (SELECT root, spot, min(distance) AS distance FROM up GROUP BY 1, 2),
+    m AS (SELECT n.root, t.id AS target, n.distance, min(n.distance) OVER (PARTITION BY n.root) AS best FROM near n JOIN types t ON t.id = n.spot AND t.package IN ('p1', 'p3'))
+    SELECT root AS id, min(target) AS target, best AS distance FROM m WHERE distance = best GROUP BY root, best HAVING count(*) = 1""")
 def inherited(spark, sf):
-    (parents,) = tables(spark, sf, "type_parents")
-    calls = parents.select("id", F.col("child").alias("type"), F.lit("run").alias("method"))
-    methods = parents.filter("id % 5 = 0").select("id", F.col("child").alias("class"), F.lit("run").alias("method"))
-    return types.inherited(calls, parents, methods)
+    """A call in every type of a method that the types of two packages declare."""
+    own, bases, imports = tables(spark, sf, *TYPES.split())
+    calls = own.select("id", F.col("id").alias("type_id"), F.lit("run").alias("method"))
+    methods = own.filter("package IN ('p1', 'p3')").select("id", F.col("id").alias("type_id"), F.lit("run").alias("method"))
+    return types.inherited(calls, own, bases, imports, methods)
 
 
 @query("r06_affected_snapshots", "repo_snapshots", "WITH RECURSIVE r AS (SELECT id FROM repo_snapshots WHERE id % 11 = 1 AND id < 400 UNION SELECT s.id FROM r JOIN repo_snapshots s ON s.depends_on = r.id) SELECT id AS snapshot FROM r")
@@ -290,22 +305,85 @@ def identifier_tokens(spark, sf):
     return functions.select("id", F.array_join(C.identifier_tokens(F.concat("name", F.lit("HttpClient2Go"))), " ").alias("tokens"))
 
 
-@query("q02_keyword_score", RICH_TABLES, f"""WITH {IDENT}, {CALLS}, {RICH} SELECT id, CASE WHEN strpos(lower(name), 'red bolt') > 0 THEN 60 ELSE 0 END + 30 * (CAST(strpos(lower(name), 'red') > 0 AS INTEGER) + CAST(strpos(lower(name), 'bolt') > 0 AS INTEGER))
-    + CASE WHEN strpos(lower(name), 'red') > 0 AND strpos(lower(name), 'bolt') > 0 THEN 50 ELSE 0 END
-    - CASE WHEN starts_with(lower(simple_name), 'red') AND lower(simple_name) <> 'red' OR starts_with(lower(simple_name), 'bolt') AND lower(simple_name) <> 'bolt' THEN 30 ELSE 0 END
-    + CASE WHEN strpos(lower(name), '.red') > 0 OR strpos(lower(name), '.bolt') > 0 THEN 15 ELSE 0 END + CAST(floor(least(richness, 200) / 8.0) AS BIGINT) AS score FROM rich""")
+def score_sql(terms: list[str]) -> str:
+    """The discovery score over columns name, repo_name, file_path, source, richness, fan_in, callee_hit, handler, with several terms."""
+    has = lambda c, t: f"contains({c}, '{t}')"
+    low, repo, source, tail = "lower(name)", "lower(repo_name)", "lower(coalesce(source, ''))", "regexp_replace(lower(name), '^.*\\.', '')"
+    total = lambda flags: "(" + " + ".join(f"CAST({f} AS INTEGER)" for f in flags) + ")"
+    n = total(has(low, t) for t in terms)
+    r = total(f"(NOT {has(low, t)} AND {has(repo, t)})" for t in terms)
+    s = total(f"(NOT {has(low, t)} AND NOT {has(repo, t)} AND {has(source, t)})" for t in terms)
+    exact = f"{tail} IN ({', '.join(repr(t) for t in terms)})"
+    prefix = "(" + " OR ".join(f"({tail} <> '{t}' AND starts_with({tail}, '{t}'))" for t in terms) + ")"
+    every = f"{n} + {r} + {s} >= {len(terms)}"
+    one = lambda condition, points: f"CASE WHEN {condition} THEN {points} ELSE 0 END"
+    parts = [
+        one(has(low, " ".join(terms)), 60), f"30 * {n} + 10 * {r} + 8 * {s}", f"CASE WHEN {n} >= {len(terms)} THEN 50 WHEN {every} THEN 15 ELSE 0 END", one(f"{exact} AND {every}", 55), one(f"{prefix} AND NOT {exact}", -30),
+        one(f"{n} > 0 AND {s} > 0", 28), one(f"{n} > 0 AND {r} > 0", 10), one("callee_hit", 40), one(" OR ".join(f"starts_with({low}, '{t}.') OR {has(low, '.' + t)}" for t in terms), 15),
+        "CAST(floor(least(richness, 200) / 8.0) AS BIGINT)", one(has(low, "controller."), 25), one(has(low, "service."), 20), one(f"{has(low, 'job')} OR {has(low, 'consumer')}", 12), one("handler", 150),
+        one(f"{has(low, 'daoimpl.')} OR {has(low, 'dao.')}", -25), one(has(low, "mapper."), -15), one(f"contains(lower(name), '.get') OR contains(lower(name), '.set')", -30), "least(coalesce(fan_in, 0), 25)",
+    ]
+    return " + ".join(f"({x})" for x in parts)
+
+
+ROLES = ("OrderController.", "OrderService.", "OrderDaoImpl.", "NightJob.", "OrderMapper.")
+TERMS = ["red", "nation_3", "the"]
+SCORED_TABLES = f"{RICH_TABLES} endpoints source_texts"
+
+
+def scored_sql(terms: list[str]) -> str:
+    role = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(ROLES))
+    hit = " OR ".join(f"contains(lower(callee_name), '{t}')" for t in terms)
+    return f"""{IDENT}, {CALLS}, {RICH}, {CROSS}, fan AS (SELECT callee_repo, count(DISTINCT src) AS fan_in FROM cross_edges GROUP BY 1),
+      scored AS (SELECT rich.* REPLACE (concat(CASE rich.id % 5 {role} END, simple_name) AS name), t.source_code AS source, fan.fan_in, rich.id IN (SELECT caller_function_id FROM function_calls WHERE {hit}) AS callee_hit,
+      rich.id IN (SELECT handler_function_id FROM endpoints) AS handler FROM rich LEFT JOIN source_texts t ON t.function_id = rich.id LEFT JOIN fan ON fan.callee_repo = rich.repo_name)"""
+
+
+def scored(spark, sf, terms):
+    """Functions in five roles, with everything that the discovery score asks."""
+    calls, endpoints, texts = tables(spark, sf, "function_calls", "endpoints", "source_texts")
+    role = F.element_at(F.array(*(F.lit(x) for x in ROLES)), (F.col("id") % 5 + 1).cast("int"))
+    rows = rich(spark, sf).withColumn("name", F.concat(role, "simple_name"))
+    rows = rows.join(texts.select(F.col("function_id").alias("id"), F.col("source_code").alias("source")), "id", "left")
+    rows = rows.join(fan_in_by_name(spark, sf).withColumnRenamed("callee_repo", "repo_name"), "repo_name", "left")
+    hit = calls.filter(C.any_of(C.contains_text(F.col("callee_name"), t) for t in terms)).select(F.col("caller_function_id").alias("id")).distinct().withColumn("callee_hit", F.lit(True))
+    handled = endpoints.select(F.col("handler_function_id").alias("id")).distinct().withColumn("handler", F.lit(True))
+    return rows.join(hit, "id", "left").join(handled, "id", "left").fillna(False, ["callee_hit", "handler"])
+
+
+@query("q02_keyword_score", SCORED_TABLES, f"WITH {scored_sql(TERMS)} SELECT id, CAST({score_sql(TERMS)} AS BIGINT) AS score FROM scored")
 def keyword_score(spark, sf):
-    rows = rich(spark, sf)
-    no = F.lit(False)
-    score = search.keyword_score("red bolt", F.col("name"), F.col("repo_name"), F.col("file_path"), F.lit(""), F.col("richness"), F.lit(0), no, no)
+    rows = scored(spark, sf, TERMS)
+    score = search.keyword_score(" ".join(TERMS), F.col("name"), F.col("repo_name"), F.col("file_path"), F.col("source"), F.col("richness"), F.col("fan_in"), F.col("callee_hit"), F.col("handler"))
     return rows.select("id", score.alias("score"))
 
 
-@query("q01_keyword_search", RICH_TABLES, f"WITH {IDENT}, {CALLS}, {RICH} SELECT id, name FROM rich WHERE lower(name) LIKE '%widget%' AND NOT regexp_matches(lower(name), '_l[0-9]+$') ORDER BY starts_with(lower(name), 'widget.') DESC, richness DESC, name, id LIMIT 20")
+SEARCHED = ["red", "click"]
+#: What each bucket of a keyword search looks at: functions and the text searched.
+BUCKETS = {
+    "name": "SELECT id, name AS text FROM scored", "path": "SELECT id, file_path AS text FROM ident", "repo": "SELECT id, repo_name AS text FROM ident", "source": "SELECT function_id AS id, source_code AS text FROM source_texts",
+    "callee": "SELECT caller_function_id AS id, callee_name AS text FROM function_calls", "endpoint": "SELECT handler_function_id AS id, path AS text FROM endpoints", "produced": "SELECT caller_function_id AS id, queue_name AS text FROM sqs_producers",
+    "consumed": "SELECT handler_function_id AS id, queue_name AS text FROM sqs_consumers", "http": "SELECT caller_function_id AS id, url_pattern AS text FROM http_client_calls", "entity": "SELECT caller_function_id AS id, entity_name AS text FROM data_accesses",
+}
+
+
+def found_sql() -> str:
+    return " UNION ALL ".join(f"SELECT id, '{t}' AS term, {k} AS k, '{name}' AS bucket FROM (SELECT DISTINCT id FROM ({text}) x WHERE contains(lower(text), '{t}') ORDER BY id LIMIT 500)" for t in SEARCHED for k, (name, text) in enumerate(BUCKETS.items()))
+
+
+@query("q01_keyword_search", f"{SCORED_TABLES} sqs_consumers data_accesses", f"""WITH {scored_sql(SEARCHED)}, found AS ({found_sql()}), once AS (SELECT id, count(DISTINCT term) AS hits, arg_min(bucket, k) AS bucket FROM found GROUP BY 1)
+    SELECT s.id, s.name, o.hits, o.bucket, CAST({score_sql(SEARCHED)} AS BIGINT) AS score FROM scored s JOIN once o ON o.id = s.id WHERE NOT regexp_matches(lower(s.name), '_l[0-9]+$') ORDER BY hits DESC, score DESC, name, s.id LIMIT 200""")
 def keyword_search(spark, sf):
-    found = rich(spark, sf).filter(~C.noise_function(F.col("name"), F.col("repo_name"), F.col("file_path"), F.lit(None).cast("string")))
-    (term,) = C.search_terms("the widget")
-    return search.ranked(found, term, 20).select("id", "name")
+    facts = scored(spark, sf, SEARCHED)
+    texts, calls, endpoints, producers, consumers, http, accesses = tables(spark, sf, "source_texts", "function_calls", "endpoints", "sqs_producers", "sqs_consumers", "http_client_calls", "data_accesses")
+    own = ident(spark, sf)
+    of = lambda rows, key, text: rows.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    buckets = {
+        "name": of(facts, "id", "name"), "path": of(own, "id", "file_path"), "repo": of(own, "id", "repo_name"), "source": of(texts, "function_id", "source_code"), "callee": of(calls, "caller_function_id", "callee_name"),
+        "endpoint": of(endpoints, "handler_function_id", "path"), "produced": of(producers, "caller_function_id", "queue_name"), "consumed": of(consumers, "handler_function_id", "queue_name"),
+        "http": of(http, "caller_function_id", "url_pattern"), "entity": of(accesses, "caller_function_id", "entity_name"),
+    }
+    return search.keyword_search("the red click", buckets, facts, 200).select("id", "name", "hits", "bucket", "score")
 
 
 @query("f02_literal_like", "functions", r"SELECT id FROM functions WHERE simple_name LIKE '%d\_w%' ESCAPE '\'")
@@ -385,10 +463,14 @@ def entity_scope(spark, sf):
     return impact.entity_scores(accesses.filter("repo_id = 3"))
 
 
-@query("r16_related_entities", sql="SELECT unnest(['order', 'line', 'customer']) AS entity")
+@query("r16_related_entities", "data_accesses", """WITH p AS (SELECT DISTINCT lower(a.entity_name) AS x, lower(b.entity_name) AS y FROM data_accesses a JOIN data_accesses b ON a.caller_function_id = b.caller_function_id AND lower(a.entity_name) <> lower(b.entity_name)),
+    s AS (SELECT DISTINCT lower(entity_name) AS entity FROM data_accesses WHERE repo_id = 3 AND id % 8 = 0) SELECT entity FROM s UNION SELECT p.y FROM s JOIN p ON p.x = s.entity""")
 def related_entities(spark, sf):
-    held = spark.createDataFrame([("order",)], "entity string")
-    pairs = spark.createDataFrame([("order", "line"), ("customer", "order"), ("line", "part")], "entity string, related string")
+    """Entities of a repository and those that one function accesses together with them."""
+    (accesses,) = tables(spark, sf, "data_accesses")
+    held = accesses.filter("repo_id = 3 AND id % 8 = 0").select(F.lower("entity_name").alias("entity")).distinct()
+    rows = accesses.select("caller_function_id", F.lower("entity_name").alias("entity")).distinct()
+    pairs = rows.join(rows.withColumnRenamed("entity", "related"), "caller_function_id").filter("entity <> related").select("entity", "related").distinct()
     return impact.expand_entities(held, pairs)
 
 
@@ -417,19 +499,23 @@ def class_integrations(spark, sf):
     return classes.select("id").join(counted, "id", "left").fillna(0)
 
 
-@query("q06_data_search", "data_accesses eventbridge_schedules", "SELECT 'data' AS kind, lower(entity_name) AS name, count(*) AS n FROM data_accesses WHERE lower(entity_name) LIKE '%e1%' GROUP BY 2 UNION ALL SELECT 'schedule', rule_name, count(*) FROM eventbridge_schedules WHERE lower(rule_name) LIKE '%a%' GROUP BY 2")
-def data_search(spark, sf):
-    accesses, schedules = tables(spark, sf, "data_accesses", "eventbridge_schedules")
-    d = accesses.filter(C.contains_text(F.col("entity_name"), "e1")).groupBy(F.lower("entity_name").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("data"))
-    s = schedules.filter(C.contains_text(F.col("rule_name"), "a")).groupBy(F.col("rule_name").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("schedule"))
-    return d.unionByName(s)
+SYMBOLS = {"schedule": "SELECT rule_name AS name FROM eventbridge_schedules", "trigger": "SELECT name FROM triggers", "graphql": "SELECT name FROM graphql_operations", "data": "SELECT lower(entity_name) AS name FROM data_accesses", "external": "SELECT name FROM external_symbols"}
+
+
+@query("q06_symbol_buckets", "eventbridge_schedules triggers graphql_operations data_accesses external_symbols", " UNION ALL ".join(f"SELECT * FROM (SELECT '{kind}' AS kind, name, count(*) AS n FROM ({text}) x WHERE contains(lower(name), 'e') GROUP BY name ORDER BY name LIMIT 30)" for kind, text in SYMBOLS.items()))
+def symbol_buckets(spark, sf):
+    schedules, triggers, operations, accesses, external = tables(spark, sf, "eventbridge_schedules", "triggers", "graphql_operations", "data_accesses", "external_symbols")
+    kinds = {"schedule": schedules.select(F.col("rule_name").alias("name")), "trigger": triggers, "graphql": operations, "data": accesses.select(F.lower("entity_name").alias("name")), "external": external}
+    return search.symbols(kinds, "e", 30)
 
 
-@query("q04_type_symbols", "type_parents classes", "SELECT 'class' AS kind, name FROM classes WHERE lower(name) LIKE '%c1%' UNION SELECT kind, child FROM type_parents WHERE lower(child) LIKE '%t1%'")
+TYPE_KINDS = ("interface", "type_alias", "hook", "component_contract", "store", "enum_constant")
+
+
+@query("q04_type_symbols", "type_symbols", " UNION ALL ".join(f"SELECT '{k}' AS kind, name, count(*) AS n FROM type_symbols WHERE kind = '{k}' AND contains(lower(name), 't1') GROUP BY name" for k in TYPE_KINDS))
 def type_symbols(spark, sf):
-    parents, classes = tables(spark, sf, "type_parents", "classes")
-    a = classes.filter(C.contains_text(F.col("name"), "c1")).select(F.lit("class").alias("kind"), "name")
-    return a.unionByName(parents.filter(C.contains_text(F.col("child"), "t1")).select("kind", F.col("child").alias("name"))).distinct()
+    (rows,) = tables(spark, sf, "type_symbols")
+    return search.symbols({k: rows.filter(F.col("kind") == k) for k in TYPE_KINDS}, "T1")
 
 
 @query("q07_other_workspaces", IDENT_TABLES, f"WITH {IDENT} SELECT id, name, snapshot_id FROM ident WHERE snapshot_id IS NOT NULL AND snapshot_id NOT IN (1, 2, 3) AND lower(name) LIKE '%ring%' ORDER BY name, id LIMIT 8")
@@ -439,13 +525,17 @@ def other_workspaces(spark, sf):
     return rows.join(active, "snapshot_id", "left_anti").filter(C.contains_text(F.col("name"), "ring")).orderBy("name", "id").limit(8).select("id", "name", "snapshot_id")
 
 
-@query("q11_impact", f"{GRAPH_TABLES} endpoints", f"WITH RECURSIVE {reach('up', 'id IN (3, 7, 11)', 3)} SELECT e.method, e.path, min(m.depth) AS min_depth, count(*) AS fanout, round((1.0 / (min(m.depth) + 1)) * (1 + ln(1 + count(*))), 6) AS score FROM m JOIN endpoints e ON e.handler_function_id = m.node GROUP BY 1, 2")
+@query("q11_impact", f"{IDENT_TABLES} function_calls endpoints", f"""WITH RECURSIVE {IDENT}, {CALLS}, s AS (SELECT id AS node FROM ident WHERE repo_name = 'NATION_3' AND start_line <= 150 AND end_line >= 100 UNION SELECT id FROM functions WHERE id IN (3, 7, 11)),
+    r AS (SELECT node, 0 AS depth FROM s UNION SELECT g.src, r.depth + 1 FROM r JOIN g ON g.dst = r.node WHERE r.depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1),
+    k AS (SELECT 'entrypoint' AS kind, concat(e.method, ' ', e.path) AS key, m.depth FROM m JOIN endpoints e ON e.handler_function_id = m.node UNION ALL SELECT 'file', i.file_path, m.depth FROM m JOIN ident i ON i.id = m.node UNION ALL SELECT 'repository', i.repo_name, m.depth FROM m JOIN ident i ON i.id = m.node)
+    SELECT kind, key, min(depth) AS min_depth, count(*) AS fanout, round((1.0 / (min(depth) + 1)) * (1 + ln(1 + count(*))), 6) AS score FROM k GROUP BY 1, 2""")
 def impact_query(spark, sf):
+    """What a change of lines 100 to 150 of a repository's files, and of three functions, can reach upstream."""
     (endpoints,) = tables(spark, sf, "endpoints")
-    back = call_graph(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = graph.bfs(back, spark.createDataFrame([(3,), (7,), (11,)], "node long"), 3)
-    rows = endpoints.join(found.select(F.col("node").alias("handler_function_id"), "depth"), "handler_function_id")
-    return impact.merge(rows.groupBy("method", "path").agg(F.min("depth").alias("min_depth"), F.count("*").alias("fanout")))
+    own = ident(spark, sf)
+    ranges = spark.createDataFrame([("NATION_3", 100, 150)], "repo_name string, low long, high long")
+    roots = impact.targets(own, spark.createDataFrame([(3,), (7,), (11,)], "id long"), scope.overlapping(ranges, own, ["repo_name"]))
+    return impact.report(roots, call_graph(spark, sf), endpoints, own, 2)
 
 
 @query("q16_verdicts", "endpoints", """WITH f AS (SELECT id AS change, id % 5 = 0 AS breaking, id % 3 AS consumers, id % 14 = 0 AS incomplete, CASE WHEN id % 22 = 0 THEN 'missing' ELSE 'confirmed' END AS obligation, id % 44 = 0 AS waived FROM endpoints)
@@ -460,9 +550,10 @@ def change_facts(spark, sf):
     return endpoints.select(n.alias("change"), (n % 5 == 0).alias("breaking"), (n % 3).alias("consumers"), (n % 14 == 0).alias("incomplete"), F.when(n % 22 == 0, "missing").otherwise("confirmed").alias("obligation"), (n % 44 == 0).alias("waived"))
 
 
-@query("q16_overall_verdict", "endpoints", "SELECT 'fail' AS verdict")
+@query("q16_overall_verdict", "endpoints", """SELECT e.id % 25 AS repo_id, CASE max(CASE WHEN (id % 5 = 0 AND id % 3 > 0) OR (id % 22 = 0 AND id % 44 <> 0) THEN 4 WHEN id % 5 = 0 OR id % 14 = 0 THEN 3 WHEN id % 3 > 0 OR id % 44 = 0 THEN 2 ELSE 1 END) WHEN 4 THEN 'fail' WHEN 3 THEN 'warn' WHEN 2 THEN 'info' ELSE 'pass' END AS verdict FROM endpoints e GROUP BY 1""")
 def overall_verdict(spark, sf):
-    return verify.overall(verify.verdict(change_facts(spark, sf)))
+    rows = verify.verdict(change_facts(spark, sf)).withColumn("repo_id", F.col("change") % 25)
+    return verify.overall(rows, "repo_id")
 
 
 @query("q17_obligations", IDENT_TABLES, f"WITH {IDENT} SELECT concat('c', CAST(id AS VARCHAR)) AS claim, caller_id, CASE id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'contradicted' ELSE 'missing' END AS obligation FROM ident WHERE caller_id NOT IN (SELECT caller_id FROM ident GROUP BY 1 HAVING count(*) > 1)")

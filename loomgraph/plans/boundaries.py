@@ -195,11 +195,17 @@ def host_prefix(spark, sf):
     return routes.nearest_prefix(files, configs).select("id", "value")
 
 
-@query("j27_interface_rebase", sql="SELECT 'OrderApi' AS interface_name, 'GET' AS method, 'OrderController' AS controller, '/v1/orders/{id}' AS path UNION ALL SELECT 'OrderApi', 'GET', 'LegacyController', '/orders/{id}'")
+@query("j27_interface_rebase", "endpoints", """WITH d AS (SELECT id, concat('Api', CAST(repo_id AS VARCHAR)) AS interface_name, path FROM endpoints), c AS (SELECT DISTINCT concat('Api', CAST(repo_id AS VARCHAR)) AS interface_name, repo_id FROM endpoints)
+    SELECT d.id, 'Main' AS controller, lower(concat('/v', CAST(c.repo_id AS VARCHAR), d.path)) AS path FROM d JOIN c ON c.interface_name = d.interface_name UNION ALL SELECT id, 'Legacy', lower(path) FROM d""")
 def interface_rebase(spark, sf):
-    declared = spark.createDataFrame([("OrderApi", "GET", "orders/{id}/")], "interface_name string, method string, path string")
-    impl = spark.createDataFrame([("OrderApi", "OrderController", "/V1/"), ("OrderApi", "LegacyController", "")], "interface_name string, controller string, base string")
-    return routes.rebase(declared, impl).select("interface_name", "method", "controller", "path")
+    """Every endpoint as if declared on its repository's interface, which a versioned and an unversioned controller implement."""
+    (endpoints,) = tables(spark, sf, "endpoints")
+    api = F.concat(F.lit("Api"), F.col("repo_id").cast("string")).alias("interface_name")
+    repos = endpoints.select(api, "repo_id").distinct()
+    main = repos.select("interface_name", F.lit("Main").alias("controller"), F.concat(F.lit("/V"), F.col("repo_id").cast("string"), F.lit("/")).alias("base"))
+    legacy = repos.select("interface_name", F.lit("Legacy").alias("controller"), F.lit("").alias("base"))
+    declared = endpoints.select("id", api, F.concat(F.regexp_replace("path", "^/", ""), F.lit("/")).alias("path"))
+    return routes.rebase(declared, main.unionByName(legacy)).select("id", "controller", "path")
 
 
 QNORM = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^arn:[^:]+:sqs:[^:]+:[^:]+:', ''), '^https?://[^/]+/[^/]+/', ''), '^.*/', ''), '\\.fifo$', ''))"
@@ -325,16 +331,43 @@ def contracts_overview(spark, sf):
     return contracts.overview(repositories, dict(zip(("endpoints", "http_calls", "producers", "consumers", "accesses"), rest, strict=True)))
 
 
-@query("q12_contract_detail", f"{HTTP} {QUEUES} resource_aliases data_accesses", """SELECT 'endpoints' AS list, concat(method, ' ', path) AS item FROM (SELECT DISTINCT method, path FROM endpoints WHERE repo_id = 4 ORDER BY path, method LIMIT 5) UNION ALL
-    SELECT 'produced', queue_name FROM (SELECT DISTINCT queue_name FROM sqs_producers WHERE repo_id = 4 ORDER BY 1 LIMIT 5) UNION ALL SELECT 'consumed', queue_name FROM (SELECT DISTINCT queue_name FROM sqs_consumers WHERE repo_id = 4 ORDER BY 1 LIMIT 5) UNION ALL
-    SELECT 'entities', concat(entity, ' ', access) FROM (SELECT DISTINCT lower(entity_name) AS entity, access FROM data_accesses WHERE repo_id = 4 ORDER BY 1, 2 LIMIT 5)""")
+DETAIL = {
+    "endpoints": ("concat(method, ' ', path)", "SELECT DISTINCT method, path FROM endpoints WHERE repo_id = 4 ORDER BY path, method"),
+    "http_calls": ("concat(http_method, ' ', url_pattern, ' ', n)", "SELECT http_method, url_pattern, count(*) AS n FROM http_client_calls WHERE repo_id = 4 GROUP BY 1, 2 ORDER BY 3 DESC, 2, 1"),
+    "http_callers": ("concat(c_repo, ' ', n)", "SELECT c_repo, count(DISTINCT call_id) AS n FROM eq WHERE literal AND e_repo = 4 AND c_repo <> 4 GROUP BY 1 ORDER BY 2 DESC, 1"),
+    "produced": ("concat(queue_name, ' ', n)", "SELECT queue_name, count(*) AS n FROM sqs_producers WHERE repo_id = 4 GROUP BY 1 ORDER BY 1"),
+    "consumed": ("concat(queue_name, ' ', n)", "SELECT queue_name, count(*) AS n FROM sqs_consumers WHERE repo_id = 4 GROUP BY 1 ORDER BY 1"),
+    "producers_met": ("CAST(src AS VARCHAR)", "SELECT DISTINCT src FROM qg WHERE tgt = 4 ORDER BY 1"),
+    "consumers_met": ("CAST(tgt AS VARCHAR)", "SELECT DISTINCT tgt FROM qg WHERE src = 4 ORDER BY 1"),
+    "entities": ("concat(entity, ' ', access, ' ', n)", "SELECT lower(entity_name) AS entity, access, count(*) AS n FROM data_accesses WHERE repo_id = 4 GROUP BY 1, 2 ORDER BY 1, 2"),
+    "graphql_operations": ("name", "SELECT DISTINCT name FROM graphql_operations WHERE repo_id = 4 ORDER BY 1"),
+    "graphql_usages": ("concat(operation_name, ' ', n)", "SELECT operation_name, count(*) AS n FROM graphql_usages WHERE repo_id = 13 GROUP BY 1 ORDER BY 1"),
+    "graphql_targets": ("concat(operation_name, ' ', o_repo)", "SELECT DISTINCT u.operation_name, o.repo_id AS o_repo FROM graphql_usages u JOIN graphql_operations o ON o.name = u.operation_name WHERE u.repo_id = 13 AND o.repo_id <> 13 ORDER BY 1, 2"),
+    "graphql_callers": ("concat(operation_name, ' ', u_repo)", "SELECT DISTINCT u.operation_name, u.repo_id AS u_repo FROM graphql_usages u JOIN graphql_operations o ON o.name = u.operation_name WHERE o.repo_id = 15 AND u.repo_id <> 15 ORDER BY 1, 2"),
+    "graphql_resolvers": ("concat(operation_name, ' ', handler)", "SELECT DISTINCT operation_name, handler FROM graphql_resolvers WHERE repo_id = 4 ORDER BY 1, 2"),
+    "graphql_permissions": ("concat(operation_name, ' ', role)", "SELECT DISTINCT operation_name, role FROM graphql_permissions WHERE repo_id = 4 ORDER BY 1, 2"),
+    "graphql_entrypoints": ("path", "SELECT DISTINCT path FROM graphql_entrypoints WHERE repo_id = 4 ORDER BY 1"),
+    "timer_triggers": ("concat(name, ' ', value)", "SELECT DISTINCT name, value FROM triggers WHERE kind = 'timer' AND repo_id = 4 ORDER BY 1, 2"),
+}
+DETAIL_TABLES = "http_client_calls endpoints sqs_producers sqs_consumers resource_aliases data_accesses graphql_operations graphql_usages graphql_resolvers graphql_permissions graphql_entrypoints triggers"
+#: Lists that another repository than the fourth has rows for.
+OTHER = {"graphql_operations": 15, "graphql_usages": 13, "graphql_targets": 13, "graphql_callers": 15, "graphql_permissions": 9}
+QGRAPH = f"""qp AS (SELECT DISTINCT repo_id, {ALIAS.format('queue_name')} AS a FROM sqs_producers), qk AS (SELECT DISTINCT repo_id, {ALIAS.format('queue_name')} AS b FROM sqs_consumers), qx AS (SELECT lower(alias_key) AS k, lower(alias_value) AS v FROM resource_aliases),
+    qg AS (SELECT DISTINCT p.repo_id AS src, c.repo_id AS tgt, p.a FROM qp p JOIN qk c ON p.repo_id <> c.repo_id AND (p.a = c.b OR EXISTS (SELECT 1 FROM qx x WHERE (x.k = p.a AND x.v = c.b) OR (x.v = p.a AND x.k = c.b)) OR EXISTS (SELECT 1 FROM qx x JOIN qx y ON x.v = y.v WHERE x.k = p.a AND y.k = c.b)))"""
+
+
+def detail_sql() -> str:
+    own = lambda name, text: text.replace("repo_id = 4", f"repo_id = {OTHER[name]}") if name in OTHER else text
+    return " UNION ALL ".join(f"SELECT '{name}' AS list, {item} AS item FROM ({own(name, text)} LIMIT 5)" for name, (item, text) in DETAIL.items())
+
+
+@query("q12_contract_detail", DETAIL_TABLES, f"WITH {PAIRS}, {QGRAPH} {detail_sql()}")
 def contract_detail(spark, sf):
-    calls, endpoints, producers, consumers, aliases, accesses = tables(spark, sf, "http_client_calls", "endpoints", "sqs_producers", "sqs_consumers", "resource_aliases", "data_accesses")
-    lists = contracts.detail(4, 5, calls, endpoints, producers, consumers, aliases, accesses)
-    item = {"endpoints": F.concat_ws(" ", "method", "path"), "produced": F.col("queue_name"), "consumed": F.col("queue_name"), "entities": F.concat_ws(" ", "entity", "access")}
+    facts = tables(spark, sf, *DETAIL_TABLES.split())
     out = None
-    for name, value in item.items():
-        one = lists[name].select(F.lit(name).alias("list"), value.alias("item"))
+    for name in DETAIL:
+        one = contracts.detail(OTHER.get(name, 4), 5, *facts)[name]
+        one = one.select(F.lit(name).alias("list"), F.concat_ws(" ", *(F.col(c).cast("string") for c in one.columns if c != "client_type" and c != "repo_id")).alias("item"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -394,10 +427,11 @@ def endpoint_handlers(spark, sf):
     return endpoints.join(f, "handler_function_id", "left").select("id", "path", "handler")
 
 
-@query("f09_legacy_routes", sql="SELECT p AS path, p IN ('/a.asp', '/x.ASPX/y', '/b.php') AS legacy FROM (VALUES ('/a.asp'), ('/x.ASPX/y'), ('/b.php'), ('/c.phpx'), ('/asp/b')) t(p)")
+@query("f09_legacy_routes", "endpoints", "SELECT id, id % 8 < 4 AS legacy FROM endpoints")
 def legacy_routes(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("/a.asp", "/x.ASPX/y", "/b.php", "/c.phpx", "/asp/b")], "path string")
-    return rows.select("path", C.legacy_route(F.col("path")).alias("legacy"))
+    (endpoints,) = tables(spark, sf, "endpoints")
+    tail = F.element_at(F.array(*(F.lit(x) for x in (".asp", ".ASPX/y", ".php", ".Aspx", ".phpx", "/asp/b", "/php", ""))), (F.col("id") % 8 + 1).cast("int"))
+    return endpoints.select("id", C.legacy_route(F.concat(F.lit("/a"), tail)).alias("legacy"))
 
 
 @query("f17_endpoint_listing", "endpoints", "SELECT id, method, path FROM endpoints WHERE method = 'GET' AND lower(path) LIKE '%/en%' ORDER BY path, id LIMIT 10 OFFSET 3")

@@ -149,10 +149,12 @@ def upstream_gate(spark, sf):
     return resolve.upstream_gate(names, own, C.generic_method(F.col("name")), 1)
 
 
-@query("f08_noise_functions", sql="""SELECT n AS name, x AS noise FROM (VALUES ('A.hashCode', true), ('A.getX', true), ('a.handler_l12', true), ('jQuery.ready', true), ('A.charge', false), ('A.getaway', false)) t(n, x)""")
+@query("f08_noise_functions", "functions", "SELECT id, id % 6 < 4 AS noise FROM functions")
 def noise(spark, sf):
-    rows = spark.createDataFrame([(n,) for n in ("A.hashCode", "A.getX", "a.handler_l12", "jQuery.ready", "A.charge", "A.getaway")], "name string")
-    return rows.select("name", C.noise_function(F.col("name"), F.lit("repo"), F.lit("src/a.java"), F.lit("{\n  return x;\n}")).alias("noise"))
+    (functions,) = tables(spark, sf, "functions")
+    shape = F.element_at(F.array(*(F.lit(x) for x in ("A§.hashCode", "A§.getX", "a§.handler_l12", "jQuery.ready", "A§.charge", "A§.getaway"))), (F.col("id") % 6 + 1).cast("int"))
+    path = F.when(F.col("id") % 6 == 3, "src/a.js").otherwise("src/a.java")
+    return functions.select("id", C.noise_function(F.replace(shape, F.lit("§"), F.col("id").cast("string")), F.lit("repo"), path, F.lit("{\n  return x;\n}")).alias("noise"))
 
 
 @query("f10_low_signal_nodes", sql="SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false), (5, true), (6, false), (7, true)) t(id, low_signal)")
@@ -161,10 +163,12 @@ def low_signal(spark, sf):
     return flow.low_signal(spark.createDataFrame(nodes, "id int, parent int, name string, repo string, file string, edge_type string")).select("id", "low_signal")
 
 
-@query("f02_test_paths", sql="SELECT * FROM (VALUES ('src/test/java/A.java', true), ('a/x.spec.ts', true), ('a/FooIT.java', true), ('a/SPLIT.java', false), ('a/Testament.java', false), ('a/b_test.go', true)) t(path, test)")
+@query("f02_test_paths", "files", "SELECT id, id % 6 IN (0, 1, 2, 5) AS test FROM files")
 def test_paths(spark, sf):
-    paths = ("src/test/java/A.java", "a/x.spec.ts", "a/FooIT.java", "a/SPLIT.java", "a/Testament.java", "a/b_test.go")
-    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", C.test_path(F.col("path")).alias("test"))
+    (files,) = tables(spark, sf, "files")
+    shapes = ("src/test/java/§.java", "a/§.spec.ts", "a/§IT.java", "a/§SPLIT.java", "a/Testament§.java", "a/§_test.go")
+    shape = F.element_at(F.array(*(F.lit(x) for x in shapes)), (F.col("id") % 6 + 1).cast("int"))
+    return files.select("id", C.test_path(F.replace(shape, F.lit("§"), F.concat(F.lit("F"), F.col("id").cast("string")))).alias("test"))
 
 
 @query("j34_routes_in_source", "endpoints", f"""WITH s AS (SELECT id, path AS route FROM endpoints), e AS (SELECT id AS endpoint_id, regexp_replace(path, '/$', '') AS p FROM endpoints),
@@ -175,23 +179,26 @@ def routes_in_source(spark, sf):
     return flow.source_routes(text, endpoints)
 
 
-DIFF = """--- a/src/building/F1.x
-+++ b/src/building/F1.x
-@@ -10,2 +10,2 @@
--public Order get(String id, int n) {
-+public Order get(long id) {
- }
-"""
+def diffs(spark, sf):
+    """A diff for every function: its declaration loses a parameter, changes one, goes, or stays."""
+    (functions,) = tables(spark, sf, "functions")
+    path = F.concat(F.lit("src/F"), F.col("id").cast("string"), F.lit(".x"))
+    old = F.concat(F.lit("public Order "), "simple_name", F.lit("(String id, int n) {"))
+    new = F.element_at(F.array(F.concat(F.lit("+public Order "), "simple_name", F.lit("(long id) {")), F.lit("+return null;"), F.concat(F.lit("+public Order "), "simple_name", F.lit("(String id, int n) {"))), (F.col("id") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -10,2 +10,2 @@\n-"), old, F.lit("\n"), new, F.lit("\n }\n"))
+    return functions.select(text.alias("diff"))
 
 
-@query("q14_breaking_changes", sql="SELECT 'src/building/F1.x' AS file, 'get' AS function, * FROM (VALUES ('parameter_removed', 'high', 'n'), ('parameter_type_changed', 'high', 'id')) t(change, severity, detail)")
+@query("q14_breaking_changes", "functions", """WITH f AS (SELECT concat('src/F', CAST(id AS VARCHAR), '.x') AS file, simple_name AS function, id % 3 AS k FROM functions)
+    SELECT file, function, 'parameter_removed' AS change, 'high' AS severity, 'n' AS detail FROM f WHERE k = 0 UNION ALL SELECT file, function, 'parameter_type_changed', 'high', 'id' FROM f WHERE k = 0
+    UNION ALL SELECT file, function, 'endpoint_removed', 'critical', '' FROM f WHERE k = 1""")
 def breaking(spark, sf):
-    return verify.breaking_changes(spark, inputs.diff_lines(DIFF))
+    return verify.breaking_changes(inputs.diff_table(diffs(spark, sf)))
 
 
-@query("s18_diff_ranges", sql="SELECT 'src/building/F1.x' AS path, 10 AS low, 10 AS high, false AS is_new")
+@query("s18_diff_ranges", "functions", "SELECT concat('src/F', CAST(id AS VARCHAR), '.x') AS path, 10 AS low, 10 AS high, 2 AS lines FROM functions")
 def diff_ranges(spark, sf):
-    return inputs.diff_ranges(spark, DIFF).select("path", "low", "high", "is_new")
+    return inputs.diff_table(diffs(spark, sf)).groupBy(F.col("file").alias("path"), "low", "high").agg(F.count("*").alias("lines"))
 
 
 @query("q18_diff_to_symbols", IDENT_TABLES, f"WITH {IDENT} SELECT id, caller_id FROM ident WHERE file_path = (SELECT min(file_path) FROM ident) AND start_line <= 300 AND end_line >= 1")
@@ -211,10 +218,46 @@ def owned(spark, sf):
     return inputs.owners(files.select("id", "path"), OWNERS).select("id", F.array_join("owners", ",").alias("owners"))
 
 
-@query("s03_parsed_facts", sql="SELECT * FROM (VALUES ('a.ts', 'call', 'axios.get', 2), ('a.ts', 'function', 'load', 1), ('a.ts', 'http_call', 'GET', 2), ('b.sql', 'data_access', 'orders', 1), ('b.sql', 'function', 'p', 1), ('c.go', 'class', 'S', 1), ('c.go', 'function', 'S.Run', 2)) t(path, kind, name, line)")
-def parsed(spark, sf):
-    files = [("r", "a.ts", "const load = async (x) => {\n  return axios.get('/orders');\n}\n"), ("r", "b.sql", "CREATE PROCEDURE p AS SELECT * FROM orders"), ("r", "c.go", "type S struct{}\nfunc (s *S) Run() {}\n"), ("r", "d.bin", "x")]
-    return code.parse_files(spark.createDataFrame(files, "repo string, path string, text string")).select("path", "kind", "name", "line")
+#: For each parser a source rendered for every function (§ stands for its number, ¤ for its simple name), and the facts that it must give.
+RENDERED = {
+    "s03_javascript": ("ts", "export class C§ extends Base implements Api {\n  async ¤(x) {\n    return axios.get('/orders/§');\n  }\n}\n", [("class", "C§", "", 1), ("extends", "C§", "Base", 1), ("implements", "C§", "Api", 1), ("function", "C§.¤", "", 2), ("http_call", "GET", "/orders/§", 3), ("call", "axios.get", "axios.get", 3)]),
+    "s03_vue": ("vue", "<template/>\n<script>\nconst f§ = () => {\n  fetch('/v/§');\n}\n</script>\n", [("function", "f§", "", 3), ("http_call", "GET", "/v/§", 4), ("call", "fetch", "fetch", 4)]),
+    "s04_java": ("java", "package a.b;\nimport c.D§;\npublic class C§ extends Base {\n  private Repo repo;\n  @GetMapping(\"/o/§\")\n  public Order ¤(int id) {\n    return repo.find(id);\n  }\n}\n", [("class", "C§", "", 3), ("extends", "C§", "Base", 3), ("function", "C§.¤", "", 6), ("endpoint", "GET", "/o/§", 6), ("field", "repo", "Repo", 4), ("import", "D§", "c.D§", 2), ("call", "repo.find", "repo.find", 7)]),
+    "s05_csharp": ("cs", "namespace A;\npublic class C§ : Base {\n  [HttpGet(\"o/§\")]\n  public Order ¤(int id) {\n    return repo.Find(id);\n  }\n}\n", [("class", "C§", "", 2), ("extends", "C§", "Base", 2), ("function", "C§.¤", "", 4), ("endpoint", "GET", "/o/§", 4), ("call", "repo.Find", "repo.Find", 5)]),
+    "s06_go": ("go", "package a\ntype S§ struct{}\nfunc (s *S§) ¤(id int) error {\n  return s.repo.Load(id)\n}\n", [("function", "S§.¤", "", 3), ("class", "S§", "", 2), ("call", "s.repo.Load", "s.repo.Load", 4)]),
+    "s07_sql": ("sql", "CREATE PROCEDURE p§ AS\nBEGIN\n  INSERT INTO orders_§ SELECT * FROM lines;\nEND\n", [("function", "p§", "", 1), ("data_access", "orders_§", "", 3), ("data_access", "lines", "", 3)]),
+    "s08_rpg": ("rpgle", "dcl-proc getOrder§ export;\n  callp loadOrder§(id);\nend-proc;\n", [("export", "getorder§", "", 1), ("call", "loadorder§", "loadorder§", 2)]),
+    "s08_binder": ("bnd", "STRPGMEXP\nEXPORT SYMBOL('GETORDER§')\nENDPGMEXP\n", [("export", "getorder§", "", 2)]),
+    "s09_powershell": ("ps1", "function Get-O§ {\n  Invoke-RestMethod -Uri /orders/§\n  Load-Order 1\n}\n", [("function", "Get-O§", "", 1), ("http_call", "GET", "/orders/§", 2), ("call", "Load-Order", "Load-Order", 3)]),
+    "s10_terraform": ("tf", "resource \"aws_sqs_queue\" \"q§\" {\n  name = \"queue-§\"\n}\n", [("resource", "queue-§", "aws_sqs_queue", 1), ("queue", "queue-§", "", 1)]),
+    "s11_graphql": ("graphql", "query Get§ {\n  order { id }\n}\nmutation Put§ { put }\n", [("graphql_operation", "Get§", "", 1), ("graphql_operation", "Put§", "", 4)]),
+    "s12_gateway": ("json", "{\"paths\": {\"/o/§\": {\"get\": {}, \"post\": {}}}}", [("gateway_route", "GET", "/o/§", 1), ("gateway_route", "POST", "/o/§", 1)]),
+    "s13_triggers": ("json", "{\"bindings\": [\"x\", {\"type\": \"httpTrigger\", \"route\": \"o/§\", \"methods\": [\"get\"]}, {\"type\": \"queueTrigger\", \"queueName\": \"q§\"}]}", [("trigger", "GET", "o/§", 1), ("trigger", "q§", "", 1)]),
+    "s13_host": ("json", "{\"extensions\": {\"http\": {\"routePrefix\": \"p§\"}}}", [("route_prefix", "p§", "", 1)]),
+    "s14_aliases": ("env", "QUEUE_§=orders\n# x\nURL=http://a/§\n", [("alias", "QUEUE_§", "", 1), ("alias", "URL", "", 3)]),
+    "s15_mapper": ("xml", "<mapper namespace=\"a.M§\"><select id=\"load\">SELECT * FROM orders_§</select></mapper>", [("data_access", "orders_§", "", 1)]),
+    "s16_entities": ("edmx", "<Edmx><EntitySetMapping Name=\"Orders§\"><EntityTypeMapping><MappingFragment StoreEntitySet=\"ORDERS\"/></EntityTypeMapping></EntitySetMapping></Edmx>", [("entity", "Orders§", "ORDERS", 1)]),
+}
+
+
+def filled(text: str) -> str:
+    """A rendered text as SQL over functions."""
+    return f"replace(replace('{text.replace(chr(39), chr(39) * 2)}', '§', CAST(id AS VARCHAR)), '¤', simple_name)"
+
+
+def parsing(ending: str, source: str):
+    def run(spark, sf):
+        (functions,) = tables(spark, sf, "functions")
+        text = F.replace(F.replace(F.lit(source), F.lit("§"), F.col("id").cast("string")), F.lit("¤"), F.col("simple_name"))
+        files = functions.select(F.lit("r").alias("repo"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(f".{ending}")).alias("path"), text.alias("text"))
+        return code.parse_files(files).select("path", "kind", "name", "target", "line")
+
+    return run
+
+
+for _name, (_ending, _source, _facts) in RENDERED.items():
+    _sql = " UNION ALL ".join(f"SELECT concat('f', CAST(id AS VARCHAR), '.{_ending}') AS path, '{kind}' AS kind, {filled(name)} AS name, {filled(target)} AS target, {line} AS line FROM functions" for kind, name, target, line in _facts)
+    query(_name, "functions", _sql)(parsing(_ending, _source))
 
 
 @query("d07_active_snapshots", "repo_snapshots", "SELECT workspace_id, repo_name, max(id) AS snapshot_id FROM repo_snapshots s WHERE generation = (SELECT max(generation) FROM repo_snapshots t WHERE t.workspace_id = s.workspace_id AND t.repo_name = s.repo_name) GROUP BY 1, 2")

@@ -118,17 +118,16 @@ def qualified_suffixes(spark, sf):
     return java.select("id", F.explode(resolve.suffixes(F.concat(F.lit("pkg."), F.col("name")))).alias("suffix"))
 
 
-@query(
-    "j18_cross_repo_resolution",
-    EDGE_TABLES,
-    f"""WITH {RESOLVED}, kin AS (SELECT *, CASE language WHEN 'java' THEN 'jvm' WHEN 'typescript' THEN 'js' WHEN 'csharp' THEN 'dotnet' ELSE 'ibmi' END AS kin FROM ident),
+ACROSS = f"""{RESOLVED}, kin AS (SELECT *, CASE language WHEN 'java' THEN 'jvm' WHEN 'typescript' THEN 'js' WHEN 'csharp' THEN 'dotnet' ELSE 'ibmi' END AS kin FROM ident),
     kf AS (SELECT *, CASE WHEN kin = 'ibmi' THEN lower(name) ELSE name END AS q, CASE WHEN kin = 'ibmi' THEN lower(simple_name) ELSE simple_name END AS s FROM kin),
     calls AS (SELECT r.id, k.repo_id, k.kin, CASE WHEN k.kin = 'ibmi' THEN lower(r.callee_name) ELSE r.callee_name END AS key FROM resolved r JOIN kf k ON k.id = r.caller_function_id WHERE r.callee_function_id IS NULL),
     d AS (SELECT kin, q, min(id) AS target, min(repo_id) AS repo_id FROM kf WHERE strpos(q, '.') > 0 GROUP BY 1, 2 HAVING count(*) = 1),
     one AS (SELECT c.id, d.target, 'qualified_workspace' AS source FROM calls c JOIN d ON d.kin = c.kin AND d.q = c.key WHERE d.repo_id <> c.repo_id),
-    two AS (SELECT c.id, min(k.id) AS target, 'unique_workspace' AS source FROM calls c JOIN kf k ON k.kin = c.kin AND k.s = c.key AND k.repo_id <> c.repo_id WHERE strpos(c.key, '.') = 0 GROUP BY c.id HAVING count(*) = 1)
-    SELECT * FROM one UNION ALL SELECT * FROM two WHERE id NOT IN (SELECT id FROM one)""",
-)
+    two AS (SELECT c.id, min(k.id) AS target, 'unique_workspace' AS source FROM calls c JOIN kf k ON k.kin = c.kin AND k.s = c.key AND k.repo_id <> c.repo_id WHERE strpos(c.key, '.') = 0 GROUP BY c.id HAVING count(*) = 1),
+    across AS (SELECT * FROM one UNION ALL SELECT * FROM two WHERE id NOT IN (SELECT id FROM one))"""
+
+
+@query("j18_cross_repo_resolution", EDGE_TABLES, f"WITH {ACROSS} SELECT * FROM across")
 def cross_repo_resolution(spark, sf):
     open_calls = resolved(spark, sf).filter("callee_function_id IS NULL").select("id", "caller_function_id", "callee_name")
     return resolve.resolve_across(open_calls, ident(spark, sf))
@@ -156,10 +155,13 @@ def trace_edges(spark, sf):
     return edges(spark, sf)
 
 
-@query("a07_repo_fan_in", EDGE_TABLES, f"WITH {EDGES} SELECT callee_repo, count(DISTINCT repo_id) AS fan_in FROM edges WHERE callee_repo IS NOT NULL AND callee_repo <> '' AND split_part(caller_id, ':', 1) <> callee_repo GROUP BY 1")
+@query("a07_repo_fan_in", EDGE_TABLES, f"WITH {ACROSS} SELECT b.repo_name AS callee_repo, count(DISTINCT a.repo_id) AS fan_in FROM across x JOIN function_calls c ON c.id = x.id JOIN ident a ON a.id = c.caller_function_id JOIN ident b ON b.id = x.target WHERE a.repo_name <> b.repo_name GROUP BY 1")
 def repo_fan_in(spark, sf):
-    """Distinct calling repositories of each repository; over cross-repository targets where intra-repository resolution leaves none."""
-    return fan_in(edges(spark, sf))
+    """Distinct calling repositories of each repository, over calls resolved within repositories and across them."""
+    own, rows = ident(spark, sf), resolved(spark, sf)
+    found = resolve.resolve_across(rows.filter("callee_function_id IS NULL").select("id", "caller_function_id", "callee_name"), own).select("id", "target")
+    every = rows.join(found, "id", "left").withColumn("callee_function_id", F.coalesce("callee_function_id", "target")).drop("target")
+    return fan_in(resolve.trace_edges(every, own))
 
 
 def fan_in(rows):

@@ -6,6 +6,8 @@ owner is the enclosing function or class, target what is called, accessed, exten
 
 from __future__ import annotations
 
+import bisect
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -33,8 +35,14 @@ def parser(language: str, *endings: str):
     return put
 
 
+@functools.lru_cache(maxsize=2)
+def line_starts(text: str) -> list[int]:
+    return [m.end() for m in re.finditer("\n", text)]
+
+
 def line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+    """Line of a place; the line breaks of a text are found once."""
+    return bisect.bisect_right(line_starts(text), at) + 1
 
 
 def masked(text: str, comments: str, strings: bool = False) -> str:
@@ -50,10 +58,12 @@ def block_end(text: str, at: int, open_: str = "{", close: str = "}") -> int:
     """Place after the block that opens at or after a place; the end of the text if it never closes."""
     start = text.find(open_, at)
     depth = 0
-    for m in re.finditer(f"[{re.escape(open_)}{re.escape(close)}]", text[start:] if start >= 0 else ""):
+    if start < 0:
+        return len(text)
+    for m in re.compile(f"[{re.escape(open_)}{re.escape(close)}]").finditer(text, start):
         depth += 1 if m[0] == open_ else -1
         if not depth:
-            return start + m.end()
+            return m.end()
     return len(text)
 
 
@@ -394,17 +404,20 @@ def settings(source: str) -> list[Fact]:
     out: list[Fact] = []
     if isinstance(held, dict) and isinstance(held.get("bindings"), list):
         for b in held["bindings"]:
+            if not isinstance(b, dict):
+                continue
             kind = str(b.get("type", "")).lower()
             if kind == "httptrigger":
                 out += [("trigger", m.upper(), "", b.get("route", ""), "http", 1) for m in b.get("methods", ["request"])]
             elif kind.endswith("trigger"):
                 out.append(("trigger", b.get("queueName") or b.get("topicName") or b.get("schedule", ""), "", "", kind.removesuffix("trigger"), 1))
         return out
-    if isinstance(held, dict) and "extensions" in held:
-        prefix = held["extensions"].get("http", {}).get("routePrefix")
+    if isinstance(held, dict) and isinstance(held.get("extensions"), dict):
+        web = held["extensions"].get("http")
+        prefix = web.get("routePrefix") if isinstance(web, dict) else None
         return [("route_prefix", "" if prefix is None else prefix, "", "", "", 1)]
     if isinstance(held, dict) and isinstance(held.get("paths"), dict):
-        return [("gateway_route", method.upper(), "", path, "", 1) for path, ops in held["paths"].items() for method in ops if isinstance(ops, dict)]
+        return [("gateway_route", method.upper(), "", path, "", 1) for path, ops in held["paths"].items() if isinstance(ops, dict) for method in ops]
     return [("alias", key, "", "", value, 1) for key, value in flat(held)] if isinstance(held, dict) else []
 
 
@@ -444,7 +457,10 @@ def parse_files(files: DataFrame) -> DataFrame:
             rows = []
             for repo, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text and path and (held := endings(path)):
-                    rows += [(repo, path, held[0], *f) for f in held[1](text)]
+                    try:
+                        rows += [(repo, path, held[0], *f) for f in held[1](text)]
+                    except Exception as failed:  # noqa: BLE001  a file that a parser can't take is a fact, not the end of all files
+                        rows.append((repo, path, held[0], "parse_error", type(failed).__name__, "", "", str(failed)[:200], 0))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

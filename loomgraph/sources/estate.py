@@ -47,6 +47,17 @@ PROJECTION: dict[str, str] = {
     "gateway_routes": "SELECT page_id AS id, page_id % 25 AS repo_id, CASE page_id % 2 WHEN 0 THEN 'GET' ELSE 'REQUEST' END AS method, concat('/gw/', split_part(url, '/', 4), '/*') AS path, concat('/', split_part(url, '/', 4)) AS backend_path FROM pages WHERE page_id % 10 = 0",
     "graphql_operations": "SELECT p_partkey AS id, p_partkey % 25 AS repo_id, concat('op_', p_brand) AS name, concat('src/graphql/', lower(p_type), '.graphql') AS file_path FROM part WHERE p_partkey % 20 = 0",
     "graphql_usages": "SELECT p_partkey AS id, p_partkey % 25 AS repo_id, concat('op_', p_brand) AS operation_name, concat('src/views/V', CAST(p_partkey AS VARCHAR(20)), '.ts') AS caller_path, concat('../graphql/', lower(p_type)) AS import_path FROM part WHERE p_partkey % 10 = 3",
+    "graphql_resolvers": "SELECT p_partkey AS id, p_partkey % 25 AS repo_id, concat('op_', p_brand) AS operation_name, concat('Svc', CAST(p_size % 7 AS VARCHAR(20)), '.resolve') AS handler FROM part WHERE p_partkey % 10 = 4",
+    "graphql_permissions": "SELECT p_partkey AS id, p_partkey % 25 AS repo_id, concat('op_', p_brand) AS operation_name, lower(p_type) AS role FROM part WHERE p_partkey % 10 = 9",
+    "graphql_entrypoints": "SELECT p_partkey AS id, p_partkey % 25 AS repo_id, concat('src/graphql/', lower(p_type), '.ts') AS path FROM part WHERE p_partkey % 10 = 4",
+    "triggers": "SELECT s_suppkey AS id, s_suppkey % 25 AS repo_id, concat('job-', CAST(s_suppkey AS VARCHAR(20))) AS name, CASE s_suppkey % 3 WHEN 0 THEN 'timer' WHEN 1 THEN 'queue' ELSE 'http' END AS kind, concat('0 ', CAST(s_suppkey % 60 AS VARCHAR(20)), ' * * * *') AS value FROM supplier",
+    "external_symbols": "SELECT p_partkey AS id, p_partkey % 25 AS repo_id, concat('lib', CAST(p_size % 5 AS VARCHAR(20)), '.', replace(p_name, ' ', '_')) AS name FROM part WHERE p_partkey % 2 = 1",
+    "types": """SELECT s_suppkey AS id, s_suppkey % 5 AS repo_id, s_suppkey % 40 AS file_id, CASE s_suppkey % 7 WHEN 6 THEN 'java.lang' ELSE concat('p', CAST(s_suppkey % 7 AS VARCHAR(20))) END AS package,
+        CASE WHEN s_suppkey % 9 = 4 THEN concat('T', CAST((s_suppkey + 40) % 30 AS VARCHAR(20)), '.T', CAST(s_suppkey % 30 AS VARCHAR(20))) ELSE concat('T', CAST(s_suppkey % 30 AS VARCHAR(20))) END AS name FROM supplier""",
+    "type_bases": "SELECT s_suppkey AS type_id, concat(CASE WHEN s_suppkey % 4 = 0 THEN 'p2.' ELSE '' END, 'T', CAST((s_suppkey * 7 + 5) % 30 AS VARCHAR(20)), CASE WHEN s_suppkey % 3 = 0 THEN '<A<B>>' ELSE '' END) AS base FROM supplier",
+    "type_imports": "SELECT s_suppkey % 40 AS file_id, CASE WHEN s_suppkey % 2 = 0 THEN concat('p', CAST(s_suppkey % 6 AS VARCHAR(20))) ELSE concat('p', CAST(s_suppkey % 7 AS VARCHAR(20)), '.T', CAST(s_suppkey % 30 AS VARCHAR(20))) END AS path, s_suppkey % 2 = 0 AS wildcard FROM supplier",
+    "type_symbols": """SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS repo_id, concat('T', CAST(s_suppkey AS VARCHAR(20))) AS name, CASE s_suppkey % 6 WHEN 0 THEN 'interface' WHEN 1 THEN 'type_alias' WHEN 2 THEN 'hook'
+        WHEN 3 THEN 'component_contract' WHEN 4 THEN 'store' ELSE 'enum_constant' END AS kind FROM supplier""",
     "source_texts": "SELECT doc_id AS function_id, text AS source_code FROM documents",
 }
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -6,8 +6,10 @@ import copy
 import json
 import re
 from dataclasses import dataclass, field
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,23 @@ def diff_ranges(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, RANGES)
 
 
+def diff_table(diffs: DataFrame) -> DataFrame:
+    """Changed lines (file, op, text, low, high) of diffs (diff), each a whole unified diff, parsed where they lie; low and high: the hunk's range."""
+    schema = "file string, op string, text string, low int, high int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                for f in parse_diff(text or ""):
+                    low, high = (f.ranges() or [(None, None)])[0]
+                    rows += [(f.path, op, line, low, high) for _, _, lines in f.hunks for op, line in lines if op != " "]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 3 + [pa.int32()] * 2, strict=True)], names=["file", "op", "text", "low", "high"])
+
+    return diffs.select("diff").mapInArrow(run, schema)
+
+
 def diff_lines(text: str) -> list[tuple[str, str, str]]:
     """(file, op, line) of a diff, context aside."""
     return [(f.path, op, line) for f in parse_diff(text) for _, _, lines in f.hunks for op, line in lines if op != " "]

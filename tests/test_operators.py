@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, impact, resolve, routes, scope, search, snapshots, tables, types, verify
+from loomgraph.operators import flow, graph, impact, resolve, routes, scope, search, snapshots, tables, types, verify
 from loomgraph.sources import inputs
 from loomgraph.streaming import events
 
@@ -74,7 +74,7 @@ def test_verdict_lattice(spark):
 
 def test_breaking_changes(spark):
     diff = "--- a/X.java\n+++ b/X.java\n@@ -1,3 +1,2 @@\n-public Order get(String id, int n) {\n-void gone(int a) {\n-void same(int a) {\n+public Order get(long id) {\n+void same(int a) {\n"
-    found = verify.breaking_changes(spark, inputs.diff_lines(diff))
+    found = verify.breaking_changes(inputs.diff_table(spark.createDataFrame([(diff,), (None,)], "diff string")))
     assert rows(found, "function", "change", "detail") == [("get", "parameter_removed", "n"), ("get", "parameter_type_changed", "id"), ("gone", "endpoint_removed", "")]
 
 
@@ -145,3 +145,68 @@ def test_expand_policies(spark, policy, expected):
     nodes = spark.createDataFrame([("a", "r"), ("b", "q")], "node string, repo string")
     calls = spark.createDataFrame([("a", 3)], "node string, calls int")
     assert graph.expandable(nodes, calls, policy, "r", 5).count() == expected
+
+
+def test_inheritance_is_scoped_and_has_no_depth(spark):
+    """A base is the nearest declaration of its name; chains, enclosing types and cycles are walked to the end."""
+    types_of = [(k, 1, k, "p", f"T{k}") for k in range(20)] + [(100, 1, 100, "q", "T1"), (101, 1, 101, "q", "User"), (102, 1, 102, "q", "User.In"), (103, 1, 102, "q", "User"), (104, 2, 104, "q", "T1")]
+    bases = [(k, f"T{k + 1}<A<B>>") for k in range(19)] + [(19, "T0"), (101, "T1"), (103, "p.T2")]
+    imports = [(102, "p.T9", False), (101, "p", True)]
+    own = spark.createDataFrame(types_of, "id long, repo_id long, file_id long, package string, name string")
+    based = spark.createDataFrame(bases, "type_id long, base string")
+    imported = spark.createDataFrame(imports, "file_id long, path string, wildcard boolean")
+    held = {r.type_id: (r.base_id, r["rank"]) for r in types.resolve_bases(own, based, imported).collect()}
+    assert held == {k: (k + 1, 3) for k in range(19)} | {19: (0, 3), 101: (100, 3), 103: (2, 4)}
+    calls = spark.createDataFrame([(1, 0, "far"), (2, 102, "far"), (3, 101, "far"), (4, 5, "none")], "id long, type_id long, method string")
+    methods = spark.createDataFrame([(77, 19, "far")], "id long, type_id long, method string")
+    assert rows(types.inherited(calls, own, based, imported, methods), "id", "target", "distance") == [(1, 77, 19), (2, 77, 19)]
+
+
+def test_patterns_meet_on_any_literal(spark):
+    """Parameters first, parameters alone, one segment, beginnings, and endpoints beyond the most that a call may have."""
+    stored = ["/:t/orders", "/{a}/{b}", "/ab", "/a/:x/end", "/:t/:u/deep/:v", "/"]
+    endpoints = spark.createDataFrame([(k, "GET", p) for k, p in enumerate(stored)] + [(100 + k, "GET", "/many/:id") for k in range(70)], "id long, method string, path string")
+    asked = ["/x/orders", "/abc/z", "/a/1/end", "/p/q/deep/r", "/many/5", "/"]
+    calls = spark.createDataFrame([(k, "GET", p) for k, p in enumerate(asked)], "id long, http_method string, url_pattern string")
+    held = {}
+    for r in routes.trace_cascade(calls, endpoints).collect():
+        held.setdefault(r.call_id, []).append(r.endpoint_id)
+    found = {k: sorted(v) for k, v in held.items()}
+    assert found[0] == [0, 1] and found[1] == [1, 2] and found[2] == [1, 3] and found[3] == [1, 4] and found[5] == [5]
+    assert found[4] == [1, *range(100, 149)]
+
+
+def test_changes_reach_by_name(spark):
+    changed = spark.createDataFrame([(1,)], "snapshot long")
+    references = spark.createDataFrame([(3, 2)], "snapshot long, target long")
+    declared = spark.createDataFrame([(1, "pay"), (9, "other")], "snapshot long, name string")
+    pending = spark.createDataFrame([(2, "pay"), (4, "other")], "snapshot long, name string")
+    assert rows(graph.affected_snapshots(changed, references, declared, pending), "snapshot") == [(1,), (2,), (3,)]
+
+
+def test_walks_over_functions_of_a_frontier(spark):
+    """A walk may ask for the edges of each level, and merges what it visited now and then."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long").coalesce(1)
+    asked = []
+
+    def near(frontier):
+        asked.append(frontier.count())
+        return links.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi")
+
+    found = graph.bfs(near, spark.createDataFrame([(0,)], "node long"), 18)
+    assert rows(found, "node", "depth") == [(i, i) for i in range(19)] and asked == [1] * 18
+
+
+def test_boundary_edges_of_a_frontier(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    accesses = [(k, k % 3, "E", "write" if k < 3 else "read", k) for k in range(40)]
+    facts = (
+        spark.createDataFrame([(1, 2), (5, 6)], "src long, dst long"), none("id long, caller_function_id long, http_method string, url_pattern string"), none("id long, handler_function_id long, method string, path string"),
+        none("queue_name string, caller_function_id long"), none("id long, queue_name string, handler_function_id long"), none("alias_key string, alias_value string"),
+        spark.createDataFrame(accesses, "id long, repo_id long, entity_name string, access string, caller_function_id long"),
+    )
+    every = rows(flow.boundary_edges(*facts), "src", "dst", "via")
+    readers = {w: [r for r in range(3, 40) if r % 3 != w][:10] for w in range(3)}
+    assert every == sorted([(1, 2, "call"), (5, 6, "call")] + [(w, r, "data") for w in range(3) for r in readers[w]])
+    near = rows(flow.boundary_edges(*facts, spark.createDataFrame([(1,)], "node long")), "src", "dst", "via")
+    assert near == [x for x in every if x[0] == 1]

@@ -223,3 +223,12 @@ def test_columns(spark):
     assert one(C.unresolved_reason(F.lit("System.Out.Write"))) == "stdlib_csharp" and one(C.unresolved_reason(F.lit("Math.abs"))) == "stdlib_js"
     assert one(C.unresolved_reason(F.lit("axios.get"))) == "framework" and one(C.unresolved_reason(F.lit("a[0].b"))) == "dynamic_receiver"
     assert C.search_terms("where is the Order job") == ["order", "job"] and C.search_terms("A.b") == ["A.b"]
+
+
+def test_files_that_parsers_cannot_take(spark, monkeypatch):
+    """Valid JSON of another shape gives what it holds; a parser that fails gives a fact, and other files go on."""
+    assert code.settings('{"extensions": [".ts"]}') == [] or all(x[0] == "alias" for x in code.settings('{"extensions": [".ts"]}'))
+    assert code.settings('{"bindings": ["x", {"type": "httpTrigger", "route": "r"}]}') == [("trigger", "REQUEST", "", "r", "http", 1)]
+    assert code.settings('{"paths": {"/a": []}}') == [] and code.settings("[1]") == [] and code.settings("{") == []
+    files = spark.createDataFrame([("r", "a.sql", "CREATE PROCEDURE p AS SELECT 1"), ("r", "b.xml", "<a><b></a>"), ("r", "c.json", None)], "repo string, path string, text string")
+    assert [(r.path, r.kind) for r in code.parse_files(files).collect()] == [("a.sql", "function")]
