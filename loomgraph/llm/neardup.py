@@ -9,8 +9,9 @@ exhaustively by sketches (``SKETCH`` coordinates, four bits each); larger ones b
 still large then is compared in blocks, exhaustively as well. At similarity 0.75 a tree finds a pair at the first level with probability 0.84,
 at the sixth with 0.58; ten trees miss one with probability 1e-8 to 2e-4.
 
-Candidates whose sketches put the similarity under ``NEAR`` are dropped: 6 standard deviations below 0.75 for large sets; for small ones, whose
-sketches spread wider, none of 900,000 random pairs of 3 and 4, 6 and 8, 9 and 12 shingles fell under it. Others are confirmed on
+Candidates whose sketches put the similarity under a floor are dropped: ``NEAR``, 3.9 standard deviations below 0.75, or ``NEAR_FEW`` if either set has
+``FEW_SHINGLES`` at most, as sketches of small sets spread wider. Of 900,000 random pairs at exactly 0.75 of 3 and 4, 6 and 8, 9 and 12 shingles
+none fell under it; of larger sets about 1 in 20,000 at exactly 0.75 falls under NEAR and is lost unless other texts link the two. Others are confirmed on
 their full shingle sets, recomputed from the texts. So that groups of copies don't give all their pairs, it goes in two rounds:
 
 1. Nodes give spanning forests of their candidates (large nodes: links to their least member); these are confirmed and joined into
@@ -43,7 +44,9 @@ SHINGLE, PERCENT = 5, 75
 #: Minwise tokens, trees, levels, members of a node that is compared at once, members of a block of a larger one.
 COORDINATES, TREES, DEPTH, SMALL, BLOCK = 64, 10, 6, 8192, 1024
 #: Coordinates of a sketch, and least similarity by sketches of a candidate.
-SKETCH, NEAR = 512, 0.62
+SKETCH, NEAR = 512, 0.67
+#: Shingles of a small set, and the least similarity by sketches where one is small.
+FEW_SHINGLES, NEAR_FEW = 16, 0.62
 #: Similarity by sketches of the candidates that a forest takes first; candidates of others that are ranked at once.
 STRONG, RANKED = 0.85, 500_000
 #: Documents whose texts are told from the rest by a broadcast of their ids, at most; more are joined like any table.
@@ -71,13 +74,13 @@ def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def minwise(one: np.ndarray) -> tuple[bytes, bytes]:
-    """A set's tokens (32 bits of COORDINATES coordinates) and its sketch (four bits of SKETCH ones)."""
+    """A set's tokens (32 bits of COORDINATES coordinates) and its sketch (four bits of SKETCH ones, and a byte that tells small sets)."""
     x = (one >> np.uint64(32)).astype(np.uint32)
     least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(x), 512):
         np.minimum(least, (x[at : at + 512, None] * MULTIPLIERS[None, :]).min(0), out=least)
     low = (least & np.uint32(15)).astype(np.uint8)
-    return least[:COORDINATES].astype("<u4").tobytes(), (low[::2] << 4 | low[1::2]).tobytes()
+    return least[:COORDINATES].astype("<u4").tobytes(), (low[::2] << 4 | low[1::2]).tobytes() + bytes([len(one) <= FEW_SHINGLES])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -143,16 +146,21 @@ def branched(rows: DataFrame, trees: int = 0) -> DataFrame:
 
 
 def as_sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH // 2 + 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities by sketches; four bits agree by chance in a sixteenth of the places."""
-    apart = a ^ b
+    apart = a[:, : SKETCH // 2] ^ b[:, : SKETCH // 2]
     equal = (((apart & 15) == 0).sum(1) + ((apart & 240) == 0).sum(1)) / SKETCH
     return (equal - 1 / 16) / (15 / 16)
 
 
+def candidate(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Whether likenesses reach the floor of their pairs."""
+    return share >= np.where((a[:, -1] | b[:, -1]) > 0, NEAR_FEW, NEAR)
+
+
 def neighbours(node: np.ndarray, d: int, side: np.ndarray) -> np.ndarray:
     """Rows whose d-th next row lies in their node, on another side (a negative side is none); rows are sorted by node."""
     i = np.flatnonzero(node[:-d] == node[d:])
@@ -169,7 +177,7 @@ def close_pairs(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side:
         i = i[part[i] != part[i + d]]
         for at in range(0, len(i), 20_000):
             some = i[at : at + 20_000]
-            some = some[likeness(sketches[some], sketches[some + d]) >= NEAR]
+            some = some[candidate(sketches[some], sketches[some + d], likeness(sketches[some], sketches[some + d]))]
             ones.append(some)
             twos.append(some + d)
     return np.concatenate(ones), np.concatenate(twos)
@@ -202,7 +210,7 @@ def spanning(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side: np.
             join(ones[order], twos[order])
             held.clear()
 
-    for least in (STRONG, NEAR):
+    for strong in (True, False):
         size = 0
         for d in range(1, len(node)):
             if not (node[:-d] == node[d:]).any():
@@ -212,8 +220,8 @@ def spanning(node: np.ndarray, sketches: np.ndarray, part: np.ndarray, side: np.
             for at in range(0, len(i), 20_000):
                 some = i[at : at + 20_000]
                 share = likeness(sketches[some], sketches[some + d])
-                good = share >= least
-                if least == STRONG:
+                good = share >= STRONG if strong else candidate(sketches[some], sketches[some + d], share)
+                if strong:
                     join(some[good], some[good] + d)
                 elif good.any():
                     held.append((share[good], some[good], some[good] + d))
@@ -275,7 +283,8 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                good = likeness(as_sketches(batch.column(2)), as_sketches(batch.column(3))) >= NEAR
+                ones, twos = as_sketches(batch.column(2)), as_sketches(batch.column(3))
+                good = candidate(ones, twos, likeness(ones, twos))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     return rows.select("a", "b", "sketch", "other").mapInArrow(run, schema)
