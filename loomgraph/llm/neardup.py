@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.common import by_size, document_key, give_back, lower_ascii, packed_texts, release, stored, unpack, word_hashes
-from loomgraph.llm.components import components
+from loomgraph.llm.components import components, in_few
 from loomgraph.llm.substrings import ODD, mix
 
 #: Words of a shingle; least similarity in percent.
@@ -309,7 +309,8 @@ def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The texts that pairs name. If these are FEW at most, their ids are broadcast, so that other texts aren't shuffled."""
-    wanted = stored(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "near-wanted")
+    ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    wanted = stored(in_few(ends, 2 * pairs.count()), "near-wanted")
     return texts if wanted.count() > FEW else texts.join(F.broadcast(wanted), "doc", "left_semi")
 
 
@@ -322,7 +323,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     kind = pairs.schema["a"].dataType
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS).select("a", F.ceil(F.col("n") / MEMBERS).alias("salts"))
     salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0))
-    dealt = pairs.join(stored(many, "near-many"), "a", "left").select("a", "b", salt.alias("salt"))
+    dealt = pairs.join(stored(in_few(many, pairs.count() // MEMBERS), "near-many"), "a", "left").select("a", "b", salt.alias("salt"))
     member = dealt.select("a", "salt", F.col("b").alias("doc"), F.lit(True).alias("member"))
     head = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc"), F.lit(False).alias("member"))
     sent = member.unionByName(head).join(texts_of(pairs, texts.select("doc", "text")), "doc").select("a", "salt", "member", "doc", "text")
@@ -378,10 +379,10 @@ def parted(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     return held.withColumn("part", F.xxhash64("part")).withColumn("side", F.lit(-1).cast("long"))
 
 
-def contracted(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs between components, each once, in place of pairs of documents."""
+def contracted(pairs: DataFrame, joined: DataFrame, most: int) -> DataFrame:
+    """Pairs between components, each once, in place of at most so many pairs of documents."""
     ends = part_of(part_of(pairs, "a", joined, "a"), "b", joined, "b")
-    return stored(ordered_pairs(ends), "near-contracted")
+    return stored(in_few(ordered_pairs(ends), most), "near-contracted")
 
 
 def mixed(rows: DataFrame) -> DataFrame:
@@ -418,13 +419,13 @@ def labels(reps: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = D
         clouds = clouds.unionByName(candidates(level, small, block if step == depth - 1 else None))
         release(spark)
     # from here on components stand for their documents, so that what is joined already isn't walked again
-    cloud = components(contracted(clouds, joined)).select(F.col("v").alias("p"), F.xxhash64("c").alias("node"))
+    cloud = components(contracted(clouds, joined, clouds.count())).select(F.col("v").alias("p"), F.xxhash64("c").alias("node"))
     members = part_of(reps.select("doc"), "doc", joined, "p").join(cloud, "p").select("doc", "node")
     several = stored(mixed(parted(members, joined)).drop("side").join(sketches, "doc"), "near-clouds")
     more = ordered_pairs(compare_nodes(in_blocks(several, block), True)).join(tried, ["a", "b"], "left_anti")
     more = stored(more, "near-pairs")
     release(spark)
-    last = components(contracted(confirm(more, texts), joined))
+    last = components(contracted(confirm(more, texts), joined, more.count()))
     return part_of(part_of(reps.select("doc"), "doc", joined, "p"), "p", last, "c").select("doc", "c")
 
 
