@@ -9,7 +9,7 @@ from loomgraph.functions.columns import unresolved_reason
 from loomgraph.operators.scope import first_of, unique
 
 #: Source and confidence of each tier, in order: fixed values.
-TIERS = [("same_file", "high"), ("qualified_repo", "high"), ("same_class_this", "high"), ("same_class_simple", "high"), ("unique_repo", "medium")]
+TIERS = [("same_file", "high"), ("qualified_repo", "high"), ("same_class_this", "high"), ("same_class_simple", "high"), ("java_inherited_repo", "medium"), ("unique_repo", "medium")]
 #: Language families whose names meet across repositories, and those that fold case: fixed values.
 FAMILIES = {"java": "jvm", "kotlin": "jvm", "javascript": "js", "typescript": "js", "vue": "js", "csharp": "dotnet", "go": "go", "sql": "sql", "powershell": "powershell", "rpgle": "ibmi", "sqlrpgle": "ibmi", "clle": "ibmi", "dds": "ibmi"}
 FOLDED = ("ibmi", "powershell", "sql")
@@ -31,10 +31,10 @@ def suffixes(name: Column) -> Column:
     return F.transform(at, lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "."))
 
 
-def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, functions: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
     """calls (id, caller_function_id, callee_name, is_callback_argument) with callee_function_id, source and confidence.
 
-    functions: identified functions. All lookups are unique keys, so every join keeps one row a call; a tier that finds
+    functions: identified functions; inherited: (id, target), calls that types.inherited answers, if bases are known. All lookups are unique keys, so every join keeps one row a call; a tier that finds
     several targets falls through to the next.
     """
     own = functions.select(F.col("id").alias("fid"), "file_id", "repo_id", F.coalesce("snapshot_id", F.lit(-1)).alias("snap"), "name", "simple_name", "language")
@@ -43,7 +43,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     names = own.select(*scope, "fid", F.explode(F.array_distinct(F.concat(F.array("name"), F.when(F.col("language") == "java", suffixes(F.col("name"))).otherwise(F.array().cast("array<string>"))))).alias("k2"))
     by_suffix = unique(names.distinct(), [*scope, "k2"], "fid", "t2")
     by_name = unique(own, [*scope, "name"], "fid", "t3")
-    by_simple = unique(own, [*scope, "simple_name"], "fid", "t5").withColumnRenamed("simple_name", "k5")
+    by_simple = unique(own, [*scope, "simple_name"], "fid", "t6").withColumnRenamed("simple_name", "k6")
     caller = own.select(F.col("fid").alias("caller_function_id"), "file_id", *scope, class_of(F.col("name")).alias("cls"))
     callee = F.col("callee_name")
     own_method = F.regexp_extract(callee, r"^this\.([^.]+)$", 1)
@@ -55,16 +55,18 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
         .withColumn("k2", F.when(dotted(callee), callee).otherwise(none))
         .withColumn("k3", F.when(own_method != "", F.concat("cls", F.lit("."), own_method)).otherwise(none))
         .withColumn("k4", F.when(~dotted(callee), F.concat("cls", F.lit("."), callee)).otherwise(none))
-        .withColumn("k5", F.when(~dotted(callee), callee).otherwise(none))
+        .withColumn("k6", F.when(~dotted(callee), callee).otherwise(none))
         .join(by_file, ["file_id", "k1"], "left")
         .join(by_suffix, [*scope, "k2"], "left")
         .join(by_name.withColumnRenamed("name", "k3"), [*scope, "k3"], "left")
         .join(by_name.select(*scope, F.col("name").alias("k4"), F.col("t3").alias("t4")), [*scope, "k4"], "left")
-        .join(by_simple, [*scope, "k5"], "left")
+        .join(by_simple, [*scope, "k6"], "left")
     )
-    target = F.coalesce("t1", "t2", "t3", "t4", "t5")
+    above = F.lit(None).cast("long").alias("t5")
+    rows = rows.select("*", above) if inherited is None else rows.join(inherited.select("id", F.col("target").alias("t5")), "id", "left")
+    target = F.coalesce(*(f"t{k}" for k in range(1, len(TIERS) + 1)))
     source, confidence = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in range(5, 0, -1):
+    for k in range(len(TIERS), 0, -1):
         source = F.when(F.col(f"t{k}").isNotNull(), TIERS[k - 1][0]).otherwise(source)
         confidence = F.when(F.col(f"t{k}").isNotNull(), TIERS[k - 1][1]).otherwise(confidence)
     out = rows.withColumn("callee_function_id", target).withColumn("source", source).withColumn("confidence", confidence)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import closure
 from loomgraph.operators.scope import first_of, unique
+from loomgraph.operators.tables import checkpointed
 
 
 def copy_snapshot(facts: DataFrame, source: int, target: int) -> DataFrame:
@@ -34,6 +35,32 @@ def prunable(snapshots: DataFrame, keep: int) -> DataFrame:
     return snapshots.join(needed.select(F.col("node").alias("id")), "id", "left_anti")
 
 
+class Busy(RuntimeError):
+    """A workspace is being indexed; pruning has to wait."""
+
+
+def prune(snapshots: DataFrame, selected: DataFrame, keep: int, before: Column, busy: DataFrame | None = None) -> DataFrame:
+    """Snapshots that a prune removes, as a dry run lists them: finished before a time, not among the newest keep of their workspace and repository, not
+    selected (id), and not needed by any that stays, directly or not. Refused while a workspace of theirs is busy (workspace_id), and where nothing would be kept.
+    """
+    if keep < 1:
+        raise ValueError("a prune keeps at least one generation of each repository and workspace")
+    if busy is not None and (held := snapshots.join(busy, "workspace_id", "left_semi").select("workspace_id").first()):
+        raise Busy(f"workspace {held[0]} is busy")
+    old = snapshots.filter(F.col("finished_at") < before).select("id")
+    out = old.join(retained(snapshots, keep).select("id"), "id", "left_anti").join(selected.select("id"), "id", "left_anti")
+    out = checkpointed(out)
+    stay = snapshots.select("id").join(out, "id", "left_anti").select(F.col("id").alias("node"))
+    edges = snapshots.filter(F.col("depends_on").isNotNull()).select(F.col("id").alias("src"), F.col("depends_on").alias("dst"))
+    gone = out.join(closure(edges, stay).select(F.col("node").alias("id")), "id", "left_anti")
+    return snapshots.join(gone, "id", "left_semi")
+
+
+def pruned(facts: DataFrame, gone: DataFrame) -> DataFrame:
+    """facts without those of the snapshots that prune lists; facts without a snapshot stay."""
+    return facts.join(gone.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_anti")
+
+
 def unchanged(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Candidates (path, content_hash) whose path is stored with the same hash."""
     return candidates.join(stored.select("path", "content_hash").distinct(), ["path", "content_hash"], "left_semi")

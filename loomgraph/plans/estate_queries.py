@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import analysis, boundaries, flows, registry, resolution  # noqa: F401  importing a module registers its queries
+from loomgraph.plans import analysis, boundaries, flows, integrations, registry, resolution  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

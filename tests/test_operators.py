@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import flow, graph, impact, resolve, routes, scope, search, snapshots, tables, types, verify
+from loomgraph.operators import flow, graph, impact, integrations, resolve, routes, scope, search, snapshots, tables, types, verify
 from loomgraph.sources import inputs
 from loomgraph.streaming import events
 
@@ -210,3 +210,41 @@ def test_boundary_edges_of_a_frontier(spark):
     assert every == sorted([(1, 2, "call"), (5, 6, "call")] + [(w, r, "data") for w in range(3) for r in readers[w]])
     near = rows(flow.boundary_edges(*facts, spark.createDataFrame([(1,)], "node long")), "src", "dst", "via")
     assert near == [x for x in every if x[0] == 1]
+
+
+def chain_of_snapshots(spark):
+    """Eleven generations of one repository, finished on successive days, each but the first depending on nothing; the newest needs 4, which needs 2."""
+    held = [(i, "r", 1, i, f"2024-01-{i:02d}", {11: 4, 4: 2}.get(i)) for i in range(1, 12)]
+    return spark.createDataFrame(held, "id long, repo_name string, workspace_id long, generation long, finished_at string, depends_on long").withColumn("finished_at", F.to_timestamp("finished_at"))
+
+
+def test_prune_lists_and_protects(spark):
+    held = chain_of_snapshots(spark)
+    selected, facts = spark.createDataFrame([(6,)], "id long"), spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, snapshot_id long")
+    gone = snapshots.prune(held, selected, 2, F.to_timestamp(F.lit("2024-01-09")))
+    assert rows(gone, "id") == [(1,), (3,), (5,), (7,), (8,)]
+    assert rows(snapshots.pruned(facts, gone), "id") == [(2,), (3,)]
+
+
+def test_prune_refuses(spark):
+    held, none = chain_of_snapshots(spark), spark.createDataFrame([], "id long")
+    before = F.to_timestamp(F.lit("2024-01-09"))
+    with pytest.raises(snapshots.Busy):
+        snapshots.prune(held, none, 1, before, spark.createDataFrame([(1,)], "workspace_id long"))
+    assert snapshots.prune(held, none, 1, before, spark.createDataFrame([(2,)], "workspace_id long")).count() == 6
+    with pytest.raises(ValueError):
+        snapshots.prune(held, none, 0, before)
+
+
+def test_queue_integrations(spark):
+    producers = spark.createDataFrame([(1, "%Jobs%", 3), (1, "URL_KEY", 4), (2, "lost", None), (3, None, 1)], "caller_function_id long, queue_name string, line_number int")
+    consumers = spark.createDataFrame([(7, 70, "jobs"), (8, 80, "target")], "repo_id long, handler_function_id long, queue_name string")
+    aliases = spark.createDataFrame([("URL_KEY", "shared"), ("target", "shared"), ("", "jobs")], "alias_key string, alias_value string")
+    found = integrations.queues(producers, consumers, aliases)
+    assert rows(found, "caller_function_id", "line", "target_function_id", "resolution") == [(1, 3, 70, "matched"), (1, 4, 80, "matched"), (2, 0, None, "unresolved"), (3, 1, None, "unresolved")]
+
+
+def test_class_methods(spark):
+    classes = spark.createDataFrame([(1, 9, "A", 1, 50), (2, 9, "A.B", 5, 20)], "id long, file_id long, name string, start_line int, end_line int")
+    functions = spark.createDataFrame([(1, 9, "A.run", 2, 4), (2, 9, "A.B.go", 6, 8), (3, 9, "A.far", 49, 51), (4, 8, "A.run", 2, 4), (5, 9, "plain", 2, 3)], "id long, file_id long, name string, start_line int, end_line int")
+    assert rows(integrations.methods_of(classes, functions), "class_id", "function_id") == [(1, 1), (1, 2), (2, 2)]
