@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 from itertools import count
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,13 +145,32 @@ def distinct_siblings(nodes: DataFrame) -> DataFrame:
 
 
 def expandable(nodes: DataFrame, calls_of: DataFrame, policy: str, root_repo: str, most_calls: int) -> DataFrame:
-    """Nodes that a walk goes on from: leaf none, full all, smart those of the root's repository with few calls."""
+    """Nodes that a walk goes on from: leaf none, full all, smart those of the root's repository with one call to most_calls."""
     if policy == "leaf":
         return nodes.limit(0)
     if policy == "full":
         return nodes
-    counted = nodes.join(calls_of, "node", "left")
-    return counted.filter((F.col("repo") == root_repo) & (F.coalesce("calls", F.lit(0)) <= most_calls)).drop("calls")
+    return nodes.join(calls_of, "node").filter((F.col("repo") == root_repo) & F.col("calls").between(1, most_calls)).drop("calls")
+
+
+def traced(direct: DataFrame, guessed: DataFrame, owners: DataFrame, roots: DataFrame, profile: dict[str, Any]) -> DataFrame:
+    """A walk within a profile's depth and nodes, as tree_rows gives it. Direct edges (src, dst) are always followed; guessed ones where the profile resolves,
+    and what they reach is a leaf unless its expansion is full, or smart and the target is of the caller's repository with few direct calls.
+    owners: (node, repo).
+    """
+    edges = direct.select("src", "dst").distinct().withColumn("edge_type", F.lit("call"))
+    if profile["resolve"]:
+        more = guessed.select("src", "dst").distinct()
+        kind = F.lit("resolved" if profile["expand"] == "full" else "resolved_leaf")
+        if profile["expand"] == "smart":
+            counted = direct.select("src", "dst").distinct().groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("calls"))
+            own = owners.select(F.col("node").alias("src"), F.col("repo").alias("src_repo"))
+            other = owners.select(F.col("node").alias("dst"), F.col("repo").alias("dst_repo"))
+            more = more.join(own, "src", "left").join(other, "dst", "left").join(counted, "dst", "left")
+            kind = F.when((F.col("src_repo") == F.col("dst_repo")) & F.col("calls").between(1, profile["calls"]), "resolved").otherwise(kind)
+        edges = edges.unionByName(more.select("src", "dst", kind.alias("edge_type")))
+    reached = bfs(checkpointed(edges), roots, profile["depth"], F.col("edge_type") != "resolved_leaf")
+    return tree_rows(reached, profile["nodes"])
 
 
 def tiered_edges(*sources: DataFrame) -> DataFrame:

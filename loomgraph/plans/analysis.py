@@ -173,12 +173,12 @@ def tiered(spark, sf):
     return graph.tiered_edges(rows.filter("is_async").drop("is_async"), rows.filter("NOT is_async").drop("is_async")).select("src", "id", "tier")
 
 
-@query("r11_smart_expansion", f"{IDENT_TABLES} function_calls", f"WITH {IDENT}, n AS (SELECT caller_function_id AS id, count(*) AS c FROM function_calls GROUP BY 1) SELECT i.id FROM ident i LEFT JOIN n ON n.id = i.id WHERE repo_name = 'NATION_3' AND coalesce(c, 0) <= 8")
+@query("r11_smart_expansion", f"{IDENT_TABLES} function_calls", f"WITH {IDENT}, n AS (SELECT caller_function_id AS id, count(*) AS c FROM function_calls GROUP BY 1) SELECT i.id FROM ident i LEFT JOIN n ON n.id = i.id WHERE repo_name = 'NATION_3' AND c BETWEEN 1 AND 30")
 def smart(spark, sf):
     (calls,) = tables(spark, sf, "function_calls")
     nodes = ident(spark, sf).select(F.col("id").alias("node"), F.col("repo_name").alias("repo"))
     counted = calls.groupBy(F.col("caller_function_id").alias("node")).agg(F.count("*").alias("calls"))
-    return graph.expandable(nodes, counted, "smart", "NATION_3", 8).select(F.col("node").alias("id"))
+    return graph.expandable(nodes, counted, "smart", "NATION_3", 30).select(F.col("node").alias("id"))
 
 
 @query("r12_distinct_siblings", "function_calls", "SELECT min(id) AS id FROM function_calls GROUP BY caller_function_id, callee_name, is_async")

@@ -17,8 +17,13 @@ from loomgraph.functions.columns import glob_regex
 
 RANGES = "path string, old_path string, low int, high int, is_new boolean, is_deleted boolean, is_binary boolean"
 SCHEDULES = "ruleName string, scheduleExpression string, targetType string, targetName string, state string, source string"
-#: Tuning profiles of a trace: depth, nodes, calls that a smart expansion follows.
-PROFILES = {"fast": {"depth": 4, "nodes": 2_000, "calls": 8}, "balanced": {"depth": 8, "nodes": 5_000, "calls": 20}, "deep": {"depth": 16, "nodes": 10_000, "calls": 60}}
+#: Tuning profiles of a trace: depth, nodes, whether calls resolved by guess count, which of their targets a walk goes on from, and for smart at most how
+#: many calls those may have. Fixed values.
+PROFILES = {
+    "fast": {"depth": 4, "nodes": 2_000, "resolve": False, "expand": "leaf", "calls": 0},
+    "balanced": {"depth": 4, "nodes": 2_000, "resolve": True, "expand": "smart", "calls": 12},
+    "deep": {"depth": 5, "nodes": 5_000, "resolve": True, "expand": "full", "calls": 0},
+}
 
 
 class DiffError(ValueError):
