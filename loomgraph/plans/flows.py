@@ -11,6 +11,7 @@ from loomgraph.plans.boundaries import CASCADE, CONSUMERS, MEANING, METHOD
 from loomgraph.plans.registry import IDENT, query
 from loomgraph.plans.resolution import IDENT_TABLES, RESOLVED, ident, resolved
 from loomgraph.sources import code, inputs
+from loomgraph.sources.configured import parse_configured
 from loomgraph.sources.estate import tables
 
 FLOW_TABLES = "functions function_calls http_client_calls endpoints sqs_producers sqs_consumers resource_aliases data_accesses"
@@ -245,19 +246,35 @@ def filled(text: str) -> str:
     return f"replace(replace('{text.replace(chr(39), chr(39) * 2)}', '§', CAST(id AS VARCHAR)), '¤', simple_name)"
 
 
-def parsing(ending: str, source: str):
+def configured(files):
+    return parse_configured(files, SETTINGS)
+
+
+def parsing(ending: str, source: str, parse=code.parse_files):
     def run(spark, sf):
         (functions,) = tables(spark, sf, "functions")
         text = F.replace(F.replace(F.lit(source), F.lit("§"), F.col("id").cast("string")), F.lit("¤"), F.col("simple_name"))
         files = functions.select(F.lit("r").alias("repo"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(f".{ending}")).alias("path"), text.alias("text"))
-        return code.parse_files(files).select("path", "kind", "name", "target", "line")
+        return parse(files).select("path", "kind", "name", "target", "line")
 
     return run
 
 
-for _name, (_ending, _source, _facts) in RENDERED.items():
+#: An estate's own conventions, and sources that follow them.
+SETTINGS = {
+    "http_clients": [{"name": "own", "language": "javascript", "objects": ["client9"], "methods": {"fetchrecords": "GET"}}, {"name": "submit", "language": "javascript", "objects": ["submitRequest"], "methods": {"": "POST"}}, {"name": "java", "language": "java", "contains": ["resourceClient."], "methods": {"saveResource": "POST"}}],
+    "javascript_queues": {"load_receivers": ["messageClient"], "send_methods": ["enqueueTask"], "read_methods": ["readPending"]},
+    "graphql_registrations": [{"receiver": "registry", "method": "load", "controllers_path_key": "directory"}],
+    "java_sqs": {"queue_annotation": "QueueBinding", "queue_enum": "QueueNames", "consumer_types": ["MessageWorker"], "handler_method": "handle", "constant_suffix": "_QUEUE"},
+}
+CONFIGURED = {
+    "v02_configured_scripts": ("ts", "function ¤() {\n  client9.fetchRecords('/r/§');\n  submitRequest('/s/§');\n  // client9.fetchRecords('/no');\n  const q = messageClient.load('tasks-§');\n  q.enqueueTask(1);\n  registry.load({directory: path.join(__dirname, 'res§')});\n}\n", [("http_call", "GET", "/r/§", 2), ("http_call", "POST", "/s/§", 3), ("queue_producer", "tasks-§", "", 6), ("graphql_controllers", "registry", "res§", 7)]),
+    "v02_configured_java": ("java", "@QueueBinding(QueueNames.E§_QUEUE)\npublic class C§ implements MessageWorker<Order> {\n  public void handle(Order o) {\n    this.resourceClient.saveResource(\"/o/§\");\n  }\n}\n", [("queue_consumer", "E§", "C§.handle", 3), ("http_call", "POST", "/o/§", 4)]),
+}
+
+for _name, (_ending, _source, _facts) in (RENDERED | CONFIGURED).items():
     _sql = " UNION ALL ".join(f"SELECT concat('f', CAST(id AS VARCHAR), '.{_ending}') AS path, '{kind}' AS kind, {filled(name)} AS name, {filled(target)} AS target, {line} AS line FROM functions" for kind, name, target, line in _facts)
-    query(_name, "functions", _sql)(parsing(_ending, _source))
+    query(_name, "functions", _sql)(parsing(_ending, _source, configured if _name in CONFIGURED else code.parse_files))
 
 
 @query("d07_active_snapshots", "repo_snapshots", "SELECT workspace_id, repo_name, max(id) AS snapshot_id FROM repo_snapshots s WHERE generation = (SELECT max(generation) FROM repo_snapshots t WHERE t.workspace_id = s.workspace_id AND t.repo_name = s.repo_name) GROUP BY 1, 2")

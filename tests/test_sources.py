@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import columns as C
-from loomgraph.sources import code, inputs
+from loomgraph.sources import code, configured, inputs
 
 JS = """import axios from 'axios';
 class Orders extends Base implements Store {
@@ -232,3 +232,20 @@ def test_files_that_parsers_cannot_take(spark, monkeypatch):
     assert code.settings('{"paths": {"/a": []}}') == [] and code.settings("[1]") == [] and code.settings("{") == []
     files = spark.createDataFrame([("r", "a.sql", "CREATE PROCEDURE p AS SELECT 1"), ("r", "b.xml", "<a><b></a>"), ("r", "c.json", None)], "repo string, path string, text string")
     assert [(r.path, r.kind) for r in code.parse_files(files).collect()] == [("a.sql", "function")]
+
+
+def test_configured_extraction():
+    queues = {"javascript_queues": {"load_receivers": ["mc"], "send_methods": ["put"], "read_methods": ["take"]}}
+    text = "other.put(1);\nmc.load('a').put(1);\nconst x = await mc.load(`b`);\nx.take();\nmc.put(2);\n// x.take()\n"
+    assert [(f[0], f[1], f[5]) for f in configured.found("javascript", text, queues)] == [("queue_producer", "a", 2), ("queue_consumer", "b", 4), ("queue_producer", "b", 5)]
+    both = [{"name": n, "language": "java", "contains": ["rc."], "methods": {"go": v, "only": "GET"}} for n, v in (("p", "GET"), ("q", "POST"))]
+    held = configured.found("java", 'class A { void f() { rc.go("/a"); rc.only("/b"); other.only("/c"); rc.odd("/d"); } }', {"http_clients": both})
+    assert [(f[1], f[3]) for f in held] == [("GET", "/b")]
+    assert configured.found("typescript", "r.load('src/resolvers')", {"graphql_registrations": [{"receiver": "r", "method": "load"}]})[0][3] == "src/resolvers"
+    assert configured.found("go", text, queues) == [] and configured.found("javascript", text, {}) == []
+
+
+@pytest.mark.parametrize("odd", [{"odd": 1}, {"http_clients": [{"language": "go"}]}, {"http_clients": [{"language": "java", "methods": {"a": "FETCH"}}]}])
+def test_configured_extraction_refuses(odd):
+    with pytest.raises(ValueError):
+        configured.checked(odd)
