@@ -1,11 +1,14 @@
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import flow, graph, impact, integrations, resolve, routes, scope, search, snapshots, tables, types, verify
+from loomgraph.plans import estate_queries
 from loomgraph.sources import inputs
 from loomgraph.streaming import events
+from tests.conftest import same_rows
 
 
 def rows(df, *columns):
@@ -46,6 +49,23 @@ def test_walks(spark):
     assert graph.bfs(edges, root.limit(0), 3).count() == 0
 
 
+def test_walks_end_where_no_edge_leaves(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 3), (3, 4), (4, 5), (6, 7)], "src long, dst long")
+    # towards a node that is never reached, and past one that is; a doubled edge is walked twice
+    assert rows(graph.walks(edges, 1, 9), "step", "src", "dst") == [(1, 1, 2), (2, 2, 3), (2, 2, 3), (3, 3, 4), (3, 3, 4), (4, 4, 5), (4, 4, 5)]
+    assert rows(graph.walks(edges, 1, 3), "step", "src", "dst") == [(1, 1, 2), (2, 2, 3), (2, 2, 3)]
+    assert graph.walks(edges, 8, 9).count() == 0
+
+
+def test_path_query_on_short_and_long_conversations(spark, tmp_path):
+    """Conversation 3 ends before 304; the hundredth turn of conversation 2 bears the number of the first of 3."""
+    turns = [(2, t) for t in range(105)] + [(3, t) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    held = duckdb.connect()
+    held.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    same_rows(estate_queries.queries()["r01_shortest_path"](spark, str(tmp_path)), held, estate_queries.oracle_sql()["r01_shortest_path"])
+
+
 def test_closures_have_no_depth(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
     start = spark.createDataFrame([(0,)], "node long").coalesce(1)
