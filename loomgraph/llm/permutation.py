@@ -10,8 +10,8 @@ double precision, and the best ``k`` of all shards are the result. Equal vectors
 copies neither push others out of what is reranked nor get lost; vectors that tie with the last one reranked are reranked too.
 
 Pivots are distinct vectors of a bounded sample (``SAMPLE`` rows at most, lowest hashes of the id), drawn from it at random with a fixed seed;
-every row is indexed. Queries go to shards in blocks: a pair of blocks is one row, so neither all pairs nor all queries meet in one place, and
-a shard gives at most k rows for a query.
+every row is indexed. Queries go to shards in blocks: a pair of blocks is one row, a task reads a part of the index and a part of the blocks, so neither all pairs nor
+all queries meet in one place, and a shard gives at most k rows for a query.
 
 Vectors that are null, zero, of another length than the commonest (the shorter of equals), or hold null or non-finite components take no part, as
 queries or candidates; rows with a null id likewise. With fewer candidates than k all are returned, an empty table
@@ -48,8 +48,20 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def pivots_of(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Distinct vectors of a bounded sample, drawn at random with a fixed seed."""
-    rows = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
+    """Distinct vectors of a bounded sample, drawn at random with a fixed seed.
+
+    The sample is written before it is collected: the driver gets its rows once, and not the lowest of every task. Rows that can't be among the lowest
+    hashes go first, so that the task that orders the rest reads no more as the table grows.
+    """
+    order = ["h", "vec_id", "v"]
+    lowest = lambda rows: stored(rows.orderBy(*order).limit(sample), "ann-sample")
+    keyed = vectors.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v")
+    n = vectors.count()
+    held = lowest(keyed.filter(F.col("h") < F.lit(2**65 * sample // n - 2**63)) if n > 4 * sample else keyed)
+    # hashes of ids that many rows repeat may leave too few
+    if n > 4 * sample and held.count() < sample:
+        held = lowest(keyed)
+    rows = held.orderBy(*order).collect()
     if not rows:
         return np.zeros((0, 0))
     pool = np.array([r.v for r in rows]) + 0.0
@@ -179,10 +191,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     base = stored(every.filter(F.size("v") == width), "ann-vectors")
     centre = pivots_of(base, pivots)
     prefix = min(prefix, len(centre))
-    index, shards = build(base, centre, prefix, shard)
+    index, _ = build(base, centre, prefix, shard)
     asked = asked_blocks(stored(usable(queries).filter(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-asked"), centre, prefix)
-    # each pair of a block and a shard is a row: blocks are copied to every shard by an equi-join on the shard's number
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).join(index, "shard")
+    # each pair of a block and a shard is a row, met where the stored tables are read: neither is copied by a shuffle, and blocks are broadcast only while
+    # their own table is small, not their copies for every shard
+    pairs = index.crossJoin(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -136,6 +136,30 @@ def test_footrule():
             assert found[i, j] == sum(abs(rank(p, q) - rank(p, s)) for p in set(q) | set(s))
 
 
+def test_driver_gets_the_sample_once(spark):
+    """The same sample as by ordering all rows, whose rows reach the driver once and not for every task; no table of blocks copied for shards is broadcast."""
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(4000)], "vec_id long, v array<double>").repartition(40).cache()
+    vectors.count()
+    store, none = spark._jsc.sc().statusStore(), spark._sc._gateway.new_array(spark._jvm.double, 0)
+
+    def sent():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    before = sent()
+    found = permutation.pivots_of(vectors, 100, 100)
+    # 100 rows of 64 doubles; of 40 tasks it would be 40 times as much
+    assert sent() - before < 1_000_000
+    expected = vectors.orderBy(F.xxhash64("vec_id")).limit(100).select("v").collect()
+    assert {tuple(x) for x in found} == {tuple(r.v) for r in expected}
+    repeated = spark.createDataFrame([(i % 3, [float(i), 1.0]) for i in range(500)], "vec_id long, v array<double>")
+    assert len(permutation.pivots_of(repeated, 50, 50)) == 50
+    plan = permutation.nearest(vectors.withColumnRenamed("v", "embedding"), vectors.withColumnRenamed("v", "embedding").limit(20), shard=500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    vectors.unpersist()
+
+
 def test_nearest_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (100, [1.0, 0.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (9, [])]
