@@ -75,6 +75,55 @@ def test_large_lookups_are_not_broadcast(spark, sf, monkeypatch):
     assert not joins(plan())
 
 
+def boundary_facts(spark):
+    """A queue that functions both send to and consume, an entity of several repositories, HTTP calls, plain calls."""
+    calls = spark.createDataFrame([(1, 2), (2, 2), (2, 3), (9, 1)], "src long, dst long")
+    http = spark.createDataFrame([(1, 3, "GET", "/a/b"), (2, 5, "ANY", "/c/d"), (3, 7, "GET", "/a/b")], "id long, caller_function_id long, http_method string, url_pattern string")
+    endpoints = spark.createDataFrame([(1, 7, "GET", "/a/b"), (2, 8, "REQUEST", "/a/b"), (3, 8, "POST", "/c/:x")], "id long, handler_function_id long, method string, path string")
+    producers = spark.createDataFrame([(n, "q.fifo" if n % 2 else "q") for n in range(1, 7)], "caller_function_id long, queue_name string")
+    consumers = spark.createDataFrame([(k, "Q", n) for k, n in enumerate([2, 3, 3, 11, 12])], "id long, queue_name string, handler_function_id long")
+    aliases = spark.createDataFrame([], "alias_key string, alias_value string")
+    accesses = spark.createDataFrame([("E", "write", 1, 4), ("e", "write", 2, 4), ("E", "read", 1, 13), ("E", "read", 2, 14), ("E", "read", 2, 4)], "entity_name string, access string, repo_id long, caller_function_id long")
+    return calls, http, endpoints, producers, consumers, aliases, accesses
+
+
+def test_boundary_counts_are_those_of_all_edges(spark):
+    facts = boundary_facts(spark)
+    every = flow.boundary_edges(*facts).groupBy("src", "via", "what").agg(F.count("*").alias("n"), F.sum("dst").alias("targets"))
+    columns = ("src", "via", "what", "n", "targets")
+    found = flow.boundary_counts(*facts)
+    assert rows(found, *columns) == rows(every, *columns)
+    # 2 and 3 consume what they send
+    assert {(2, "sqs", "q", 3, 26), (3, "sqs", "q.fifo", 3, 25)} <= set(rows(found, *columns))
+
+
+def test_boundary_steps_walk_as_all_edges_do(spark):
+    """Both ways, a walk over the least edges finds the nodes, depths, parents and kinds that it finds over all."""
+    facts = boundary_facts(spark)
+    every = flow.boundary_edges(*facts)
+    for back, edges in ((False, every), (True, every.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "via"))):
+        listed = edges.withColumnRenamed("via", "edge_type")
+        for root in ((1,), (4,), (14,)):
+            start = spark.createDataFrame([root, (3,)], "node long")
+            step = lambda near: flow.boundary_steps(*facts, near, back).withColumnRenamed("via", "edge_type")  # noqa: B023, E731
+            assert sorted(graph.bfs(step, start, 3).collect(), key=str) == sorted(graph.bfs(listed, start, 3).collect(), key=str)
+    hub = spark.range(3).withColumnRenamed("id", "node")
+    assert flow.boundary_steps(*facts, hub).filter("via = 'sqs'").groupBy("dst").count().filter("count > 1").count() == 0
+
+
+def test_bounded_frontier_looks_beyond_only_if_asked(spark):
+    edges = spark.createDataFrame([(2, 1, "call"), (3, 2, "call"), (4, 3, "call"), (1, 3, "call")], "src long, dst long, edge_type string")
+    def back(near):
+        return edges.join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type")
+
+    start = spark.createDataFrame([(1,)], "node long")
+    for depth, clipped in ((1, True), (2, True), (3, False), (0, True)):
+        kept, cut = graph.frontier_bounded(back, start, depth, 10)
+        assert rows(kept, "node", "depth") == [(n, n - 1) for n in range(1, 5) if n - 1 <= depth] and cut.first().clipped == clipped
+        assert rows(kept, "node", "depth") == rows(graph.frontier_bounded(edges, start, depth, 10)[0], "node", "depth")
+        assert graph.frontier_bounded(edges, start, depth, 10)[1].first().clipped == clipped
+
+
 def test_closures_have_no_depth(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
     start = spark.createDataFrame([(0,)], "node long").coalesce(1)
@@ -216,8 +265,6 @@ def test_changes_reach_by_name(spark):
 def test_walks_over_functions_of_a_frontier(spark):
     """A walk may ask for the edges of each level, and merges what it visited now and then."""
     links = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long").coalesce(1)
-    asked = []
-
     def near(frontier):
         asked.append(frontier.count())
         return links.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi")
