@@ -124,6 +124,26 @@ def test_bounded_frontier_looks_beyond_only_if_asked(spark):
         assert graph.frontier_bounded(edges, start, depth, 10)[1].first().clipped == clipped
 
 
+def test_routes_are_tested_once(spark):
+    """Calls and endpoints that share routes: pairs, classes and callers in full, though each pair of routes meets once and only if its literals agree."""
+    calls = spark.createDataFrame([(n, n % 2, "GET", f"/en/{n % 3}" if n < 60 else "/en/:x/z", "fetch", n % 5, n) for n in range(70)], "id long, repo_id long, http_method string, url_pattern string, client_type string, caller_function_id long, line_number long")
+    endpoints = spark.createDataFrame([(n, 2 + n % 2, "GET" if n % 3 else "POST", ["/en/:id", "/en/2", "/en/q/:k", "/fr/:id", "/en/1/:a"][n % 5]) for n in range(50)], "id long, repo_id long, method string, path string")
+    left, right, pairs = routes.audit_sides(routes.audit_calls(calls), endpoints)
+    found = {("/".join(r.c_segs), "/".join(r.e_segs)) for r in pairs.collect()}
+    # the rest of a longer side may be parameters alone
+    assert found == {("en/0", "en/:id"), ("en/1", "en/:id"), ("en/2", "en/:id"), ("en/2", "en/2"), ("en/1", "en/1/:a"), ("en/:x/z", "en/q/:k"), ("en/:x/z", "en/1/:a")}
+    assert routes.audit_matches(routes.audit_calls(calls), endpoints).count() == 60 * 10 + 20 * 10 + 20 * 10 + 10 * 20
+    doubled = calls.unionByName(calls)
+    assert routes.audit_matches(routes.audit_calls(doubled), endpoints).count() == 2 * 1200
+    consumers = verify.endpoint_consumers(endpoints, calls, 3)
+    assert consumers.filter("endpoint_id = 5").select("c_repo", "caller_function_id", "line", "clipped").collect() == consumers.filter("endpoint_id = 25").select("c_repo", "caller_function_id", "line", "clipped").collect()
+    assert {r.endpoint_id for r in consumers.collect()} == {n for n in range(50) if n % 5 != 3 and n % 3}
+    gates = spark.createDataFrame([(1, "GET", "/gw/*", "/en"), (2, "GET", "/gw/en/*", "/en"), (3, "GET", "/gw/en/*", "/en"), (3, "REQUEST", "/gw/en/*", "/en")], "id long, method string, path string, backend_path string")
+    through = calls.filter("id = 2").withColumn("url_pattern", F.lit("/gw/en/2"))
+    two = [n for n in range(50) if n % 5 == 1 and n % 3]
+    assert rows(routes.gateway_calls(through, gates, endpoints), "call_id", "route_id", "endpoint_id") == sorted((2, g, n) for g in (2, 3) for n in two)
+
+
 def test_closures_have_no_depth(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
     start = spark.createDataFrame([(0,)], "node long").coalesce(1)
