@@ -78,9 +78,7 @@ def data_metrics(accesses: DataFrame) -> DataFrame:
 
 def dependency_edges(calls: DataFrame, endpoints: DataFrame, producers: DataFrame, consumers: DataFrame) -> DataFrame:
     """Counted edges (src, tgt, type, queue_name): an HTTP call counts once for each repository it meets."""
-    rows = routes.audit_calls(calls)
-    pairs = routes.audit_matches(rows, endpoints).filter(routes.methods_meet(F.col("c_method"), F.col("e_method")) & (F.col("c_repo") != F.col("e_repo")))
-    http = pairs.select("call_id", F.col("c_repo").alias("src"), F.col("e_repo").alias("tgt")).distinct().groupBy("src", "tgt").agg(F.count("*").alias("n"))
+    http = routes.audit_repos(routes.audit_calls(calls), endpoints).groupBy(F.col("c_repo").alias("src"), F.col("e_repo").alias("tgt")).agg(F.count("*").alias("n"))
     queue = queues.repo_edges(producers, consumers).withColumn("type", F.lit("sqs"))
     return http.withColumn("type", F.lit("http")).withColumn("queue_name", F.lit("")).unionByName(queue.select("src", "tgt", "n", "type", "queue_name"))
 
