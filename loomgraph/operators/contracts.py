@@ -22,7 +22,7 @@ def target_counts(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Weights of target repositories of a repository's grouped calls: each target once a group, by the group's calls."""
     keyed = http_used(calls).withColumn("id", F.xxhash64("repo_id", "http_method", "url_pattern"))
     rows = keyed.withColumn("caller_function_id", F.lit(0)).withColumn("line_number", F.lit(0))
-    pairs = routes.contract_callers(rows, endpoints, literal=False).select("call_id", "c_repo", "e_repo").distinct()
+    pairs = routes.contract_repos(rows, endpoints, literal=False)
     weight = keyed.select(F.col("id").alias("call_id"), "n")
     return pairs.join(weight, "call_id").groupBy("c_repo", "e_repo").agg(F.sum("n").alias("n"))
 
