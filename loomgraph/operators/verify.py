@@ -84,11 +84,16 @@ def changed_functions(ranges: DataFrame, functions: DataFrame) -> tuple[DataFram
 
 def endpoint_consumers(endpoints: DataFrame, calls: DataFrame, limit: int = MOST_EXPOSED) -> DataFrame:
     """Callers in other repositories of each endpoint, first by repository and caller: (endpoint_id, c_repo, caller_function_id, line, clipped)."""
-    pairs = routes.contract_callers(calls, endpoints, literal=False)
-    held = pairs.groupBy("endpoint_id", "c_repo", "caller_function_id").agg(F.min("line_number").alias("line"))
-    cut = ranked_window(held, ["endpoint_id"], ["c_repo", "caller_function_id"], limit + 1)
-    many = cut.filter(F.col("rn") > limit).select("endpoint_id").distinct().withColumn("clipped", F.lit(True))
-    return cut.filter(F.col("rn") <= limit).drop("rn").join(many, "endpoint_id", "left").fillna(False, ["clipped"])
+    left, right, pairs = routes.contract_sides(calls, endpoints, literal=False)
+    # endpoints equal in route, method and repository have the same callers, which are found and ranked once
+    like = ["e_segs", "e_method", "e_repo"]
+    callers = left.groupBy("c_segs", "c_method", "c_repo", "caller_function_id").agg(F.min("line_number").alias("line")).join(pairs, "c_segs")
+    met = callers.join(right.select(*like).distinct(), "e_segs").filter(routes.methods_meet(F.col("c_method"), F.col("e_method")) & (F.col("c_repo") != F.col("e_repo")))
+    held = met.groupBy(*like, "c_repo", "caller_function_id").agg(F.min("line").alias("line"))
+    cut = ranked_window(held, like, ["c_repo", "caller_function_id"], limit + 1)
+    many = cut.filter(F.col("rn") > limit).select(*like).distinct().withColumn("clipped", F.lit(True))
+    first = cut.filter(F.col("rn") <= limit).drop("rn").join(many, like, "left").fillna(False, ["clipped"])
+    return right.join(first, like).select("endpoint_id", "c_repo", "caller_function_id", "line", "clipped")
 
 
 def entity_exposures(accesses: DataFrame, repo: int) -> DataFrame:
