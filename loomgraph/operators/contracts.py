@@ -15,7 +15,7 @@ def http_used(calls: DataFrame) -> DataFrame:
 
 def http_callers(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """For each repository with endpoints, calls of each other repository that meet them."""
-    return routes.contract_callers(calls, endpoints).groupBy(F.col("e_repo").alias("repo_id"), F.col("c_repo").alias("caller_repo")).agg(F.countDistinct("call_id").alias("n"))
+    return routes.contract_repos(calls, endpoints).groupBy(F.col("e_repo").alias("repo_id"), F.col("c_repo").alias("caller_repo")).agg(F.countDistinct("call_id").alias("n"))
 
 
 def target_counts(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
