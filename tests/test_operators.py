@@ -144,6 +144,15 @@ def test_routes_are_tested_once(spark):
     assert rows(routes.gateway_calls(through, gates, endpoints), "call_id", "route_id", "endpoint_id") == sorted((2, g, n) for g in (2, 3) for n in two)
 
 
+def test_pairs_of_one_route_are_listed_by_many_tasks(spark):
+    """Sides are small and their pairs many: tasks aren't as few as the sides' size asks for, and rows are whole."""
+    calls = spark.range(400).selectExpr("id", "id % 3 AS repo_id", "'GET' AS http_method", "concat('/en/', id % 200) AS url_pattern", "'fetch' AS client_type").repartition(4, "repo_id")
+    endpoints = spark.range(300).selectExpr("id", "id % 5 AS repo_id", "'GET' AS method", "CASE WHEN id < 290 THEN '/en/:id' ELSE '/en/7' END AS path").repartition(4, "repo_id")
+    found = routes.audit_matches(routes.audit_calls(calls), endpoints).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in found) == 400 * 290 + 2 * 10
+    assert len(found) > 1 and max(r["count"] for r in found) < 400 * 290 * 0.8
+
+
 def test_closures_have_no_depth(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
     start = spark.createDataFrame([(0,)], "node long").coalesce(1)
