@@ -153,6 +153,16 @@ def test_pairs_of_one_route_are_listed_by_many_tasks(spark):
     assert len(found) > 1 and max(r["count"] for r in found) < 400 * 290 * 0.8
 
 
+def test_gateway_rows_of_one_route_are_listed_by_many_tasks(spark):
+    through = spark.range(300).selectExpr("id", "'GET' AS http_method", "'/gw/en/x' AS url_pattern").repartition(4)
+    gates = spark.range(40).selectExpr("id", "'GET' AS method", "'/gw/en/*' AS path", "'/en' AS backend_path").repartition(4)
+    endpoints = spark.range(50).selectExpr("id", "'GET' AS method", "'/en/x' AS path").repartition(4)
+    found = routes.gateway_calls(through, gates, endpoints)
+    assert found.distinct().count() == 300 * 40 * 50
+    tasks = [r["count"] for r in found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert sum(tasks) == 300 * 40 * 50 and len(tasks) > 1 and max(tasks) < 300 * 40 * 50 * 0.8
+
+
 def test_closures_have_no_depth(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
     start = spark.createDataFrame([(0,)], "node long").coalesce(1)
