@@ -163,6 +163,47 @@ def test_gateway_rows_of_one_route_are_listed_by_many_tasks(spark):
     assert sum(tasks) == 300 * 40 * 50 and len(tasks) > 1 and max(tasks) < 300 * 40 * 50 * 0.8
 
 
+def test_gateway_rows_are_not_shuffled(spark):
+    """What is shuffled grows with the tables, not with the pairs or rows that they give."""
+    through = spark.range(300).selectExpr("id", "'GET' AS http_method", "'/gw/en/x' AS url_pattern")
+    gates = spark.range(5).selectExpr("id", "'GET' AS method", "'/gw/en/*' AS path", "'/en' AS backend_path")
+    endpoints = spark.range(300).selectExpr("id", "'GET' AS method", "'/en/x' AS path")
+    found = routes.gateway_calls(through, gates, endpoints)
+    assert len(set(found.collect())) == 300 * 5 * 300
+
+    def shuffled(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return shuffled(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return shuffled(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    assert 600 < shuffled(found._jdf.queryExecution().executedPlan()) < 10_000
+
+
+def test_gateway_bases_and_repeated_ids(spark):
+    """A base may end at any slash of a route; ids may have several rows, and one may be null: each row is given once."""
+    asked = [(1, "GET", "/gw/en/12"), (1, "GET", "/gw/en/12"), (1, "GET", "/gw/en/13"), (2, "POST", "/gw/en/12"), (3, "ANY", "/gw/en"), (None, "GET", "/gw/en/12"), (4, "GET", None), (5, "GET", "/gw/english/12")]
+    gates = [(1, "REQUEST", "/*", ""), (2, "REQUEST", "/gw/*", "/b"), (3, "GET", "/gw/en/*", "/en"), (3, "GET", "/gw/*", ""), (4, "GET", "/gw/en", "/en"), (None, "GET", "/gw/en/12/*", "/en/12"), (5, "GET", None, "/en"), (6, "GET", "/gw/en/*", None)]
+    stored = [(1, "GET", "/en/12"), (1, "GET", "/en/13"), (2, "REQUEST", "/en/12"), (3, "POST", "/b/en/12"), (4, "GET", "/gw/en/12"), (None, "GET", "/en/12"), (5, "GET", "/en"), (6, "GET", None), (7, "GET", "/english/12")]
+    meet = lambda c, e: c == e or e == "REQUEST" or c in ("REQUEST", "ANY")
+    expected = {
+        (c, g, e)
+        for c, cm, route in asked for g, gm, path, backend in gates for e, em, own in stored
+        if route and path and backend is not None and own
+        for base in [path.removesuffix("/*")]
+        if (route == base or route.startswith(base + "/")) and meet(cm, gm) and own == backend + route[len(base) :] and meet(cm, em)
+    }
+    found = routes.gateway_calls(
+        spark.createDataFrame(asked, "id long, http_method string, url_pattern string"), spark.createDataFrame(gates, "id long, method string, path string, backend_path string"), spark.createDataFrame(stored, "id long, method string, path string")
+    )
+    key = lambda row: tuple((x is None, x or 0) for x in row)
+    assert sorted((tuple(r) for r in found.select("call_id", "route_id", "endpoint_id").collect()), key=key) == sorted(expected, key=key)
+    assert {(1, 1, 4), (1, 3, 1), (None, None, None)} <= expected
+
+
 def test_closures_have_no_depth(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long").coalesce(1)
     start = spark.createDataFrame([(0,)], "node long").coalesce(1)
